@@ -40,13 +40,25 @@ def unknown_models(df: DataFrame, catalog: DataFrame, model_col: str = "model")
     return df.join(F.broadcast(catalog.select(F.col("model").alias(model_col))), model_col, "left_anti")
 
 
-def chat_cost(usage: DataFrame, chat_models: DataFrame) -> DataFrame:
+def _price(models: DataFrame, model: str, col: str):
+    """Price of one model as a scalar subquery (NULL for an unknown model)."""
+    return models.filter(F.col("model") == model).agg(F.max(col)).scalar()
+
+
+def chat_cost(usage: DataFrame, chat_models: DataFrame, model: str | None = None) -> DataFrame:
     """T6. usage (…, model, prompt_tokens, completion_tokens) -> tokens and cost.
 
     cost = tokens / 1000 * price per 1k, input and output priced separately.
+    With ``model`` every row is priced as that model (scalar lookups, no join);
+    otherwise rows are joined to the broadcast catalog on their ``model``.
     """
-    priced = usage.join(F.broadcast(chat_models.select("model", "input_price_per_k",
-                                                       "output_price_per_k")), "model")
+    if model is not None:
+        priced = usage.withColumn("model", F.lit(model)).select(
+            "*", _price(chat_models, model, "input_price_per_k").alias("input_price_per_k"),
+            _price(chat_models, model, "output_price_per_k").alias("output_price_per_k"))
+    else:
+        priced = usage.join(F.broadcast(chat_models.select("model", "input_price_per_k",
+                                                           "output_price_per_k")), "model")
     input_cost = F.col("prompt_tokens") / 1000.0 * F.col("input_price_per_k")
     output_cost = F.col("completion_tokens") / 1000.0 * F.col("output_price_per_k")
     return (priced
@@ -62,8 +74,6 @@ def embedding_cost(batches: DataFrame, embedding_models: DataFrame, model: str)
 
     ``batches`` has (name, batch, tokens); the result adds ``model`` and ``cost``.
     """
-    price = embedding_models.filter(F.col("model") == model).select("model", "price_per_k")
+    price = _price(embedding_models, model, "price_per_k")
     return (batches.withColumn("model", F.lit(model))
-            .join(F.broadcast(price), "model")
-            .withColumn("cost", F.round(F.col("tokens") / 1000.0 * F.col("price_per_k"), COST_DECIMALS))
-            .drop("price_per_k"))
+            .withColumn("cost", F.round(F.col("tokens") / 1000.0 * price, COST_DECIMALS)))

@@ -331,9 +331,9 @@ def q_chat_cost(spark, sf):
         F.sum(F.when(F.col("role").isin("user", "system"), F.col("_t")).otherwise(0)).cast("bigint")
         .alias("prompt_tokens"),
         F.sum(F.when(F.col("role") == "assistant", F.col("_t")).otherwise(0)).cast("bigint")
-        .alias("completion_tokens")).withColumn("model", F.lit(DEFAULT_CHAT_MODEL))
+        .alias("completion_tokens"))
     chat_models, _ = model_catalog(spark)
-    return chat_cost(usage, chat_models)
+    return chat_cost(usage, chat_models, model=DEFAULT_CHAT_MODEL)
 
 
 @register

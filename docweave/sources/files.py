@@ -12,10 +12,10 @@ _SUFFIX = "(" + "|".join(s.lstrip(".").replace(".", r"\.") for s in SUPPORTED_SU
 
 def read_text_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """S1. One row per UTF-8 text file: (uri, text)."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
 
 
 def source_kind(uri: Column) -> Column:

@@ -43,7 +43,9 @@ def read_index(spark: SparkSession, path: str, names=None, shards: int = DEFAULT
     if isinstance(names, DataFrame):
         wanted = names.select("name").distinct().withColumn("shard", shard_of(F.col("name"), shards))
         return index.join(wanted, ["shard", "name"], "left_semi")
-    wanted_shards = [shard_of(F.lit(n), shards) for n in names]
+    # Hash the literal as the stored type so it lands on the same shard.
+    name_type = index.schema["name"].dataType
+    wanted_shards = [shard_of(F.lit(n).cast(name_type), shards) for n in names]
     return index.filter(F.col("shard").isin(wanted_shards) & F.col("name").isin(list(names)))
 
 
