@@ -55,5 +55,10 @@ def terms(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Raw whitespace-separated words (str.split() semantics), case kept."""
-    return F.filter(F.split(text, WHITESPACE_RUN), lambda x: x != F.lit(""))
+    """Raw whitespace-separated words (str.split() semantics), case kept.
+
+    Every whitespace character is first mapped to a space (a native
+    character translation), so the split is on one character only.
+    """
+    spaced = F.translate(text, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+    return F.filter(F.split(spaced, " "), lambda x: x != F.lit(""))

@@ -22,9 +22,16 @@ from docweave.functions.text import terms
 
 
 def hashing_embedder(df: DataFrame, dim: int, text_col: str = "text",
-                     out: str = "embedding") -> DataFrame:
-    """E3. Unit-length hashed term counts of ``text_col`` as ARRAY<FLOAT>(dim)."""
-    return df.withColumn(out, hashed_vector(terms(F.col(text_col)), dim))
+                     out: str = "embedding", keep_terms: bool = False) -> DataFrame:
+    """E3. Unit-length hashed term counts of ``text_col`` as ARRAY<FLOAT>(dim).
+
+    With ``keep_terms`` the term array is kept as ``terms`` so vocabulary
+    steps reading a stored index do not re-run the term regex.
+    """
+    if not keep_terms:
+        return df.withColumn(out, hashed_vector(terms(F.col(text_col)), dim))
+    with_terms = df.withColumn("terms", terms(F.col(text_col)))
+    return with_terms.withColumn(out, hashed_vector(F.col("terms"), dim))
 
 
 Embedder = Callable[[list[str]], list[list[float]]]

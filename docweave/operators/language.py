@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.vectors import let
 from docweave.operators.summary import summary_method  # noqa: F401  (F15, re-exported)
 from docweave.plans.sizing import maybe_broadcast
 
@@ -20,13 +19,15 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
 
 
+# Every overlapping run of three characters: a zero-width lookahead match at
+# each position captures the next three.  One linear regex pass per text
+# (indexing a UTF-8 string by character position would be quadratic).
+TRIGRAM = r"(?=(.{3}))"
+
+
 def trigrams(text: Column) -> Column:
     """All character trigrams of the normalised text, in order."""
-    def grams(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))
-
-    return let(normalised(text), lambda t: F.when(F.length(t) >= 3, grams(t)).otherwise(
-        F.array().cast("array<string>")))
+    return F.regexp_extract_all(normalised(text), F.lit(TRIGRAM), 1)
 
 
 def gram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

@@ -26,15 +26,20 @@ def mean_vector(df: DataFrame, key: str = "name", vec: str = "embedding",
             .select(key, vector_to_array(F.col("_m")).alias(out)))
 
 
+def fragment_terms(fragments: DataFrame):
+    """Term array of each fragment: the stored ``terms`` column when present."""
+    return F.col("terms") if "terms" in fragments.columns else terms(F.col("text"))
+
+
 def document_frequency(fragments: DataFrame) -> DataFrame:
     """A2. (name, term, df): fragments of the document containing the term."""
-    return (fragments.select("name", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    return (fragments.select("name", F.explode(F.array_distinct(fragment_terms(fragments))).alias("term"))
             .groupBy("name", "term").agg(F.count(F.lit(1)).cast("bigint").alias("df")))
 
 
 def vocabulary(fragments: DataFrame) -> DataFrame:
     """A9. Distinct terms of each document."""
-    return (fragments.select("name", F.explode(terms(F.col("text"))).alias("term"))
+    return (fragments.select("name", F.explode(fragment_terms(fragments)).alias("term"))
             .distinct())
 
 

@@ -41,7 +41,7 @@ from docweave.operators.tokens import batch_totals, cut_report, cut_to_budget, p
 from docweave.plans import bindings as B
 from docweave.plans.answer import answer_context, answer_hits, context_budget
 from docweave.plans.scan import dense_positions
-from docweave.plans.sizing import cut_lineage, maybe_broadcast
+from docweave.plans.sizing import cut_lineage, materialize, maybe_broadcast
 from docweave.plans.summarize import centroids, summary_context
 from docweave.session import checkpoint_dir
 from docweave.sources.files import source_kind
@@ -62,12 +62,16 @@ def doc_fragments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requested_fragments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
-    """Questions, fragments of the documents they ask about, and a row bound on questions."""
+    """Questions, fragments of the documents they ask about, and a row bound on questions.
+
+    The fragments are written once (they feed both the vocabulary and the
+    vector index) and scanned back from Parquet.
+    """
     req = B.requests(spark, sf)
     bound = B.row_bound(spark, sf, "conversations")
     names = maybe_broadcast(req.select("name").distinct(), bound, 16)
     docs = B.documents(spark, sf).join(names, "name", "left_semi")
-    return req, split_fragments(docs), bound
+    return req, materialize(split_fragments(docs), "fragments"), bound
 
 
 # ---------------------------------------------------------------- fragments
@@ -141,8 +145,9 @@ def doc_ids(spark, sf) -> DataFrame:
 
 
 def sif_fragments(spark, sf) -> DataFrame:
-    """Document fragments with hashed vectors (name, pos, text, embedding)."""
-    return hashing_embedder(doc_fragments(spark, sf), HASH_DIM)
+    """The document index: fragments with hashed vectors (name, pos, text, embedding),
+    written once and scanned back by every later step."""
+    return materialize(hashing_embedder(doc_fragments(spark, sf), HASH_DIM, keep_terms=True), "index")
 
 
 def dense_rows(df: DataFrame, key: str, vec: str) -> DataFrame:

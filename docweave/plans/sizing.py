@@ -9,6 +9,8 @@ and AQE (skew-join splitting, runtime broadcast conversion) takes over.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used where a pipeline scans the same derived table several times: the
+    re-reads are column-pruned Parquet scans instead of recomputations, and
+    the stored copy survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
