@@ -59,6 +59,28 @@ def embed_fragments(packed: DataFrame, dim: int, embedder: Embedder | None = Non
     return packed.groupBy("name", "batch").applyInPandas(run, schema=out_schema)
 
 
+def embed_query(requests: DataFrame, dim: int, embedder: Embedder | None = None,
+                text_col: str = "keywords") -> DataFrame:
+    """E2. One vector per request text (the keywords by default).
+
+    Native hashing by default; a caller's ``embedder`` runs per Arrow batch
+    through ``mapInPandas`` (questions are short, so no token packing).
+    """
+    if embedder is None:
+        return hashing_embedder(requests, dim, text_col)
+    out_schema = T.StructType(list(requests.schema.fields)
+                              + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        for pdf in batches:
+            vectors = embedder(pdf[text_col].tolist()) if len(pdf) else []
+            pdf = pdf.copy()
+            pdf["embedding"] = [np.asarray(v, dtype=np.float32) for v in vectors]
+            yield pdf
+
+    return requests.mapInPandas(run, out_schema)
+
+
 def python_hashing_embedder(dim: int) -> Embedder:
     """The built-in embedder written as a caller-side function (used to test E1's hook)."""
     import hashlib

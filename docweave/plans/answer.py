@@ -14,7 +14,7 @@ from docweave.constants import (
     CHAT_MODELS, DEFAULT_CHAT_MODEL, KEYWORDS_PER_QUERY, RESERVE_TOKENS, RETRIEVAL_LIMIT,
 )
 from docweave.functions.text import token_count
-from docweave.operators.embedding import hashing_embedder
+from docweave.operators.embedding import embed_query, hashing_embedder
 from docweave.operators.fragments import label_paragraph, numbered_list
 from docweave.operators.retrieval import extract_keywords, top_k_inner_product
 from docweave.operators.summary import document_frequency, idf
@@ -32,8 +32,7 @@ def answer_hits(requests: DataFrame, fragments: DataFrame, dim: int,
     """Keywords per request and the ranked, labelled hits (before the budget cut)."""
     idf_table = idf(document_frequency(fragments), fragments)
     keywords = extract_keywords(requests, idf_table, k)
-    query_vectors = hashing_embedder(keywords, dim, text_col="keywords").select(
-        "request_id", "name", "embedding")
+    query_vectors = embed_query(keywords, dim).select("request_id", "name", "embedding")
     index = hashing_embedder(fragments, dim)
     hits = top_k_inner_product(query_vectors, index, limit, request_rows, dim, carry=("text",))
     labelled = (hits.withColumn("label", label_paragraph(F.col("pos"), F.col("text")))

@@ -171,10 +171,9 @@ ORACLE["clean_queries"] = f"WITH {REQUESTS_CTE} SELECT request_id, name, query F
 
 
 def trigram_sql(src: str, keys: str) -> str:
-    """(keys..., gram) rows of every character trigram of normalised text."""
-    norm = f"' ' || regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g') || ' '"
-    return f"""SELECT {keys}, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
-  FROM (SELECT {keys}, {norm} AS t FROM {src})"""
+    """(keys..., gram) rows: every trigram of every space-padded lower-case letter run."""
+    return f"""SELECT {keys}, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3))) AS gram
+  FROM (SELECT {keys}, ' ' || unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) || ' ' AS p FROM {src})"""
 
 
 PROFILE_CTES = f"""g AS (SELECT lang, gram, count(*) AS tf FROM ({trigram_sql('documents', 'lang')}) GROUP BY ALL),

@@ -17,6 +17,9 @@ BASE_CONF = {
     # Let AQE turn a sort-merge join into a shuffled hash join when every
     # build-side partition is small (skips two sorts).
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Small local inputs: keep one post-shuffle task per core for the
+    # CPU-heavy text stages instead of merging partitions below 1 MB.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

@@ -29,9 +29,21 @@ def with_shard(df: DataFrame, shards: int = DEFAULT_SHARDS) -> DataFrame:
     return df.withColumn("shard", shard_of(F.col("name"), shards))
 
 
-def write_index(df: DataFrame, path: str, shards: int = DEFAULT_SHARDS, mode: str = "append") -> None:
+def _for_write(df: DataFrame, shards: int, files_per_shard: int) -> DataFrame:
+    """Cluster rows by shard for writing, each shard split over ``files_per_shard`` tasks.
+
+    ``repartition("shard")`` alone would send a whole shard to one task; a
+    salt from (name, pos) spreads it.  Size ``files_per_shard`` so one file
+    holds a few hundred MB (index bytes / shards / target file size).
+    """
+    salt = F.pmod(F.xxhash64("name", "pos"), F.lit(files_per_shard))
+    return df.repartition(shards * files_per_shard, F.col("shard"), salt)
+
+
+def write_index(df: DataFrame, path: str, shards: int = DEFAULT_SHARDS, mode: str = "append",
+                files_per_shard: int = 1) -> None:
     """S4 (storage). Append (or overwrite) rows (name, pos, text, embedding)."""
-    (with_shard(df, shards).repartition("shard")
+    (_for_write(with_shard(df, shards), shards, files_per_shard)
      .write.mode(mode).partitionBy("shard").parquet(path))
 
 
@@ -73,7 +85,7 @@ def reindex(index: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 
 def commit_index(spark: SparkSession, changed: DataFrame, path: str, touched_names: DataFrame,
-                 shards: int = DEFAULT_SHARDS) -> None:
+                 shards: int = DEFAULT_SHARDS, files_per_shard: int = 1) -> None:
     """Write ``changed`` (the new full content) back, rewriting only touched shards.
 
     The touched shards' new rows are staged under the shared checkpoint
@@ -85,7 +97,7 @@ def commit_index(spark: SparkSession, changed: DataFrame, path: str, touched_nam
     stage = f"{checkpoint_dir(spark).rstrip('/')}/index-stage-{uuid.uuid4().hex}"
     rows.write.mode("overwrite").parquet(stage)
     staged = spark.read.parquet(stage)
-    (staged.repartition("shard").write.mode("overwrite")
+    (_for_write(staged, shards, files_per_shard).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
     kept_shards = {r["shard"] for r in staged.select("shard").distinct().collect()}
     emptied = [r["shard"] for r in touched.collect() if r["shard"] not in kept_shards]

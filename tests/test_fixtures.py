@@ -229,3 +229,17 @@ def test_chat_pairs(spark):
 def test_split_keywords(spark):
     df = spark.createDataFrame([("a, b ,c",)], "kw string")
     assert df.select(split_keywords(F.col("kw")).alias("k")).collect()[0].k == ["a", "b", "c"]
+
+
+def test_published_batch_shape(spark):
+    """Full batches close just above 8191 - 1024 = 7167 tokens; the last one is below."""
+    from conftest import SMOKE
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").orderBy("doc_id").limit(60)
+    text = "\n".join(r.text for r in docs.collect())
+    packed = pack_document_batches(fragment_arrays(
+        spark.createDataFrame([("novel", text)], "name string, text string")), 8191)
+    totals = sorted((r.batch, r.tokens) for r in packed.groupBy("batch").agg(
+        F.sum("n_tokens").alias("tokens")).collect())
+    assert len(totals) > 2
+    assert all(t > 7167 for _, t in totals[:-1])
+    assert totals[-1][1] <= 7167 or len(totals) == 1

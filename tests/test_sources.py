@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from docweave.operators.embedding import embed_fragments, python_hashing_embedder, hashing_embedder
+from docweave.operators.embedding import (
+    embed_fragments, embed_query, hashing_embedder, python_hashing_embedder,
+)
 from docweave.operators.prompts import answer_prompts, complete
 from docweave.sources.files import read_text_documents, select_supported
 from docweave.sources.index import clear_index, commit_index, read_index, reindex, write_index
@@ -62,3 +64,12 @@ def test_complete_with_stub(spark):
 
     out = complete(prompts, "request_id", stub, "gpt-3.5-turbo").collect()[0]
     assert (out.reply, out.prompt_tokens, out.completion_tokens, out.model) == ("2 messages", 10, 2, "gpt-3.5-turbo")
+
+
+def test_embed_query_hook_matches_builtin(spark):
+    req = spark.createDataFrame([("r1", "d", "alpha,beta"), ("r2", "d", "gamma")],
+                                "request_id string, name string, keywords string")
+    hook = {r.request_id: [round(x, 6) for x in r.embedding]
+            for r in embed_query(req, 8, embedder=python_hashing_embedder(8)).collect()}
+    native = {r.request_id: [round(x, 6) for x in r.embedding] for r in embed_query(req, 8).collect()}
+    assert hook == native
