@@ -58,7 +58,8 @@ def language_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str
     stats = (per_lang.join(docs, "lang")
              .select("lang", (F.col("_total") + vocab).alias("_den"),
                      F.log(F.col("_docs") / all_docs).alias("prior")))
-    return (counts.join(F.broadcast(stats), "lang")
+    # One row per language: AQE broadcasts it from its runtime size.
+    return (counts.join(stats, "lang")
             .select("lang", "gram",
                     F.log((F.col("tf") + 1.0) / F.col("_den")).alias("logp"),
                     F.log(F.lit(1.0) / F.col("_den")).alias("unseen"), "prior"))

@@ -2,10 +2,13 @@
 
 Files arriving in a folder are fragmented, fingerprinted and appended to the
 index exactly once per fingerprint.  ``foreachBatch`` is at-least-once, so
-each micro-batch first drops fingerprints the index already holds (a
-left-anti join on ``name``): replaying a batch after a failure between the
-write and the checkpoint commit adds nothing.  Each batch is written to its
-own ``batch_id`` folder with overwrite, so a half-written replay is replaced.
+each micro-batch first drops fingerprints already stored (a left-anti join
+on ``name``): replaying a batch after a failure between the write and the
+checkpoint commit adds nothing.  Each batch is written to its own
+``batch_id`` partition with dynamic overwrite, so a replay replaces it.
+
+Existence is checked against a narrow side table of names (one row per
+document, ``<index>_names``) rather than by scanning the fragment index.
 """
 
 from __future__ import annotations
@@ -42,26 +45,37 @@ def documents_from_files(stream: DataFrame) -> DataFrame:
             .withColumn("name", content_id_of(F.col("fragments"))))
 
 
-def _index_names(spark: SparkSession, index_path: str, batch_id: int) -> DataFrame | None:
+def names_path_of(index_path: str) -> str:
+    return index_path.rstrip("/") + "_names"
+
+
+def _stored_names(spark: SparkSession, names_path: str, batch_id: int) -> DataFrame | None:
     """Names stored by earlier batches (a replay of this batch must not hide itself)."""
     try:
-        index = spark.read.parquet(index_path)
-    except Exception:  # the index does not exist yet
+        names = spark.read.parquet(names_path)
+    except Exception:  # nothing stored yet
         return None
-    return index.filter(F.col("batch_id") != batch_id).select("name").distinct()
+    return names.filter(F.col("batch_id") != batch_id).select("name")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, index_path: str, dim: int) -> None:
     spark = batch.sparkSession
+    names_path = names_path_of(index_path)
     docs = batch.dropDuplicates(["name"])
-    known = _index_names(spark, index_path, batch_id)
+    known = _stored_names(spark, names_path, batch_id)
     if known is not None:
         docs = docs.join(known, "name", "left_anti")
-    frags = docs.select("name", F.posexplode("fragments").alias("pos", "text")).withColumn(
+    docs = docs.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    frags = docs.select("name", "batch_id", F.posexplode("fragments").alias("pos", "text")).withColumn(
         "pos", F.col("pos").cast("bigint"))
-    rows = with_shard(hashing_embedder(frags, dim)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    rows = with_shard(hashing_embedder(frags, dim))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id", "shard").parquet(index_path))
+    # Names last: a crash before this line leaves the batch unrecorded, and the
+    # replay rewrites both partitions.
+    (spark.read.parquet(index_path).filter(F.col("batch_id") == batch_id).select("name", "batch_id")
+     .distinct().write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(names_path))
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str,
