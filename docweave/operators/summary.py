@@ -47,9 +47,16 @@ def fragment_counts(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("name").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def idf(doc_freq: DataFrame, fragments: DataFrame) -> DataFrame:
-    """A3. Smoothed idf = ln((1 + n) / (1 + df)) + 1, n = fragments of the document."""
-    return (doc_freq.join(fragment_counts(fragments), "name")
+def idf(doc_freq: DataFrame, fragments: DataFrame, doc_rows: int | None = None) -> DataFrame:
+    """A3. Smoothed idf = ln((1 + n) / (1 + df)) + 1, n = fragments of the document.
+
+    ``doc_rows`` (a bound on documents) lets the one-row-per-document counts
+    be broadcast, so the large (name, term) table keeps its partitioning.
+    """
+    counts = fragment_counts(fragments)
+    if doc_rows is not None:
+        counts = maybe_broadcast(counts, doc_rows, 32)
+    return (doc_freq.join(counts, "name")
             .withColumn("idf", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0))
 
 

@@ -30,7 +30,7 @@ def answer_hits(requests: DataFrame, fragments: DataFrame, dim: int,
                 limit: int = RETRIEVAL_LIMIT, k: int = KEYWORDS_PER_QUERY,
                 request_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Keywords per request and the ranked, labelled hits (before the budget cut)."""
-    idf_table = idf(document_frequency(fragments), fragments)
+    idf_table = idf(document_frequency(fragments), fragments, request_rows)
     keywords = extract_keywords(requests, idf_table, k)
     query_vectors = embed_query(keywords, dim).select("request_id", "name", "embedding")
     index = hashing_embedder(fragments, dim)

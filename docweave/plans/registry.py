@@ -440,12 +440,14 @@ def q_document_frequency(spark, sf):
 @register
 def q_idf(spark, sf):
     frags = doc_fragments(spark, sf)
-    return idf(document_frequency(frags), frags).select("name", "term", F.round("idf", 6).alias("idf"))
+    bound = B.row_bound(spark, sf, "documents")
+    return idf(document_frequency(frags), frags, bound).select("name", "term", F.round("idf", 6).alias("idf"))
 
 
 def weighted_fragments(spark, sf) -> DataFrame:
     frags = sif_fragments(spark, sf)
-    return sif_weight(frags, idf(document_frequency(frags), frags))
+    bound = B.row_bound(spark, sf, "documents")
+    return sif_weight(frags, idf(document_frequency(frags), frags, bound))
 
 
 @register
@@ -465,16 +467,16 @@ def document_methods(spark, sf) -> DataFrame:
 @register
 def q_centrality(spark, sf):
     frags = sif_fragments(spark, sf)
-    cents = centroids(frags, document_methods(spark, sf))
     bound = B.row_bound(spark, sf, "documents")
+    cents = centroids(frags, document_methods(spark, sf), bound)
     return centrality(frags, cents, doc_rows=bound, dim=HASH_DIM).select("name", "pos", "score")
 
 
 @register
 def q_central_fragments(spark, sf):
     frags = sif_fragments(spark, sf)
-    cents = centroids(frags, document_methods(spark, sf))
     bound = B.row_bound(spark, sf, "documents")
+    cents = centroids(frags, document_methods(spark, sf), bound)
     scored = centrality(frags, cents, doc_rows=bound, dim=HASH_DIM)
     return central_fragments(scored, 3).select("name", "rank", "pos", "score")
 

@@ -18,18 +18,22 @@ from docweave.operators.summary import (
     sif_weight, summary_method,
 )
 from docweave.operators.tokens import cut_to_budget
+from docweave.plans.sizing import maybe_broadcast
 from docweave.plans.answer import context_budget
 
 
-def centroids(fragments: DataFrame, methods: DataFrame) -> DataFrame:
+def centroids(fragments: DataFrame, methods: DataFrame, doc_rows: int | None = None) -> DataFrame:
     """(name, centroid): plain mean for 'mean' documents, SIF centroid for the rest.
 
-    ``fragments`` has (name, pos, text, embedding); ``methods`` has (name, method).
+    ``fragments`` has (name, pos, text, embedding); ``methods`` has (name, method),
+    broadcast when ``doc_rows`` bounds it.
     """
+    if doc_rows is not None:
+        methods = maybe_broadcast(methods, doc_rows, 32)
     tagged = fragments.join(methods, "name")
     plain = tagged.filter(F.col("method") == "mean")
     sif = tagged.filter(F.col("method") == "sif").drop("method")
-    idf_table = idf(document_frequency(sif), sif)
+    idf_table = idf(document_frequency(sif), sif, doc_rows)
     return mean_vector(plain).unionByName(sif_mean_vector(sif_weight(sif, idf_table)))
 
 
@@ -38,7 +42,7 @@ def summary_candidates(fragments: DataFrame, docs: DataFrame,
                        dim: int | None = None) -> DataFrame:
     """Ranked, labelled candidates (name, rank, pos, score, label, n_tokens)."""
     methods = docs.select("name", summary_method(F.col("lang")).alias("method"))
-    scored = centrality(fragments, centroids(fragments, methods), doc_rows=doc_rows, dim=dim)
+    scored = centrality(fragments, centroids(fragments, methods, doc_rows), doc_rows=doc_rows, dim=dim)
     top = central_fragments(scored, num_candidates)
     return (top.withColumn("label", label_paragraph(F.col("pos"), F.col("text")))
             .withColumn("n_tokens", token_count(F.col("label"))))
@@ -52,6 +56,7 @@ def summary_context(fragments: DataFrame, docs: DataFrame,
     ranked = summary_candidates(fragments, docs, num_candidates, doc_rows, dim)
     kept = cut_to_budget(ranked, "name", budget)
     ctx = numbered_list(kept, "name", "rank", "label", out="context")
-    methods = docs.select("name", summary_method(F.col("lang")).alias("method"))
+    methods = maybe_broadcast(docs.select("name", summary_method(F.col("lang")).alias("method")),
+                              doc_rows, 32)
     return ctx.join(methods, "name").select(
         "name", "method", F.col("n_items").alias("n_fragments"), "context")
