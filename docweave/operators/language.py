@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.operators.summary import summary_method  # noqa: F401  (F15, re-exported)
-from docweave.plans.sizing import maybe_broadcast
+from docweave.plans.sizing import materialize, maybe_broadcast
 
 
 LETTER_RUN = r"\p{L}+"
@@ -35,6 +35,11 @@ def word_trigrams(word: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(" "), word, F.lit(" ")), F.lit(TRIGRAM), 1)
 
 
+def letter_count(text: Column) -> Column:
+    """Trigrams in a text = letters in its lower-cased letter runs (" word " has len(word))."""
+    return F.length(F.regexp_replace(F.lower(text), r"\P{L}+", "")).cast("bigint")
+
+
 def gram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys..., gram, tf): trigram counts of each text."""
     word_counts = (df.select(*keys, F.explode(letter_words(F.col(text_col))).alias("word"))
@@ -49,15 +54,19 @@ def language_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str
     ``unseen`` is the log-probability given to a trigram the language never
     showed; ``prior`` is the log share of training texts in the language.
     """
-    counts = gram_counts(labelled.withColumnRenamed(lang_col, "lang"), ["lang"], text_col)
+    # Training is a fit step: the counts are stored once in the shared
+    # checkpoint folder, then read for the vocabulary size and the profile.
+    counts = materialize(gram_counts(labelled.withColumnRenamed(lang_col, "lang"), ["lang"], text_col),
+                         "trigram-counts")
     vocab = counts.select("gram").distinct().agg(F.count(F.lit(1))).scalar()
     all_docs = labelled.agg(F.count(F.lit(1))).scalar()
-    per_lang = counts.groupBy("lang").agg(F.sum("tf").alias("_total"))
-    docs = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("_docs"))
+    # Trigram totals and text counts per language straight from the texts
+    # (row-wise letter counts), not from a second pass over the trigrams.
+    per_lang = labelled.groupBy(F.col(lang_col).alias("lang")).agg(
+        F.sum(letter_count(F.col(text_col))).alias("_total"), F.count(F.lit(1)).alias("_docs"))
     # One row per language; the two totals are scalar subqueries.
-    stats = (per_lang.join(docs, "lang")
-             .select("lang", (F.col("_total") + vocab).alias("_den"),
-                     F.log(F.col("_docs") / all_docs).alias("prior")))
+    stats = per_lang.select("lang", (F.col("_total") + vocab).alias("_den"),
+                            F.log(F.col("_docs") / all_docs).alias("prior"))
     # One row per language: AQE broadcasts it from its runtime size.
     return (counts.join(stats, "lang")
             .select("lang", "gram",
@@ -74,15 +83,17 @@ def detect_language(texts: DataFrame, profiles: DataFrame, keys: list[str],
     with the text compete; a text sharing none gets no row.  ``lang`` is cut
     to two letters.
     """
-    grams = gram_counts(texts, keys, text_col)
-    totals = grams.groupBy(*keys).agg(F.sum("tf").alias("_all_tf"))
+    # The text's trigram total rides along as a grouping column (it is a
+    # function of the keys), so no second aggregation or join is needed.
+    sized = texts.withColumn("_all_tf", letter_count(F.col(text_col)))
+    grams = gram_counts(sized, [*keys, "_all_tf"], text_col)
     prof = profiles.select("lang", "gram", "logp", "unseen", "prior")
     if profile_rows is not None:
         prof = maybe_broadcast(prof, profile_rows, 64)
-    matched = grams.join(prof, "gram").groupBy(*keys, "lang").agg(
+    matched = grams.join(prof, "gram").groupBy(*keys, "_all_tf", "lang").agg(
         F.sum(F.col("tf") * (F.col("logp") - F.col("unseen"))).alias("_gain"),
         F.first("unseen").alias("unseen"), F.first("prior").alias("prior"))
-    scored = matched.join(totals, keys).select(
+    scored = matched.select(
         *keys, "lang",
         F.round(F.col("prior") + F.col("_all_tf") * F.col("unseen") + F.col("_gain"), 6).alias("score"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("lang"))

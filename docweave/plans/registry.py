@@ -276,7 +276,7 @@ def q_language_profiles(spark, sf):
 
 @register
 def q_detect_language(spark, sf):
-    prof = cut_lineage(language_profiles(B.table(spark, sf, "documents")))
+    prof = language_profiles(B.table(spark, sf, "documents"))   # fit: counts stored once
     turns = B.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return detect_language(turns, prof, ["conv_id", "turn"], profile_rows=prof.count()).select(
         "conv_id", "turn", "lang")
