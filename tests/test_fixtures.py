@@ -243,3 +243,19 @@ def test_published_batch_shape(spark):
     assert len(totals) > 2
     assert all(t > 7167 for _, t in totals[:-1])
     assert totals[-1][1] <= 7167 or len(totals) == 1
+
+
+def test_language_detection_held_out(spark):
+    """Train on half of the distinct contents, detect the other half (split by fingerprint)."""
+    from docweave.operators.identity import content_id_of_text
+    from docweave.operators.language import detect_language, language_profiles
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn(
+        "cid", content_id_of_text(F.col("text")))
+    side = F.conv(F.substring("cid", 1, 2), 16, 10).cast("int") % 2
+    train, held = docs.filter(side == 0), docs.filter(side == 1)
+    prof = language_profiles(train)
+    got = detect_language(held.select("doc_id", "text"), prof, ["doc_id"], profile_rows=prof.count())
+    joined = got.join(held.select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    total = held.count()
+    right = joined.filter(F.col("lang") == F.col("truth")).count()
+    assert total > 300 and right / total > 0.97
