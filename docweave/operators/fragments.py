@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.constants import SENTENCE_CLOSERS
 from docweave.functions.text import clean_lines, strip_ws
-from docweave.plans.scan import dense_positions
+from docweave.plans.scan import dense_positions, running_total
 
 
 def split_fragments(docs: DataFrame, text_col: str = "text", name_col: str = "name",
@@ -40,16 +40,15 @@ def reflow_lines(lines: DataFrame, doc_positions: bool = True) -> DataFrame:
     Input (name, page, pos, text).  Lines are trimmed and blank ones dropped,
     then concatenated with no separator.  Output (name, page, pos, text) where
     ``pos`` numbers the sentences of the whole document from 0 (or of the page
-    when ``doc_positions`` is False).  The window is per page, so one page is
-    the largest unit a task holds; document numbering uses chunked offsets.
+    when ``doc_positions`` is False).  Input ``pos`` numbers lines within a
+    page; the running count of sentence ends is chunked, so no task holds a
+    whole page, and document numbering runs over the small per-page counts.
     """
     clean = (lines.withColumn("text", strip_ws(F.col("text")))
              .filter(F.col("text") != ""))
-    w = (Window.partitionBy("name", "page").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    flagged = clean.withColumn(
-        "sentence",
-        F.coalesce(F.sum(ends_sentence(F.col("text")).cast("int")).over(w), F.lit(0)).cast("bigint"))
+    # sentence id = closers seen on earlier lines of the page (chunked running sum)
+    flagged = running_total(clean, ["name", "page"], "pos",
+                            ends_sentence(F.col("text")).cast("bigint"), "sentence")
     sentences = flagged.groupBy("name", "page", "sentence").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
                                  lambda x: x["text"]), "").alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.constants import RESERVE_TOKENS
 from docweave.functions.text import token_count  # noqa: F401  (T1, re-exported)
+from docweave.plans.scan import running_total
 
 
 def _batch_ends(tokens: Column, limit: int) -> Column:
@@ -77,24 +78,32 @@ def batch_totals(packed: DataFrame) -> DataFrame:
                  F.grouping_id().alias("level")))
 
 
+def _earlier_tokens(ranked: DataFrame, key: str, rank: str, tokens: str, chunked: bool) -> DataFrame:
+    if chunked:
+        return running_total(ranked, [key], rank, F.col(tokens), "_earlier")
+    w = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    return ranked.withColumn("_earlier", F.coalesce(F.sum(tokens).over(w), F.lit(0)))
+
+
 def cut_to_budget(ranked: DataFrame, key: str, budget: int, rank: str = "rank",
-                  tokens: str = "n_tokens") -> DataFrame:
+                  tokens: str = "n_tokens", chunked: bool = False) -> DataFrame:
     """T4. Keep the ranked prefix whose *earlier* rows fit the budget (inclusive cut).
 
     A row is kept iff the tokens of all rows ranked before it total at most
-    ``budget``; the row that overflows is kept, later ones dropped.  Input
-    groups are retrieval results, so each window holds at most the limit.
+    ``budget``; the row that overflows is kept, later ones dropped.  For
+    retrieval results a group holds at most the limit and one window is fine;
+    ``chunked=True`` (unbounded groups, e.g. whole documents) uses the
+    chunked running total so no task holds a whole group.
     """
-    w = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(tokens).over(w), F.lit(0))
-    return ranked.withColumn("_earlier", earlier).filter(F.col("_earlier") <= budget).drop("_earlier")
+    earlier = _earlier_tokens(ranked, key, rank, tokens, chunked)
+    return earlier.filter(F.col("_earlier") <= budget).drop("_earlier")
 
 
 def cut_report(ranked: DataFrame, key: str, budget: int, rank: str = "rank",
-               tokens: str = "n_tokens") -> DataFrame:
+               tokens: str = "n_tokens", chunked: bool = False) -> DataFrame:
     """T5. Per group: candidates, fragments kept, tokens kept, and whether a cut happened."""
-    w = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    flagged = ranked.withColumn("_kept", F.coalesce(F.sum(tokens).over(w), F.lit(0)) <= budget)
+    flagged = _earlier_tokens(ranked, key, rank, tokens, chunked).withColumn(
+        "_kept", F.col("_earlier") <= budget)
     return flagged.groupBy(key).agg(
         F.count(F.lit(1)).cast("bigint").alias("candidates"),
         F.sum(F.col("_kept").cast("int")).cast("bigint").alias("kept"),

@@ -320,13 +320,13 @@ def ranked_fragments(spark, sf) -> DataFrame:
 
 @register
 def q_cut_to_budget(spark, sf):
-    kept = cut_to_budget(ranked_fragments(spark, sf), "name", context_budget(), rank="pos")
+    kept = cut_to_budget(ranked_fragments(spark, sf), "name", context_budget(), rank="pos", chunked=True)
     return kept.select("name", "pos", "n_tokens")
 
 
 @register
 def q_cut_report(spark, sf):
-    return cut_report(ranked_fragments(spark, sf), "name", context_budget(), rank="pos")
+    return cut_report(ranked_fragments(spark, sf), "name", context_budget(), rank="pos", chunked=True)
 
 
 @register

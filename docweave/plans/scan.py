@@ -31,3 +31,24 @@ def dense_positions(df: DataFrame, key: str, order: str, out: str = "pos",
     return (chunked.join(offsets, [key, "_chunk"])
             .withColumn(out, (F.col("_offset") + F.row_number().over(local) - 1).cast("bigint"))
             .drop("_chunk", "_offset"))
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value, out: str,
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over the rows *before* each row of its group.
+
+    Same result as ``sum(value).over(partitionBy(keys).orderBy(order)
+    .rowsBetween(unboundedPreceding, -1))`` (0 for the first row), computed as
+    chunk totals + offsets + a per-chunk window, so no task holds a whole group.
+    ``order`` is numeric and unique per group.
+    """
+    chunked = df.withColumn("_v", value).withColumn(
+        "_chunk", F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
+    totals = chunked.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    local = (Window.partitionBy(*keys, "_chunk").orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    return (chunked.join(offsets, [*keys, "_chunk"])
+            .withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(local), F.lit(0)))
+            .drop("_v", "_chunk", "_off"))

@@ -46,3 +46,17 @@ def test_top_k_is_prefix_of_full_sort(spark, vecs, limit):
     got = [(r.pos, r.score) for r in top_k_inner_product(q, idx, limit, 1, 2).orderBy("rank").collect()]
     full = sorted(((i, round(a * 1.0 + b * 0.5, 6)) for i, (a, b) in enumerate(vecs)), key=lambda t: (-t[1], t[0]))
     assert got == full[:limit]
+
+
+def test_chunked_running_total_matches_window(spark):
+    from pyspark.sql import Window
+    from docweave.plans.scan import running_total
+    df = spark.range(2000).select(
+        F.when(F.col("id") < 1500, F.lit("hot")).otherwise((F.col("id") % 4).cast("string")).alias("k"),
+        (F.col("id") * 2).alias("o"), (F.col("id") % 7).alias("v"))
+    chunked = running_total(df, ["k"], "o", F.col("v"), "before", chunk_rows=37)
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn("before", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    a = sorted(tuple(r) for r in chunked.select("k", "o", "before").collect())
+    b = sorted(tuple(r) for r in plain.select("k", "o", "before").collect())
+    assert a == b
