@@ -2,9 +2,9 @@
 
 A term goes to bucket ``first 32 bits of md5(term) mod dim``.  md5 is used
 instead of a faster hash so the DuckDB oracle can reproduce every bucket.
-The dense count vector is built row-wise from the sorted bucket list: the
-count of bucket i is (last index - first index + 1), found with two native
-array scans, so no shuffle and no per-term lambda are needed.
+The dense count vector is built row-wise from the bucket list: the count of
+bucket i is size(b) - size(array_remove(b, i)), one native array pass per
+dimension, so no shuffle, no sort and no per-term lambda are needed.
 """
 
 from __future__ import annotations
@@ -25,15 +25,9 @@ def bucket_counts(term_array: Column, dim: int) -> Column:
     dims = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
 
     def dense(buckets: Column) -> Column:
-        return let(F.reverse(buckets), lambda rev: F.transform(dims, lambda i: count(buckets, rev, i)))
+        return F.transform(dims, lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i))).cast("double"))
 
-    def count(buckets: Column, rev: Column, i: Column) -> Column:
-        first = F.array_position(buckets, i)
-        last_from_end = F.array_position(rev, i)
-        return F.when(first == 0, F.lit(0.0)).otherwise(
-            (F.size(buckets) + 2 - last_from_end - first).cast("double"))
-
-    return let(F.array_sort(F.transform(term_array, lambda t: term_bucket(t, dim))), dense)
+    return let(F.transform(term_array, lambda t: term_bucket(t, dim)), dense)
 
 
 def hashed_vector(term_array: Column, dim: int) -> Column:
