@@ -99,10 +99,10 @@ def commit_index(spark: SparkSession, changed: DataFrame, path: str, touched_nam
     staged = spark.read.parquet(stage)
     (_for_write(staged, shards, files_per_shard).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+    # At most ``shards`` ids: collecting them is bounded by the layout, not the data.
     kept_shards = {r["shard"] for r in staged.select("shard").distinct().collect()}
     emptied = [r["shard"] for r in touched.collect() if r["shard"] not in kept_shards]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    empty = staged.drop("shard").limit(0)
     for shard in emptied:
-        shard_path = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={shard}")
-        shard_path.getFileSystem(conf).delete(shard_path, True)
+        # overwriting the partition folder with no rows removes its old files
+        empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/shard={shard}")

@@ -73,3 +73,12 @@ def test_embed_query_hook_matches_builtin(spark):
             for r in embed_query(req, 8, embedder=python_hashing_embedder(8)).collect()}
     native = {r.request_id: [round(x, 6) for x in r.embedding] for r in embed_query(req, 8).collect()}
     assert hook == native
+
+
+def test_commit_empties_a_shard(spark, tmp_path):
+    path = str(tmp_path / "idx1")
+    write_index(index_rows(spark, ["only"]), path, shards=4)
+    gone = spark.createDataFrame([("only",)], "name string")
+    current = read_index(spark, path).drop("shard")
+    commit_index(spark, clear_index(current, gone), path, gone, shards=4)
+    assert read_index(spark, path).count() == 0
