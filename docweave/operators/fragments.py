@@ -34,21 +34,28 @@ def ends_sentence(text: Column) -> Column:
     return F.substring(text, -1, 1).isin(SENTENCE_CLOSERS)
 
 
-def reflow_lines(lines: DataFrame, doc_positions: bool = True) -> DataFrame:
+def reflow_lines(lines: DataFrame, doc_positions: bool = True, chunked: bool = False) -> DataFrame:
     """F2. Glue extracted lines of a page until one ends a sentence; flush at page end.
 
     Input (name, page, pos, text).  Lines are trimmed and blank ones dropped,
     then concatenated with no separator.  Output (name, page, pos, text) where
     ``pos`` numbers the sentences of the whole document from 0 (or of the page
     when ``doc_positions`` is False).  Input ``pos`` numbers lines within a
-    page; the running count of sentence ends is chunked, so no task holds a
-    whole page, and document numbering runs over the small per-page counts.
+    page.  The sentence id is the running count of sentence ends on earlier
+    lines of the page: one window per page (a page is bounded by what an
+    extractor returns for one page), or with ``chunked=True`` a chunked
+    running total for inputs whose "pages" may be arbitrarily large.
+    Document numbering runs over the small per-page counts.
     """
     clean = (lines.withColumn("text", strip_ws(F.col("text")))
              .filter(F.col("text") != ""))
-    # sentence id = closers seen on earlier lines of the page (chunked running sum)
-    flagged = running_total(clean, ["name", "page"], "pos",
-                            ends_sentence(F.col("text")).cast("bigint"), "sentence")
+    ends = ends_sentence(F.col("text")).cast("bigint")
+    if chunked:
+        flagged = running_total(clean, ["name", "page"], "pos", ends, "sentence")
+    else:
+        w = (Window.partitionBy("name", "page").orderBy("pos")
+             .rowsBetween(Window.unboundedPreceding, -1))
+        flagged = clean.withColumn("sentence", F.coalesce(F.sum(ends).over(w), F.lit(0)))
     sentences = flagged.groupBy("name", "page", "sentence").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
                                  lambda x: x["text"]), "").alias("text"))

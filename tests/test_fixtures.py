@@ -97,8 +97,9 @@ def test_reflow_page_flush(spark):
     lines = [(1, 1, 0, "The cat"), (1, 1, 1, "sat."), (1, 1, 2, "It"),
              (1, 2, 0, "slept!"), (1, 2, 1, "  "), (1, 2, 2, "End")]
     df = spark.createDataFrame(lines, "name long, page long, pos long, text string")
-    out = reflow_lines(df).orderBy("pos")
-    assert rows(out, "pos", "text") == [(0, "The catsat."), (1, "It"), (2, "slept!"), (3, "End")]
+    for chunked in (False, True):
+        out = reflow_lines(df, chunked=chunked).orderBy("pos")
+        assert rows(out, "pos", "text") == [(0, "The catsat."), (1, "It"), (2, "slept!"), (3, "End")]
 
 
 def test_paragraph_renumbering(spark):
