@@ -15,12 +15,17 @@ from docweave.plans.scan import dense_positions, running_total
 
 
 def split_fragments(docs: DataFrame, text_col: str = "text", name_col: str = "name",
-                    keep: tuple[str, ...] = ()) -> DataFrame:
-    """F1. One row per non-blank trimmed line: (name, *keep, pos, text), pos from 0."""
-    return docs.select(
-        F.col(name_col).alias("name"), *keep,
-        F.posexplode(clean_lines(F.col(text_col))).alias("pos", "text"),
-    ).withColumn("pos", F.col("pos").cast("bigint"))
+                    keep: tuple[str, ...] = (), with_count: bool = False) -> DataFrame:
+    """F1. One row per non-blank trimmed line: (name, *keep, pos, text), pos from 0.
+
+    ``with_count`` adds ``n_fragments`` (fragments of the document), known
+    row-wise at split time, so per-document statistics need no aggregation.
+    """
+    lines = docs.select(F.col(name_col).alias("name"), *keep,
+                        clean_lines(F.col(text_col)).alias("_lines"))
+    counts = [F.size("_lines").cast("bigint").alias("n_fragments")] if with_count else []
+    return lines.select("name", *keep, *counts, F.posexplode("_lines").alias("pos", "text")).withColumn(
+        "pos", F.col("pos").cast("bigint"))
 
 
 def fragment_arrays(docs: DataFrame, text_col: str = "text", name_col: str = "name",

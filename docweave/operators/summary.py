@@ -32,9 +32,14 @@ def fragment_terms(fragments: DataFrame):
 
 
 def document_frequency(fragments: DataFrame) -> DataFrame:
-    """A2. (name, term, df): fragments of the document containing the term."""
-    return (fragments.select("name", F.explode(F.array_distinct(fragment_terms(fragments))).alias("term"))
-            .groupBy("name", "term").agg(F.count(F.lit(1)).cast("bigint").alias("df")))
+    """A2. (name, term, df): fragments of the document containing the term.
+
+    When fragments carry ``n_fragments`` it rides along (it is a function of
+    ``name``), so ``idf`` needs no second aggregation or join.
+    """
+    carry = ["n_fragments"] if "n_fragments" in fragments.columns else []
+    return (fragments.select("name", *carry, F.explode(F.array_distinct(fragment_terms(fragments))).alias("term"))
+            .groupBy("name", *carry, "term").agg(F.count(F.lit(1)).cast("bigint").alias("df")))
 
 
 def vocabulary(fragments: DataFrame) -> DataFrame:
@@ -53,11 +58,14 @@ def idf(doc_freq: DataFrame, fragments: DataFrame, doc_rows: int | None = None)
     ``doc_rows`` (a bound on documents) lets the one-row-per-document counts
     be broadcast, so the large (name, term) table keeps its partitioning.
     """
-    counts = fragment_counts(fragments)
-    if doc_rows is not None:
-        counts = maybe_broadcast(counts, doc_rows, 32)
-    return (doc_freq.join(counts, "name")
-            .withColumn("idf", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0))
+    if "n_fragments" in doc_freq.columns:
+        with_n = doc_freq.withColumnRenamed("n_fragments", "n")
+    else:
+        counts = fragment_counts(fragments)
+        if doc_rows is not None:
+            counts = maybe_broadcast(counts, doc_rows, 32)
+        with_n = doc_freq.join(counts, "name")
+    return with_n.withColumn("idf", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
 def sif_weight(fragments: DataFrame, idf_table: DataFrame, alpha: float = SIF_ALPHA) -> DataFrame:

@@ -58,7 +58,8 @@ def register(fn: Query) -> Query:
 
 
 def doc_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    return split_fragments(B.documents(spark, sf))
+    """Fragments of every document, with the document's language and fragment count."""
+    return split_fragments(B.documents(spark, sf), keep=("lang",), with_count=True)
 
 
 def requested_fragments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
@@ -434,7 +435,7 @@ def q_mean_vector(spark, sf):
 
 @register
 def q_document_frequency(spark, sf):
-    return document_frequency(doc_fragments(spark, sf))
+    return document_frequency(doc_fragments(spark, sf)).select("name", "term", "df")
 
 
 @register

@@ -28,9 +28,13 @@ def centroids(fragments: DataFrame, methods: DataFrame, doc_rows: int | None = N
     ``fragments`` has (name, pos, text, embedding); ``methods`` has (name, method),
     broadcast when ``doc_rows`` bounds it.
     """
-    if doc_rows is not None:
-        methods = maybe_broadcast(methods, doc_rows, 32)
-    tagged = fragments.join(methods, "name")
+    if "lang" in fragments.columns:
+        # the language rides on each fragment: route without a join
+        tagged = fragments.withColumn("method", summary_method(F.col("lang")))
+    else:
+        if doc_rows is not None:
+            methods = maybe_broadcast(methods, doc_rows, 32)
+        tagged = fragments.join(methods, "name")
     plain = tagged.filter(F.col("method") == "mean")
     sif = tagged.filter(F.col("method") == "sif").drop("method")
     idf_table = idf(document_frequency(sif), sif, doc_rows)
