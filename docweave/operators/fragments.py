@@ -20,11 +20,19 @@ def split_fragments(docs: DataFrame, text_col: str = "text", name_col: str = "na
 
     ``with_count`` adds ``n_fragments`` (fragments of the document), known
     row-wise at split time, so per-document statistics need no aggregation.
+    It costs a projection of the line array before the explode, which
+    measured about 3x slower than exploding the expression directly, so it
+    is off by default.
     """
+    if not with_count:
+        return docs.select(
+            F.col(name_col).alias("name"), *keep,
+            F.posexplode(clean_lines(F.col(text_col))).alias("pos", "text"),
+        ).withColumn("pos", F.col("pos").cast("bigint"))
     lines = docs.select(F.col(name_col).alias("name"), *keep,
                         clean_lines(F.col(text_col)).alias("_lines"))
-    counts = [F.size("_lines").cast("bigint").alias("n_fragments")] if with_count else []
-    return lines.select("name", *keep, *counts, F.posexplode("_lines").alias("pos", "text")).withColumn(
+    return lines.select("name", *keep, F.size("_lines").cast("bigint").alias("n_fragments"),
+                        F.posexplode("_lines").alias("pos", "text")).withColumn(
         "pos", F.col("pos").cast("bigint"))
 
 

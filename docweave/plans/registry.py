@@ -58,8 +58,8 @@ def register(fn: Query) -> Query:
 
 
 def doc_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    """Fragments of every document, with the document's language and fragment count."""
-    return split_fragments(B.documents(spark, sf), keep=("lang",), with_count=True)
+    """Fragments of every document, carrying the document's language (free through the explode)."""
+    return split_fragments(B.documents(spark, sf), keep=("lang",))
 
 
 def requested_fragments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
