@@ -40,3 +40,13 @@ def test_spread_only_when_too_few_splits(spark):
     spread_one = spread(one, 8)
     assert spread_one.rdd.getNumPartitions() == 8
     assert spread_one.agg(F.sum("id")).collect()[0][0] == sum(range(1000))
+
+
+def test_materialize_uses_session_checkpoint_dir(spark):
+    from docweave.plans.sizing import materialize
+    from docweave.session import checkpoint_dir
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert checkpoint_dir(spark) == configured
+    staged = materialize(spark.range(5), "unit")
+    assert staged.count() == 5
+    assert all(configured.rstrip("/").removeprefix("file:") in f for f in staged.inputFiles())
