@@ -8,11 +8,32 @@ from pyspark.sql import functions as F
 
 from docweave.llm.bpe_codec import encode_decode
 from docweave.llm.common import table
+from docweave.llm.line_dedup import PAGE_LINES, drop_boilerplate, host_of, page_lines
+from docweave.llm.quality_rules import quality_rules
+from docweave.llm.sharding import balanced, shard_rows
 from docweave.llm.token_count import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+SITE_RATIO, SITE_PAGES, SITE_HITS = 0.1, 20, 5
+
+
+def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), balanced(16))
+
+
+def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the lines that stand on a large share of their host's pages."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
+    return drop_boilerplate(pages, "host", "text", SITE_RATIO, SITE_PAGES, SITE_HITS)
+
+
+def op4_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
@@ -24,8 +45,45 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hash_tree_sharding": op1_hash_tree_sharding,
+    "op2_site_line_dedup": op2_site_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_mcd_quality_rules": op4_mcd_quality_rules,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
-ORACLE: dict[str, str] = {}
+
+
+def _page_lines_sql(html: str) -> str:
+    for pattern, replacement in PAGE_LINES:
+        quoted = pattern.replace("'", "''")
+        html = f"regexp_replace({html}, '{quoted}', '{replacement}', 'g')"
+    return html
+
+
+_BLANKS = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
+
+OP2_SQL = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]+)', 1)), '') AS host,
+         {_page_lines_sql('html')} AS text
+  FROM pages),
+l AS (
+  SELECT p.rid, p.host, u.i, string_split(p.text, chr(10))[u.i] AS raw
+  FROM p, LATERAL (SELECT unnest(range(1, len(string_split(p.text, chr(10))) + 1)) AS i) u),
+t AS (SELECT rid, host, i, raw, trim(raw, {_BLANKS}) AS line FROM l),
+bad AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS n FROM t WHERE line <> '' GROUP BY ALL)
+  JOIN (SELECT host, count(*) AS n_pages FROM p WHERE host IS NOT NULL GROUP BY host) USING (host)
+  WHERE n_pages >= {SITE_PAGES} AND n >= {SITE_HITS} AND n >= {SITE_RATIO} * n_pages),
+k AS (SELECT t.*, bad.line IS NULL AS keep FROM t LEFT JOIN bad ON t.host = bad.host AND t.line = bad.line),
+a AS (
+  SELECT rid, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (keep), '') AS text,
+         count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (NOT keep) AS n_dropped
+  FROM k GROUP BY rid)
+SELECT p.page_id, p.host, a.text, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.n_dropped, 0) AS n_dropped
+FROM p LEFT JOIN a USING (rid)
+"""
+
+ORACLE: dict[str, str] = {"op2_site_line_dedup": OP2_SQL}
