@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from docweave.llm.bpe_codec import encode_decode
 from docweave.llm.common import table
+from docweave.llm.language_id import fit_languages, label_languages
 from docweave.llm.line_dedup import PAGE_LINES, drop_boilerplate, host_of, page_lines
+from docweave.llm.near_dups import near_duplicates
 from docweave.llm.quality_rules import quality_rules
 from docweave.llm.sharding import balanced, shard_rows
 from docweave.llm.token_count import token_counts
@@ -38,6 +40,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op6_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = label_languages(docs, fit_languages(docs.filter(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_chosen_path_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"),
@@ -49,6 +62,8 @@ QUERIES = {
     "op2_site_line_dedup": op2_site_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mcd_quality_rules": op4_mcd_quality_rules,
+    "op6_script_viterbi_language": op6_script_viterbi_language,
+    "op7_chosen_path_near_dups": op7_chosen_path_near_dups,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
