@@ -6,6 +6,7 @@ is exactly ``bytes.split()``, and ``bytes.lower()`` folds exactly A-Z.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,8 +76,18 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int,
     return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in on]).drop("_salt")
 
 
+def _importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one record batch into the columns of ``schema``."""
+    _importable(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

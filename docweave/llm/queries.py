@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.bpe_codec import encode_decode
+from docweave.llm.chunk_dedup import repeated_spans
 from docweave.llm.common import table
+from docweave.llm.decontaminate import benchmark_leaks
 from docweave.llm.language_id import fit_languages, label_languages
 from docweave.llm.line_dedup import PAGE_LINES, drop_boilerplate, host_of, page_lines
 from docweave.llm.near_dups import near_duplicates
+from docweave.llm.quality_classifier import fit_quality, score_quality
 from docweave.llm.quality_rules import quality_rules
 from docweave.llm.sharding import balanced, shard_rows
 from docweave.llm.token_count import token_counts
@@ -40,6 +43,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op5_chunk_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -51,20 +58,34 @@ def op7_chosen_path_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.drop("text_key")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).drop("at")
+
+
 QUERIES = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_site_line_dedup": op2_site_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mcd_quality_rules": op4_mcd_quality_rules,
+    "op5_chunk_substring_dedup": op5_chunk_substring_dedup,
     "op6_script_viterbi_language": op6_script_viterbi_language,
     "op7_chosen_path_near_dups": op7_chosen_path_near_dups,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_co_trained_quality": op10_co_trained_quality,
 }
 
 
