@@ -120,14 +120,16 @@ class Codec:
 _CODECS: dict[int, Codec] = {}
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
-                        T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())])
+                        T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType()),
+                        T.StructField("round_trip", T.BooleanType())])
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_le, decoded) of every row of ``docs``.
+    """(doc_id, n_tokens, ids_le, decoded, round_trip) of every row of ``docs``.
 
     ``ids_le`` holds the ids as little-endian unsigned 32-bit integers and
-    ``decoded`` the text that those ids give back.  A null text is encoded as
+    ``decoded`` the text that those ids give back; ``round_trip`` says that it
+    is the text that was encoded.  A null text is encoded as
     the empty text (no ids, decoded empty).  Texts are encoded whole; repeated
     rows give repeated rows; an empty table gives an empty result; other
     columns are not read.  Added tokens inside a text become their own ids.
@@ -137,8 +139,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batch: pa.RecordBatch) -> dict:
         vocab = parsed(data.value)
         codec = _CODECS.setdefault(id(vocab), Codec(vocab))
-        packed = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        packed = [codec.encode(t) for t in texts]
+        decoded = [codec.decode(p) for p in packed]
         return {"doc_id": batch.column(0), "n_tokens": [len(p) // 4 for p in packed], "ids_le": packed,
-                "decoded": [codec.decode(p) for p in packed]}
+                "decoded": decoded, "round_trip": [a == b for a, b in zip(texts, decoded)]}
 
     return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), run, ENCODED)

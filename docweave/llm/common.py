@@ -101,6 +101,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.S
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``keep`` of their record batch is true."""
+    _importable(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class TwoGenerations(dict):
     """Memo of ``make(key)`` bounded to about ``2 * size`` entries: the older half goes first.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import map_batches
+from docweave.llm.common import map_batches, sized, staged
 
 K1, B = 1.2, 0.75
 BLOCK = 64                 # postings that share one maximum
@@ -240,6 +240,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose (id, text) holds a test item."""
-    marked = leaks.select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    marked = sized(staged(leaks.select(F.col("doc_id").alias("_id"), "text_key").distinct(), "leaks"), 32)
     on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("text_key"))
     return docs.join(marked, on, "left_anti")

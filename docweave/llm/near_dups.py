@@ -328,3 +328,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, t
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """``docs``, all columns, with one document of each near-duplicate group: the one with the smallest id.
+
+    Rows that repeat an id are one document, of which one row stays.  Rows with a
+    null id have nothing to decide by and stay.
+    """
+    found = staged(near_duplicates(docs, id_col=id_col, **settings).select("doc_id", "kept"), "near-verdicts")
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"),
+                                                                   F.count(F.lit(1)).alias("n"))
+    dropped = staged(ids.filter("NOT kept").select(F.col("doc_id").alias("_id")), "near-dropped")
+    repeated = staged(ids.filter("n > 1").select(F.col("doc_id").alias("_id")), "near-repeated")
+    key = F.col(id_col).cast("long") == F.col("_id")
+    stay = docs.join(sized(dropped, 16), key, "left_anti")
+    repeated = sized(repeated, 16)
+    return stay.join(repeated, key, "left_anti").unionByName(
+        stay.join(repeated, key, "left_semi").dropDuplicates([id_col]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import bounded_sample, map_batches, sized, staged
+from docweave.llm.common import bounded_sample, filter_batches, map_batches, sized, staged
 
 _FOLD = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else (c if c >= 128 else 32) for c in range(256))
 _LOWER = bytes(range(97, 123))
@@ -165,8 +165,8 @@ _FEATURES = T.StructType([T.StructField("label", T.LongType()), T.StructField("c
                           T.StructField("metadata", T.ArrayType(T.DoubleType()))])
 _WORDS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("good", T.LongType()),
                        T.StructField("bad", T.LongType())])
-_SCORED = T.StructType([T.StructField("at", T.LongType()), T.StructField("doc_id", T.LongType()),
-                        T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+_SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()),
+                        T.StructField("kept", T.BooleanType())])
 
 
 def _telling_words(sample: DataFrame, s: CoTraining) -> dict[bytes, int]:
@@ -238,31 +238,47 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: CoTraining = CoTra
     return QualityModel(vocabulary, *co_train(content, metadata, label, settings))
 
 
+def _good_probability(model: QualityModel | None, texts: list, lang: list, source: list, n_chars: list) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    if not texts:
+        return np.empty(0)
+    content = np.stack([content_row((t or "").encode(), model.vocabulary) for t in texts])
+    metadata = np.stack([metadata_row(*x) for x in zip(lang, source, n_chars)])
+    return 1 / (1 + np.exp(np.clip(model.bad_log_odds(content, metadata), -30, 30)))
+
+
 def score_quality(docs: DataFrame, model: QualityModel | None, least: float = 0.5, id_col: str = "doc_id",
                   text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  chars_col: str = "n_chars", at_col: str | None = None) -> DataFrame:
-    """(at, doc_id, score, kept) of every row of ``docs``: probability of a good document.
+                  chars_col: str = "n_chars") -> DataFrame:
+    """(doc_id, score, kept) of every row of ``docs``: probability of a good document.
 
     ``kept`` says score >= ``least``.  Without a model the score is 0.5 and
     every row is kept.  Whole texts are scored; a null text counts as empty, null
     metadata as values of their own; repeated rows give repeated rows; an
-    empty table gives an empty result.  ``at`` is ``at_col`` if given, else null.
+    empty table gives an empty result.
     """
-    at = docs[at_col].cast("long") if at_col else F.lit(None).cast("long")
-    rows = docs.select(at.alias("at"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"),
-                       docs[lang_col].alias("lang"), docs[source_col].alias("source"),
-                       docs[chars_col].cast("long").alias("n_chars"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col], docs[lang_col], docs[source_col],
+                       docs[chars_col].cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
-        fitted: QualityModel | None = shared.value
-        if fitted is None:
-            values = np.full(batch.num_rows, 0.5)
-        else:
-            content = np.stack([content_row(t.as_py() or b"", fitted.vocabulary) for t in batch.column("text")])
-            columns = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-            metadata = np.stack([metadata_row(*x) for x in zip(*columns)])
-            values = 1 / (1 + np.exp(np.clip(fitted.bad_log_odds(content, metadata), -30, 30)))
-        return {"at": batch.column("at"), "doc_id": batch.column("doc_id"), "score": values, "kept": values >= least}
+        values = _good_probability(shared.value, *(batch.column(k).to_pylist() for k in range(1, 5)))
+        kept = np.ones(len(values), bool) if shared.value is None else values >= least
+        return {"doc_id": batch.column(0), "score": values, "kept": kept}
 
     return map_batches(rows, score, _SCORED)
+
+
+def good_documents(docs: DataFrame, model: QualityModel | None, least: float = 0.5, text_col: str = "text",
+                   lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score_quality`` keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> list:
+        if shared.value is None:
+            return [True] * batch.num_rows
+        columns = (batch.column(c).to_pylist() for c in (text_col, lang_col, source_col, chars_col))
+        return (_good_probability(shared.value, *columns) >= least).tolist()
+
+    return filter_batches(docs, keep)

@@ -72,7 +72,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).drop("at")
+    return score_quality(docs, model)
 
 
 QUERIES = {
