@@ -1,0 +1,112 @@
+import random
+from collections import defaultdict
+
+import xxhash
+from conftest import SMOKE
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docweave.llm import queries
+from docweave.llm.chunk_dedup import GEAR, LARGEST, MASK, SMALLEST, chunk_ends, repeated_spans, without_repeats
+
+
+def slow_ends(text):
+    """One byte at a time."""
+    ends, last, h = [], 0, 0
+    safe = lambda k: k >= len(text) or text[k] & 0xC0 != 0x80
+    for t, b in enumerate(text):
+        h = ((h << 1) + int(GEAR[b])) & 0xFFFF
+        if h & int(MASK) == 0 and safe(t + 1) and t + 1 - last >= SMALLEST:
+            while t + 1 - last > LARGEST:
+                cut = last + LARGEST
+                while not safe(cut):
+                    cut -= 1
+                ends.append(cut)
+                last = cut
+            if t + 1 - last >= SMALLEST:
+                ends.append(t + 1)
+                last = t + 1
+    while len(text) - last > LARGEST:
+        cut = last + LARGEST
+        while not safe(cut):
+            cut -= 1
+        ends.append(cut)
+        last = cut
+    return ends + [len(text)] * (last < len(text))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(max_size=900), st.text("ab c", max_size=900), st.text("é中😀", max_size=500)))
+def test_chunks(text):
+    data = text.encode()
+    ends = chunk_ends(data)
+    assert ends == slow_ends(data)
+    parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+    assert b"".join(parts) == data and all(0 < len(p) <= LARGEST for p in parts)
+    for p in parts:
+        p.decode()
+
+
+def test_an_insertion_changes_only_chunks_near_it():
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(3000)).encode()
+    other = text[:9000] + b" inserted words " + text[9000:]
+    parts = lambda x: {x[a:b] for a, b in zip([0, *chunk_ends(x)], chunk_ends(x))}
+    assert len(parts(other) - parts(text)) <= 6
+
+
+def brute(rows, min_words=50, min_bytes=96):
+    own, cut = defaultdict(set), []
+    for i, t, *_ in rows:
+        data = (t or "").encode()
+        ends = chunk_ends(data)
+        keys = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends], ends)]
+        cut.append((i, data, ends, keys))
+        for k in keys:
+            if i is not None:
+                own[k].add(i)
+    spans = []
+    for i, data, ends, keys in cut:
+        k = 0
+        while k < len(keys):
+            a = k
+            while k < len(keys) and len(own[keys[k]]) > 1:
+                k += 1
+            if k > a:
+                start, end = (ends[a - 1] if a else 0), ends[k - 1]
+                left, right = (ends[a - 2] if a > 1 else 0), ends[min(k, len(ends) - 1)]
+                blank = lambda p: data[p] in b" \t\n\r\v\f"
+                words = sum(not blank(p) and (p == 0 or blank(p - 1)) for p in range(left, right))
+                first = {min(own[x]) for x in keys[a:k]}
+                if end - start >= min_bytes and words >= min_words:
+                    spans.append((i, start, end, k - a, min(first), first == {i}))
+            k += 1
+    return spans
+
+
+def found_spans(df):
+    return sorted(((r.doc_id, r.span_start, r.span_end, r.n_chunks, r.first_doc_id, r.is_first) for r in df.collect()),
+                  key=repr)
+
+
+def test_spans_against_brute_force(spark, make_docs, odd_rows):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()]
+    assert found_spans(queries.op5_chunk_substring_dedup(spark, SMOKE)) == sorted(brute(docs), key=repr)
+    assert found_spans(repeated_spans(make_docs(odd_rows))) == sorted(brute(odd_rows), key=repr)
+    assert repeated_spans(make_docs([])).count() == 0
+
+
+def test_a_repeated_passage_is_found_and_cut(make_docs):
+    rnd = random.Random(3)
+    prose = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 9))) for _ in range(n))
+    passages = [prose(55) for _ in range(40)]
+    rows = [(2 * k + j, f"{prose(80)} {p} {prose(80)}") for k, p in enumerate(passages) for j in (0, 1)]
+    rows += [(500 + k, prose(200)) for k in range(40)] + [(900, None)]
+    docs = make_docs(rows)
+    spans = repeated_spans(docs)
+    hit = {r.doc_id for r in spans.collect()}
+    assert hit == set(range(80))
+    texts = {r.doc_id: r.text for r in without_repeats(docs, spans).collect()}
+    before = dict(rows)
+    assert all(texts[2 * k] == before[2 * k] and len(texts[2 * k + 1]) < len(before[2 * k + 1]) for k in range(40))
+    assert all(texts[i] == before[i] for i in [900, *range(500, 540)])
