@@ -11,17 +11,22 @@ _SUFFIX = "(" + "|".join(s.lstrip(".").replace(".", r"\.") for s in SUPPORTED_SU
 
 
 def read_text_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """S1. One row per UTF-8 text file: (uri, text)."""
+    """S1. One row per UTF-8 text file: (name := file name, uri, text)."""
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("uri"),
+        F.col("value").alias("text"))
 
 
 def source_kind(uri: Column) -> Column:
-    """S2. 'pdf' | 'txt' | 'docx' from the path suffix (query and fragment ignored), else 'unsupported'."""
-    path = F.lower(F.regexp_replace(uri, r"[?#].*$", ""))
-    kind = F.regexp_extract(path, r"\." + _SUFFIX + "$", 1)
+    """S2. 'pdf' | 'txt' | 'docx' from the path suffix, else 'unsupported' (also for NULL).
+
+    Query and fragment are cut from http(s) addresses only: a file name may hold ``#`` or ``?``.
+    """
+    path = F.lower(F.regexp_replace(uri, r"(?i)^(https?://[^?#]*)[?#].*$", "$1"))
+    kind = F.coalesce(F.regexp_extract(path, r"\." + _SUFFIX + "$", 1), F.lit(""))
     return F.when(kind == "", F.lit("unsupported")).otherwise(kind)
 
 

@@ -43,7 +43,8 @@ def html_text(html: Column) -> Column:
 
 
 def article_html(html: Column) -> Column:
-    return F.regexp_extract(html, ARTICLE, 1)
+    """The content of every article element, one after another; empty without one."""
+    return F.array_join(F.regexp_extract_all(html, F.lit(ARTICLE), 1), "\n")
 
 
 def text_or_fallback(primary: Column, fallback: Column) -> Column:

@@ -1,19 +1,25 @@
-"""The fragment index: a Parquet table partitioned by a hash shard of ``name``.
-
-Layout: ``name, pos, text, embedding, shard``.  Reading a few names prunes to
-their shards (the shard expression of a literal folds to a constant, so the
-filter reaches the partition listing).  Changes are DataFrame operations
-(anti-join, union); committing them rewrites only the touched shards with a
-dynamic partition overwrite from a staged copy, and removes shards a change
-leaves empty (a dynamic overwrite would otherwise keep their old files).
+"""The fragment index: one Parquet table partitioned by a hash shard of ``name``.
+
+Layout: ``name, pos, text, embedding, shard``; batch writes, the stream, clear
+and reindex all use it.  The number of shards and the schema are stored beside
+the table (``<path>_layout``) when it is created, so readers and writers cannot
+disagree and an index without rows can be read.
+Reading a few names prunes to their shards, and files are sorted by (name, pos).
+
+Writing continues the positions of names that are already stored.  Changes are
+committed by staging the new rows of the touched shards and overwriting just
+those partitions; shards left empty are removed.  The names of an index are
+the names of its rows: a cleared document is unknown at once and can come back.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.plans.scan import dense_positions
 from docweave.session import checkpoint_dir
@@ -21,6 +27,52 @@ from docweave.session import checkpoint_dir
 DEFAULT_SHARDS = 64
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists; a storage error is raised, not taken for absence."""
+    fs, jpath = _file_system(spark, path)
+    return bool(fs.exists(jpath))
+
+
+def layout_path(path: str) -> str:
+    return path.rstrip("/") + "_layout"
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, layout_path(path))
+
+
+def stored_shards(spark: SparkSession, path: str) -> int:
+    """Number of shards the index was created with."""
+    return spark.read.parquet(layout_path(path)).select("shards").first()[0]
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the index (``shard`` is the last column)."""
+    schema = T.StructType.fromJson(json.loads(spark.read.parquet(layout_path(path)).select("schema").first()[0]))
+    return spark.read.schema(schema).parquet(path)
+
+
+def open_index(spark: SparkSession, path: str, schema: T.StructType, shards: int | None = None) -> int:
+    """Shard count of the index, created for rows of ``schema`` in ``shards`` if there is none yet."""
+    if index_exists(spark, path):
+        stored = stored_shards(spark, path)
+        if shards is not None and shards != stored:
+            raise ValueError(f"the index at {path} has {stored} shards, not {shards}")
+        return stored
+    count = shards or DEFAULT_SHARDS
+    fields = [f for f in schema.fields if f.name != "shard"] + [T.StructField("shard", T.IntegerType())]
+    fs, jpath = _file_system(spark, path)
+    fs.mkdirs(jpath)
+    (spark.createDataFrame([(count, T.StructType(fields).json())], "shards int, schema string").coalesce(1)
+     .write.mode("overwrite").parquet(layout_path(path)))
+    return count
+
+
 def shard_of(name: Column, shards: int = DEFAULT_SHARDS) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(shards)).cast("int")
 
@@ -29,29 +81,39 @@ def with_shard(df: DataFrame, shards: int = DEFAULT_SHARDS) -> DataFrame:
     return df.withColumn("shard", shard_of(F.col("name"), shards))
 
 
-def _for_write(df: DataFrame, shards: int, files_per_shard: int) -> DataFrame:
-    """Cluster rows by shard for writing, each shard split over ``files_per_shard`` tasks.
-
-    ``repartition("shard")`` alone would send a whole shard to one task; a
-    salt from (name, pos) spreads it.  Size ``files_per_shard`` so one file
-    holds a few hundred MB (index bytes / shards / target file size).
-    """
-    salt = F.pmod(F.xxhash64("name", "pos"), F.lit(files_per_shard))
-    return df.repartition(shards * files_per_shard, F.col("shard"), salt)
+def _for_write(df: DataFrame) -> DataFrame:
+    """Rows gathered by shard, in files of the advisory size: AQE splits a large shard and joins small ones."""
+    return df.hint("rebalance", "shard").sortWithinPartitions("shard", "name", "pos")
 
 
-def write_index(df: DataFrame, path: str, shards: int = DEFAULT_SHARDS, mode: str = "append",
-                files_per_shard: int = 1) -> None:
-    """S4 (storage). Append (or overwrite) rows (name, pos, text, embedding)."""
-    (_for_write(with_shard(df, shards), shards, files_per_shard)
-     .write.mode(mode).partitionBy("shard").parquet(path))
+def write_index(df: DataFrame, path: str, shards: int | None = None, mode: str = "append") -> None:
+    """S4 (storage). Append rows (name, pos, text, embedding), or overwrite the index with them.
 
-
-def read_index(spark: SparkSession, path: str, names=None, shards: int = DEFAULT_SHARDS) -> DataFrame:
+    Appended rows of a name that is stored already are numbered after its
+    stored ones, in the order of their ``pos``.  ``shards`` counts when the index is
+    created; later it may be left out, and a different value raises.
+    """
+    spark = df.sparkSession
+    if mode == "overwrite" and index_exists(spark, path):
+        fs, layout = _file_system(spark, layout_path(path))
+        fs.delete(layout, True)
+    count = open_index(spark, path, df.schema, shards)
+    rows = with_shard(df, count)
+    if mode == "append":
+        starts = (stored_rows(spark, path).join(rows.select("shard", "name").distinct(), ["shard", "name"], "left_semi")
+                  .groupBy("name").agg((F.max("pos") + 1).alias("_start")))
+        rows = (rows.join(starts, "name", "left")
+                .withColumn("pos", F.col("pos") + F.coalesce("_start", F.lit(0))).drop("_start"))
+    options = {"partitionOverwriteMode": "static"} if mode == "overwrite" else {}
+    _for_write(rows).write.mode(mode).options(**options).partitionBy("shard").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, names=None) -> DataFrame:
     """S5. The index, or only ``names`` (a list of values or a DataFrame with ``name``)."""
-    index = spark.read.parquet(path)
+    index = stored_rows(spark, path)
     if names is None:
         return index
+    shards = stored_shards(spark, path)
     if isinstance(names, DataFrame):
         wanted = names.select("name").distinct().withColumn("shard", shard_of(F.col("name"), shards))
         return index.join(wanted, ["shard", "name"], "left_semi")
@@ -61,6 +123,17 @@ def read_index(spark: SparkSession, path: str, names=None, shards: int = DEFAULT
     return index.filter(F.col("shard").isin(wanted_shards) & F.col("name").isin(list(names)))
 
 
+def stored_names(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """Those of ``names`` that the index holds.
+
+    Only the names' shards are read, and of them the first fragment of each
+    document (``pos`` 0, a pushed-down filter) and two columns.
+    """
+    wanted = names.select("name").distinct().withColumn("shard", shard_of(F.col("name"), stored_shards(spark, path)))
+    firsts = stored_rows(spark, path).filter(F.col("pos") == 0).select("shard", "name")
+    return wanted.join(firsts, ["shard", "name"], "left_semi").select("name")
+
+
 def append_positions(existing: DataFrame, new_rows: DataFrame, order: list[str]) -> DataFrame:
     """S4 (positions). Number new rows of each name after the ones already stored.
 
@@ -84,25 +157,36 @@ def reindex(index: DataFrame, new_rows: DataFrame) -> DataFrame:
     return clear_index(index, new_rows).unionByName(new_rows, allowMissingColumns=True)
 
 
-def commit_index(spark: SparkSession, changed: DataFrame, path: str, touched_names: DataFrame,
-                 shards: int = DEFAULT_SHARDS, files_per_shard: int = 1) -> None:
+def commit_index(spark: SparkSession, changed: DataFrame, path: str, touched_names: DataFrame) -> None:
     """Write ``changed`` (the new full content) back, rewriting only touched shards.
 
     The touched shards' new rows are staged under the shared checkpoint
-    folder first, so the overwrite never reads the files it replaces.
-    Shards that end up empty are deleted explicitly.
+    folder first, so the overwrite never reads the files it replaces, and the
+    staged copy is removed afterwards.
     """
-    touched = touched_names.select(shard_of(F.col("name"), shards).alias("shard")).distinct()
-    rows = with_shard(changed.drop("shard"), shards).join(F.broadcast(touched), "shard", "left_semi")
+    shards = stored_shards(spark, path)
+    # At most ``shards`` ids: collecting them is bounded by the layout, not the data.
+    touched = [r["shard"] for r in touched_names.select(
+        shard_of(F.col("name"), shards).alias("shard")).distinct().collect()]
+    rows = with_shard(changed.drop("shard"), shards).filter(F.col("shard").isin(touched))
     stage = f"{checkpoint_dir(spark).rstrip('/')}/index-stage-{uuid.uuid4().hex}"
     rows.write.mode("overwrite").parquet(stage)
-    staged = spark.read.parquet(stage)
-    (_for_write(staged, shards, files_per_shard).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
-    # At most ``shards`` ids: collecting them is bounded by the layout, not the data.
-    kept_shards = {r["shard"] for r in staged.select("shard").distinct().collect()}
-    emptied = [r["shard"] for r in touched.collect() if r["shard"] not in kept_shards]
-    empty = staged.drop("shard").limit(0)
-    for shard in emptied:
-        # overwriting the partition folder with no rows removes its old files
-        empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/shard={shard}")
+    staged = spark.read.schema(rows.schema).parquet(stage)
+    (_for_write(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("shard").parquet(path))
+    kept = {r["shard"] for r in staged.select("shard").distinct().collect()}
+    for shard in set(touched) - kept:
+        fs, folder = _file_system(spark, f"{path.rstrip('/')}/shard={shard}")
+        fs.delete(folder, True)
+    fs, staged_folder = _file_system(spark, stage)
+    fs.delete(staged_folder, True)
+
+
+def clear_names(spark: SparkSession, path: str, names: DataFrame) -> None:
+    """S6 on a stored index: the rows of ``names`` are gone afterwards."""
+    commit_index(spark, clear_index(read_index(spark, path).drop("shard"), names), path, names)
+
+
+def replace_documents(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
+    """S7 on a stored index: every document of ``new_rows`` has exactly those rows afterwards."""
+    commit_index(spark, reindex(read_index(spark, path).drop("shard"), new_rows), path, new_rows)

@@ -1,14 +1,12 @@
 """Streaming ingest (D1) and stream de-duplication.
 
 Files arriving in a folder are fragmented, fingerprinted and appended to the
-index exactly once per fingerprint.  ``foreachBatch`` is at-least-once, so
-each micro-batch first drops fingerprints already stored (a left-anti join
-on ``name``): replaying a batch after a failure between the write and the
-checkpoint commit adds nothing.  Each batch is written to its own
-``batch_id`` partition with dynamic overwrite, so a replay replaces it.
-
-Existence is checked against a narrow side table of names (one row per
-document, ``<index>_names``) rather than by scanning the fragment index.
+index exactly once per fingerprint.  ``foreachBatch`` is at-least-once, so each
+micro-batch first drops the fingerprints that the index already holds.  All
+rows of a document are written by one task into one file, so after a failure
+at any point a document is stored whole or not at all, and the replay adds
+just what is missing.  Any number of sources and checkpoints may feed one
+index, whose layout is that of ``sources.index``.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from pyspark.sql import types as T
 from docweave.functions.text import clean_lines
 from docweave.operators.embedding import hashing_embedder
 from docweave.operators.identity import content_id_of
-from docweave.sources.index import with_shard
+from docweave.sources.index import open_index, stored_names, with_shard
 
 TEXT_FILE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
@@ -31,6 +29,8 @@ def dedupe_stream(df: DataFrame, id_col: str = "content_id", watermark_col: str
 
     With ``watermark_col``/``delay`` the state is bounded: duplicates are only
     caught within the watermark delay (``dropDuplicatesWithinWatermark``).
+    Without them every fingerprint ever seen stays in state, which grows
+    without bound.
     """
     if watermark_col and delay:
         return df.withWatermark(watermark_col, delay).dropDuplicatesWithinWatermark([id_col])
@@ -45,46 +45,31 @@ def documents_from_files(stream: DataFrame) -> DataFrame:
             .withColumn("name", content_id_of(F.col("fragments"))))
 
 
-def names_path_of(index_path: str) -> str:
-    return index_path.rstrip("/") + "_names"
-
-
-def _stored_names(spark: SparkSession, names_path: str, batch_id: int) -> DataFrame | None:
-    """Names stored by earlier batches (a replay of this batch must not hide itself)."""
-    try:
-        names = spark.read.parquet(names_path)
-    except Exception:  # nothing stored yet
-        return None
-    return names.filter(F.col("batch_id") != batch_id).select("name")
+def ingest_batch(batch: DataFrame, index_path: str, dim: int, shards: int | None = None) -> None:
+    """Adds the documents of a batch that the index does not hold."""
+    spark = batch.sparkSession
 
+    def rows_of(docs: DataFrame) -> DataFrame:
+        carried = [c for c in ("shard",) if c in docs.columns]
+        frags = docs.select("name", *carried, F.posexplode("fragments").alias("pos", "text"))
+        return hashing_embedder(frags.withColumn("pos", F.col("pos").cast("bigint")), dim)
 
-def ingest_batch(batch: DataFrame, batch_id: int, index_path: str, dim: int) -> None:
-    spark = batch.sparkSession
-    names_path = names_path_of(index_path)
+    count = open_index(spark, index_path, rows_of(batch).schema, shards)
     docs = batch.dropDuplicates(["name"])
-    known = _stored_names(spark, names_path, batch_id)
-    if known is not None:
-        docs = docs.join(known, "name", "left_anti")
-    docs = docs.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    frags = docs.select("name", "batch_id", F.posexplode("fragments").alias("pos", "text")).withColumn(
-        "pos", F.col("pos").cast("bigint"))
-    rows = with_shard(hashing_embedder(frags, dim))
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id", "shard").parquet(index_path))
-    # Names last: a crash before this line leaves the batch unrecorded, and the
-    # replay rewrites both partitions.
-    (spark.read.parquet(index_path).filter(F.col("batch_id") == batch_id).select("name", "batch_id")
-     .distinct().write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(names_path))
+    docs = docs.join(stored_names(spark, index_path, docs), "name", "left_anti")
+    # One task per shard and one file: a document's rows become visible together.
+    whole = with_shard(docs, count).repartition(count, "shard")
+    (rows_of(whole).write.mode("append").option("maxRecordsPerFile", 0)
+     .partitionBy("shard").parquet(index_path))
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str,
-                  dim: int, available_now: bool = True):
+                  dim: int, available_now: bool = True, shards: int | None = None):
     """D1. Index each new text file's content once; returns the started query."""
     stream = (spark.readStream.format("text").option("wholetext", True)
               .schema(TEXT_FILE_SCHEMA).load(source_dir))
     docs = documents_from_files(stream)
     writer = (docs.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: ingest_batch(df, bid, index_path, dim)))
+              .foreachBatch(lambda df, bid: ingest_batch(df, index_path, dim, shards)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -57,7 +57,7 @@ def test_read_index_prunes_partitions(spark, tmp_path):
                                "name long, pos long, text string, embedding array<float>")
     path = str(tmp_path / "index")
     write_index(df, path, shards=8)
-    sel = read_index(spark, path, names=[3], shards=8)
+    sel = read_index(spark, path, names=[3])
     text = plan(sel)
     assert "PartitionFilters: [isnotnull(shard" in text and "shard#" in text
     assert sorted(r.pos for r in sel.collect()) == [i for i in range(50) if i % 7 == 3]

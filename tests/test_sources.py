@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators.embedding import (
@@ -9,7 +10,10 @@ from docweave.operators.embedding import (
 )
 from docweave.operators.prompts import answer_prompts, complete
 from docweave.sources.files import read_text_documents, select_supported
-from docweave.sources.index import clear_index, commit_index, read_index, reindex, write_index
+from docweave.sources.html import article_html
+from docweave.sources.index import (
+    clear_index, clear_names, commit_index, read_index, reindex, replace_documents, write_index,
+)
 
 
 def test_read_text_and_dispatch(spark, tmp_path):
@@ -33,13 +37,13 @@ def test_index_commit_clear_and_reindex(spark, tmp_path):
     write_index(index_rows(spark, ["a", "b", "c"]), path, shards=4)
     current = read_index(spark, path).drop("shard")
     gone = spark.createDataFrame([("b",), ("zz",)], "name string")
-    commit_index(spark, clear_index(current, gone), path, gone, shards=4)
+    commit_index(spark, clear_index(current, gone), path, gone)
     after = read_index(spark, path)
     assert sorted({r.name for r in after.collect()}) == ["a", "c"]
     assert after.count() == 6
     new = index_rows(spark, ["a"], per=1).withColumn("text", F.lit("new"))
     changed = reindex(read_index(spark, path).drop("shard"), new)
-    commit_index(spark, changed, path, new, shards=4)
+    commit_index(spark, changed, path, new)
     got = sorted((r.name, r.pos, r.text) for r in read_index(spark, path).collect())
     assert got == [("a", 0, "new"), ("c", 0, "c-0"), ("c", 1, "c-1"), ("c", 2, "c-2")]
 
@@ -80,5 +84,53 @@ def test_commit_empties_a_shard(spark, tmp_path):
     write_index(index_rows(spark, ["only"]), path, shards=4)
     gone = spark.createDataFrame([("only",)], "name string")
     current = read_index(spark, path).drop("shard")
-    commit_index(spark, clear_index(current, gone), path, gone, shards=4)
+    commit_index(spark, clear_index(current, gone), path, gone)
     assert read_index(spark, path).count() == 0
+
+
+def test_second_write_continues_positions(spark, tmp_path):
+    path = str(tmp_path / "idx2")
+    write_index(index_rows(spark, ["a", "b"]), path, shards=4)
+    write_index(index_rows(spark, ["a", "c"], per=2), path)
+    got = sorted((r.name, r.pos) for r in read_index(spark, path).collect())
+    assert got == [("a", p) for p in range(5)] + [("b", p) for p in range(3)] + [("c", p) for p in range(2)]
+
+
+def test_shard_count_is_stored(spark, tmp_path):
+    path = str(tmp_path / "idx3")
+    names = [f"n{k}" for k in range(40)]
+    write_index(index_rows(spark, names), path, shards=8)
+    with pytest.raises(ValueError):
+        write_index(index_rows(spark, ["x"]), path, shards=16)
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    assert read_index(spark, path, wanted).count() == 120
+    assert read_index(spark, path, ["n7"]).count() == 3
+
+
+def test_overwrite_replaces_everything(spark, tmp_path):
+    path = str(tmp_path / "idx4")
+    write_index(index_rows(spark, ["a", "b", "c"]), path, shards=8)
+    write_index(index_rows(spark, ["d"]), path, shards=2, mode="overwrite")
+    assert [r.name for r in read_index(spark, path).select("name").distinct().collect()] == ["d"]
+
+
+def test_stored_clear_and_replace(spark, tmp_path):
+    path = str(tmp_path / "idx5")
+    write_index(index_rows(spark, ["a", "b"]), path, shards=4)
+    clear_names(spark, path, spark.createDataFrame([("a",)], "name string"))
+    replace_documents(spark, path, index_rows(spark, ["b"], per=1))
+    write_index(index_rows(spark, ["a"], per=2), path)
+    assert sorted((r.name, r.pos) for r in read_index(spark, path).collect()) == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_suffix_of_files_and_addresses(spark):
+    kinds = {"C# notes.pdf": "pdf", "what? no.TXT": "txt", "https://x.org/a.pdf?x=1#p": "pdf",
+             "https://x.org/a?f=b.pdf": "unsupported", "a.docx": "docx", "a.pdf.zip": "unsupported", None: "unsupported"}
+    df = spark.createDataFrame([(k,) for k in kinds], "uri string")
+    from docweave.sources.files import source_kind
+    assert {r.uri: r.kind for r in df.select("uri", source_kind(F.col("uri")).alias("kind")).collect()} == kinds
+
+
+def test_all_articles_are_read(spark):
+    df = spark.createDataFrame([("<article>a</article><p>x</p><ARTICLE id=1>b</ARTICLE>",), ("<p>none</p>",)], "h string")
+    assert [r.a for r in df.select(article_html(F.col("h")).alias("a")).collect()] == ["a\nb", ""]

@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
 from docweave.operators.identity import content_id_of_text
+from docweave.sources.index import clear_names, read_index
 from docweave.streaming.ingest import dedupe_stream, ingest_stream
 
 HASH_DIM = 16
@@ -50,6 +52,50 @@ def test_ingest_exactly_once(spark, tmp_path):
     assert dup == 0
 
 
+def names_of(idx):
+    return {r.name for r in idx.select("name").distinct().collect()}
+
+
+def test_two_sources_two_checkpoints_and_a_replay(spark, tmp_path):
+    docs = [r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").orderBy("doc_id").collect()]
+    index = str(tmp_path / "index")
+    drop(docs[:50], str(tmp_path / "a"), "a")
+    first = names_of(run(spark, str(tmp_path / "a"), index, str(tmp_path / "ck-a")))
+    drop(docs[49:100], str(tmp_path / "b"), "b")
+    both = run(spark, str(tmp_path / "b"), index, str(tmp_path / "ck-b"))
+    assert first <= names_of(both) and len(names_of(both)) == distinct_contents(spark, docs[:100])
+    rows = both.count()
+    # the same files under a new checkpoint: every batch is a replay
+    again = run(spark, str(tmp_path / "a"), index, str(tmp_path / "ck-a2"))
+    assert again.count() == rows
+    assert again.groupBy("name", "pos").count().filter("count > 1").count() == 0
+
+
+def test_cleared_document_can_come_back(spark, tmp_path):
+    index = str(tmp_path / "index")
+    drop(["one\ntwo", "three", "four\nfive"], str(tmp_path / "in"), "x")
+    idx = run(spark, str(tmp_path / "in"), index, str(tmp_path / "c1"))
+    before = sorted((r.name, r.pos, r.text) for r in idx.collect())
+    gone = idx.filter("text = 'two'").select("name")
+    clear_names(spark, index, spark.createDataFrame(gone.collect(), "name string"))
+    assert read_index(spark, index).count() == 3
+    idx = run(spark, str(tmp_path / "in"), index, str(tmp_path / "c2"))
+    assert sorted((r.name, r.pos, r.text) for r in idx.collect()) == before
+
+
+def test_a_damaged_index_is_not_taken_for_an_empty_one(spark, tmp_path):
+    index = str(tmp_path / "index")
+    drop(["one"], str(tmp_path / "in"), "x")
+    run(spark, str(tmp_path / "in"), index, str(tmp_path / "c1"))
+    for folder, _, files in os.walk(index):
+        for f in files:
+            if f.endswith(".parquet"):
+                with open(os.path.join(folder, f), "wb") as fh:
+                    fh.write(b"damaged")
+    with pytest.raises(Exception):
+        run(spark, str(tmp_path / "in"), index, str(tmp_path / "c2"))
+
+
 def test_dedupe_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     drop(["same\ntext", "other", "same\ntext"], src, "x")
