@@ -76,8 +76,9 @@ HASH_DIM = 64
 # the test documents span several batches (limit 300 after the reserve).
 PACK_MAX_TOKENS = 1324
 
-# Keywords kept per question by the TF-IDF keyword extractor.
-KEYWORDS_PER_QUERY = 8
+# Decimals of a score that count in a ranking: finer than FLOAT vectors can tell
+# apart, coarser than the noise of summing in another order.
+RANK_DECIMALS = 12
 
 # Rows above which a side is never broadcast (bytes, estimated from a row bound).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024

@@ -1,8 +1,8 @@
 """Model catalog lookups and cost accounting.
 
 The catalog tables are fixed and tiny (15 and 3 rows), so they are always
-broadcast.  An unknown model name is reported by a left-anti join rather
-than raising inside a task.
+broadcast.  Usage of an unknown model is kept, with NULL costs and
+``known_model`` false; naming an unknown model for all rows raises.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ def unknown_models(df: DataFrame, catalog: DataFrame, model_col: str = "model")
 
 
 def _price(models: DataFrame, model: str, col: str):
-    """Price of one model as a scalar subquery (NULL for an unknown model)."""
-    return models.filter(F.col("model") == model).agg(F.max(col)).scalar()
+    """Price of one model as a scalar subquery; an unknown model raises when the query runs."""
+    price = models.filter(F.col("model") == model).agg(F.max(col)).scalar()
+    return F.coalesce(price, F.raise_error(F.lit(f"unknown model {model}")).cast("double"))
 
 
 def chat_cost(usage: DataFrame, chat_models: DataFrame, model: str | None = None) -> DataFrame:
@@ -50,7 +51,8 @@ def chat_cost(usage: DataFrame, chat_models: DataFrame, model: str | None = None
 
     cost = tokens / 1000 * price per 1k, input and output priced separately.
     With ``model`` every row is priced as that model (scalar lookups, no join);
-    otherwise rows are joined to the broadcast catalog on their ``model``.
+    otherwise rows are joined to the broadcast catalog on their ``model``;
+    rows of a model outside it stay, with NULL costs and ``known_model`` false.
     """
     if model is not None:
         priced = usage.withColumn("model", F.lit(model)).select(
@@ -58,7 +60,7 @@ def chat_cost(usage: DataFrame, chat_models: DataFrame, model: str | None = None
             _price(chat_models, model, "output_price_per_k").alias("output_price_per_k"))
     else:
         priced = usage.join(F.broadcast(chat_models.select("model", "input_price_per_k",
-                                                           "output_price_per_k")), "model")
+                                                           "output_price_per_k")), "model", "left")
     input_cost = F.col("prompt_tokens") / 1000.0 * F.col("input_price_per_k")
     output_cost = F.col("completion_tokens") / 1000.0 * F.col("output_price_per_k")
     return (priced
@@ -66,6 +68,7 @@ def chat_cost(usage: DataFrame, chat_models: DataFrame, model: str | None = None
             .withColumn("input_cost", F.round(input_cost, COST_DECIMALS))
             .withColumn("output_cost", F.round(output_cost, COST_DECIMALS))
             .withColumn("total_cost", F.round(input_cost + output_cost, COST_DECIMALS))
+            .withColumn("known_model", F.col("input_price_per_k").isNotNull())
             .drop("input_price_per_k", "output_price_per_k"))
 
 
@@ -77,3 +80,10 @@ def embedding_cost(batches: DataFrame, embedding_models: DataFrame, model: str)
     price = _price(embedding_models, model, "price_per_k")
     return (batches.withColumn("model", F.lit(model))
             .withColumn("cost", F.round(F.col("tokens") / 1000.0 * price, COST_DECIMALS)))
+
+
+def embedding_cost_totals(costs: DataFrame) -> DataFrame:
+    """T7 (totals). Tokens and cost of each document (level 0) and of all (level 1, name NULL)."""
+    return (costs.rollup("name").agg(
+        F.grouping_id().cast("bigint").alias("level"), F.sum("tokens").cast("bigint").alias("tokens"),
+        F.count(F.lit(1)).alias("batches"), F.round(F.sum("cost"), 9).alias("cost")))

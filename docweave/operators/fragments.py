@@ -93,13 +93,13 @@ def paragraph_fragments(paragraphs: DataFrame) -> DataFrame:
 
 def rejected_documents(docs: DataFrame, fragments: DataFrame | None = None,
                        text_col: str = "text", name_col: str = "name") -> DataFrame:
-    """F8. Documents that yield no fragment.
+    """F8. Documents that yield no fragment, those without a text included.
 
     Without ``fragments`` the test is row-wise on the text (no shuffle);
     with a fragments table it is a left-anti join on ``name``.
     """
     if fragments is None:
-        return docs.filter(F.size(clean_lines(F.col(text_col))) == 0)
+        return docs.filter(F.col(text_col).isNull() | (F.size(clean_lines(F.col(text_col))) == 0))
     names = fragments.select(F.col("name").alias(name_col)).distinct()
     return docs.join(names, name_col, "left_anti")
 

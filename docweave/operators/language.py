@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.operators.summary import summary_method  # noqa: F401  (F15, re-exported)
+from docweave.constants import RANK_DECIMALS
 from docweave.plans.sizing import materialize, maybe_broadcast
 
 
@@ -76,26 +76,30 @@ def language_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str
 
 def detect_language(texts: DataFrame, profiles: DataFrame, keys: list[str],
                     text_col: str = "text", profile_rows: int | None = None) -> DataFrame:
-    """F13. Most probable language per text: (keys..., lang, score).
+    """F13. Most probable language of every text: (keys..., lang, score).
 
     score(lang) = prior + sum over trigrams of tf * logp, with ``unseen`` for
-    trigrams the language lacks.  Only languages sharing at least one trigram
-    with the text compete; a text sharing none gets no row.  ``lang`` is cut
-    to two letters.
+    trigrams the language lacks.  Every language competes for every text; a
+    text without letters (or NULL) gets the language with the best prior.
+    ``lang`` is cut to two letters; ties go to the first by name.
+
+    Trigrams meet the broadcast profile where they are; only partial sums of a
+    text and language are shuffled.  A profile beyond the broadcast bound is
+    joined by trigram instead.
     """
-    # The text's trigram total rides along as a grouping column (it is a
-    # function of the keys), so no second aggregation or join is needed.
-    sized = texts.withColumn("_all_tf", letter_count(F.col(text_col)))
-    grams = gram_counts(sized, [*keys, "_all_tf"], text_col)
-    prof = profiles.select("lang", "gram", "logp", "unseen", "prior")
+    prof = profiles.select("lang", "gram", (F.col("logp") - F.col("unseen")).alias("_gain"))
     if profile_rows is not None:
         prof = maybe_broadcast(prof, profile_rows, 64)
-    matched = grams.join(prof, "gram").groupBy(*keys, "_all_tf", "lang").agg(
-        F.sum(F.col("tf") * (F.col("logp") - F.col("unseen"))).alias("_gain"),
-        F.first("unseen").alias("unseen"), F.first("prior").alias("prior"))
-    scored = matched.select(
-        *keys, "lang",
-        F.round(F.col("prior") + F.col("_all_tf") * F.col("unseen") + F.col("_gain"), 6).alias("score"))
+    grams = texts.select(*keys, F.explode(F.flatten(F.transform(
+        letter_words(F.col(text_col)), word_trigrams))).alias("gram"))
+    gains = grams.join(prof, "gram").select(*keys, "lang", "_gain", F.lit(0).cast("bigint").alias("_letters"))
+    # One row per language, as a scalar subquery: every text starts with a row for each.
+    per_lang = profiles.groupBy("lang").agg(F.max("unseen").alias("unseen"), F.max("prior").alias("prior"))
+    langs = per_lang.agg(F.collect_list(F.struct("lang", "unseen", "prior"))).scalar()
+    letters = F.coalesce(letter_count(F.col(text_col)), F.lit(0)).cast("bigint")
+    starts = texts.select(*keys, F.explode(langs).alias("s"), letters.alias("_letters")).select(
+        *keys, "s.lang", (F.col("s.prior") + F.col("_letters") * F.col("s.unseen")).alias("_gain"), "_letters")
+    scored = gains.unionByName(starts).groupBy(*keys, "lang").agg(F.round(F.sum("_gain"), RANK_DECIMALS).alias("score"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("lang"))
     return (scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
             .select(*keys, F.left(F.col("lang"), F.lit(2)).alias("lang"), "score"))

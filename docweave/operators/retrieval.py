@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.constants import RETRIEVAL_LIMIT
+from docweave.constants import RANK_DECIMALS, RETRIEVAL_LIMIT
 from docweave.functions.text import terms
 from docweave.functions.vectors import cosine, dot, norm
 from docweave.plans.sizing import maybe_broadcast, vector_row_bytes
@@ -39,12 +39,12 @@ def top_k_inner_product(queries: DataFrame, index: DataFrame, limit: int = RETRI
     """R1. For each query (request_id, name, embedding), the ``limit`` fragments of
     the same document with the largest inner product, ``rank`` from 0.
 
-    Scores are rounded to 6 decimals before ranking; ties go to the lower pos.
+    Ranked by the raw score up to ``RANK_DECIMALS``; ties go to the lower pos.
     """
     q = _query_side(queries, query_rows, dim)
     docs = index.select("name", "pos", F.col("embedding").alias("_d"), *carry)
     scored = docs.join(q, "name").select(
-        "request_id", "name", "pos", *carry, F.round(dot(F.col("_q"), F.col("_d")), 6).alias("score"))
+        "request_id", "name", "pos", *carry, F.round(dot(F.col("_q"), F.col("_d")), RANK_DECIMALS).alias("score"))
     return _top(scored, limit, [F.desc("score"), F.asc("pos")])
 
 
@@ -57,7 +57,7 @@ def top_k_cosine(queries: DataFrame, index: DataFrame, limit: int = RETRIEVAL_LI
     docs = index.select("name", "pos", F.col("embedding").alias("_d"), *carry)
     scored = docs.join(q, "name").select(
         "request_id", "name", "pos", *carry,
-        F.round(F.lit(1.0) - cosine(F.col("_q"), F.col("_d"), F.col("_qn")), 6).alias("distance"))
+        F.round(F.lit(1.0) - cosine(F.col("_q"), F.col("_d"), F.col("_qn")), RANK_DECIMALS).alias("distance"))
     return _top(scored, limit, [F.asc_nulls_last("distance"), F.asc("pos")])
 
 
@@ -105,21 +105,28 @@ def unknown_documents(requests: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def query_terms(requests: DataFrame) -> DataFrame:
-    """Terms of each question with their frequency: (request_id, name, term, tf)."""
-    return (requests.select("request_id", "name", F.explode(terms(F.col("query"))).alias("term"))
+    """Terms of each question with their frequency: (request_id, name, term, tf); term NULL if there is none."""
+    return (requests.select("request_id", "name", F.explode_outer(terms(F.col("query"))).alias("term"))
             .groupBy("request_id", "name", "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf")))
 
 
-def extract_keywords(requests: DataFrame, idf_table: DataFrame, k: int) -> DataFrame:
-    """R8. Up to ``k`` keywords per question, comma-separated.
+def extract_keywords(requests: DataFrame, idf_table: DataFrame, k: int | None = None) -> DataFrame:
+    """R8. Keywords of every question, comma-separated: (request_id, name, keywords, matched).
 
     A keyword is a question term found in the target document's vocabulary,
     ranked by tf * idf (idf over that document's fragments; ties by term).
-    Questions with no such term get no row (no keywords, no answer).
+    A question with no such term (or of an unknown document) has
+    ``matched`` false and its own terms as keywords, by tf, then term.  ``k`` keeps
+    the first k keywords; by default all are kept.  A group is as large as its question.
     """
-    scored = query_terms(requests).join(idf_table.select("name", "term", "idf"), ["name", "term"])
-    scored = scored.withColumn("kw_score", F.round(F.col("tf") * F.col("idf"), 6))
-    w = Window.partitionBy("request_id").orderBy(F.desc("kw_score"), F.asc("term"))
-    top = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    words = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "term"))), lambda x: x["term"])
-    return top.groupBy("request_id", "name").agg(F.array_join(words, ",").alias("keywords"))
+    known = idf_table.select("name", "term", "idf")
+    scored = query_terms(requests).join(known, ["name", "term"], "left").withColumn(
+        "found", F.col("idf").isNotNull())
+    weight = F.col("tf") * F.coalesce("idf", F.lit(1.0))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct(
+        (-F.round(weight, RANK_DECIMALS)).alias("w"), "term", "found"))))
+    groups = scored.groupBy("request_id", "name").agg(ranked.alias("all"), F.bool_or("found").alias("matched"))
+    words = F.transform(F.filter("all", lambda x: x["found"] | ~F.col("matched")), lambda x: x["term"])
+    if k is not None:
+        words = F.slice(words, 1, k)
+    return groups.select("request_id", "name", F.array_join(words, ",").alias("keywords"), "matched")

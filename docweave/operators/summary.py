@@ -12,10 +12,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.constants import PLAIN_MEAN_LANGUAGES, SIF_ALPHA
+from docweave.constants import PLAIN_MEAN_LANGUAGES, RANK_DECIMALS, SIF_ALPHA
 from docweave.functions.text import terms, words
 from docweave.functions.vectors import cosine, norm, scale, vmax
-from docweave.plans.sizing import maybe_broadcast, vector_row_bytes
+from docweave.plans.sizing import NAME_BYTES, maybe_broadcast, vector_row_bytes
 
 
 def mean_vector(df: DataFrame, key: str = "name", vec: str = "embedding",
@@ -63,7 +63,7 @@ def idf(doc_freq: DataFrame, fragments: DataFrame, doc_rows: int | None = None)
     else:
         counts = fragment_counts(fragments)
         if doc_rows is not None:
-            counts = maybe_broadcast(counts, doc_rows, 32)
+            counts = maybe_broadcast(counts, doc_rows, NAME_BYTES)
         with_n = doc_freq.join(counts, "name")
     return with_n.withColumn("idf", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
@@ -88,10 +88,11 @@ def sif_mean_vector(weighted: DataFrame, vec: str = "embedding", out: str = "cen
 
     The per-word weight vectors of the original method are all multiples of
     v / max(v), so one scalar per fragment is enough.  A fragment whose
-    maximum coordinate is 0 has no defined scale and is left out.
+    maximum coordinate is 0 has no defined scale: it adds nothing to the sum
+    and counts in the mean, so every document has a centroid.
     """
-    k = F.try_divide(F.lit(1.0) - F.col("weight"), vmax(F.col(vec)))
-    scaled = weighted.select("name", k.alias("_k"), F.col(vec)).filter(F.col("_k").isNotNull())
+    k = F.coalesce(F.try_divide(F.lit(1.0) - F.col("weight"), vmax(F.col(vec))), F.lit(0.0))
+    scaled = weighted.select("name", k.alias("_k"), F.col(vec)).filter(F.col(vec).isNotNull())
     scaled = scaled.select("name", scale(F.col(vec), F.col("_k")).alias("_v"))
     return mean_vector(scaled, "name", "_v", out)
 
@@ -109,7 +110,7 @@ def centrality(fragments: DataFrame, centroids: DataFrame, vec: str = "embedding
         c = maybe_broadcast(c, doc_rows, 2 * vector_row_bytes(dim or 1536))
     joined = fragments.join(c, "name")
     return joined.withColumn("score", F.round(cosine(F.col(vec), F.col("centroid"),
-                                                     None, F.col("_cn")), 6)).drop("centroid", "_cn")
+                                                     None, F.col("_cn")), RANK_DECIMALS)).drop("centroid", "_cn")
 
 
 def central_fragments(scored: DataFrame, num_candidates: int = 3) -> DataFrame:

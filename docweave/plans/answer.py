@@ -11,30 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.constants import (
-    CHAT_MODELS, DEFAULT_CHAT_MODEL, KEYWORDS_PER_QUERY, RESERVE_TOKENS, RETRIEVAL_LIMIT,
+    CHAT_MODELS, DEFAULT_CHAT_MODEL, RESERVE_TOKENS, RETRIEVAL_LIMIT,
 )
 from docweave.functions.text import token_count
 from docweave.operators.embedding import embed_query, hashing_embedder
 from docweave.operators.fragments import label_paragraph, numbered_list
-from docweave.operators.retrieval import extract_keywords, top_k_inner_product
+from docweave.operators.retrieval import extract_keywords, top_k_cosine, top_k_inner_product
 from docweave.operators.summary import document_frequency, idf
 from docweave.operators.tokens import cut_to_budget
+from docweave.plans.sizing import NAME_BYTES, maybe_broadcast
 
 
 def context_budget(model: str = DEFAULT_CHAT_MODEL) -> int:
-    window = {m[0]: m[1] for m in CHAT_MODELS}[model]
+    windows = {m[0]: m[1] for m in CHAT_MODELS}
+    if model not in windows:
+        raise ValueError(f"unknown chat model {model!r}")
+    window = windows[model]
     return window - RESERVE_TOKENS
 
 
 def answer_hits(requests: DataFrame, fragments: DataFrame, dim: int,
-                limit: int = RETRIEVAL_LIMIT, k: int = KEYWORDS_PER_QUERY,
-                request_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keywords per request and the ranked, labelled hits (before the budget cut)."""
+                limit: int = RETRIEVAL_LIMIT, k: int | None = None,
+                request_rows: int | None = None, cosine: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Keywords per request and the ranked, labelled hits (before the budget cut).
+
+    Fragments of documents that nobody asks about are dropped first, so
+    ``request_rows`` bounds the documents of every later step.
+    """
+    asked = maybe_broadcast(requests.select("name").distinct(), request_rows, NAME_BYTES)
+    fragments = fragments.join(asked, "name", "left_semi")
     idf_table = idf(document_frequency(fragments), fragments, request_rows)
     keywords = extract_keywords(requests, idf_table, k)
     query_vectors = embed_query(keywords, dim).select("request_id", "name", "embedding")
     index = hashing_embedder(fragments, dim)
-    hits = top_k_inner_product(query_vectors, index, limit, request_rows, dim, carry=("text",))
+    search = top_k_cosine if cosine else top_k_inner_product
+    hits = search(query_vectors, index, limit, request_rows, dim, carry=("text",))
     labelled = (hits.withColumn("label", label_paragraph(F.col("pos"), F.col("text")))
                 .withColumn("n_tokens", token_count(F.col("label"))))
     return keywords, labelled
@@ -42,11 +53,21 @@ def answer_hits(requests: DataFrame, fragments: DataFrame, dim: int,
 
 def answer_context(requests: DataFrame, fragments: DataFrame, dim: int,
                    limit: int = RETRIEVAL_LIMIT, budget: int | None = None,
-                   k: int = KEYWORDS_PER_QUERY, request_rows: int | None = None) -> DataFrame:
-    """(request_id, name, keywords, n_fragments, context) for each answerable request."""
-    budget = context_budget() if budget is None else budget
-    keywords, labelled = answer_hits(requests, fragments, dim, limit, k, request_rows)
+                   k: int | None = None, request_rows: int | None = None,
+                   model: str = DEFAULT_CHAT_MODEL, cosine: bool = False) -> DataFrame:
+    """(request_id, name, keywords, status, n_fragments, context), one row for each request.
+
+    ``status``: ``answered``; ``no match`` if no term of the question is in its
+    document (the question's own terms are then searched); ``unknown
+    document`` if nothing of it is indexed (no fragments, context NULL).
+    ``cosine`` ranks by cosine distance in place of the inner product.
+    """
+    budget = context_budget(model) if budget is None else budget
+    keywords, labelled = answer_hits(requests, fragments, dim, limit, k, request_rows, cosine)
     kept = cut_to_budget(labelled, "request_id", budget)
     ctx = numbered_list(kept, "request_id", "rank", "label", out="context")
-    return keywords.join(ctx, "request_id").select(
-        "request_id", "name", "keywords", F.col("n_items").alias("n_fragments"), "context")
+    status = (F.when(F.col("context").isNull(), "unknown document").when(F.col("matched"), "answered")
+              .otherwise("no match"))
+    return keywords.join(ctx, "request_id", "left").select(
+        "request_id", "name", "keywords", status.alias("status"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_fragments"), "context")

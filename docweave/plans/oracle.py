@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.constants import HASH_DIM, KEYWORDS_PER_QUERY, RETRIEVAL_LIMIT
+from docweave.constants import HASH_DIM, RANK_DECIMALS, RETRIEVAL_LIMIT
 from docweave.plans.answer import context_budget
 from docweave.plans.oracle_parts import (
     DOCS, NL, REQUESTS_CTE, clean_lines, fragments_cte, sparse_vectors_cte, terms, tokens,
@@ -21,7 +21,8 @@ ORACLE["hashing_embedder"] = f"""WITH {fragments_cte(DOCS)},
 {sparse_vectors_cte('frag', 'name, pos', 'text', 'fv')}
 SELECT name, pos, b, round(CAST(v AS DOUBLE), 6) AS v FROM fv"""
 
-# Keywords: question terms in the target document's vocabulary, top-k by tf * idf.
+# Keywords: all question terms in the target document's vocabulary by tf * idf; a question with
+# none keeps its own terms by tf.  Every question has a row.
 KEYWORDS_CTES = f"""{REQUESTS_CTE},
 {fragments_cte('SELECT doc_id AS name, text FROM documents WHERE doc_id IN (SELECT name FROM req)')},
 dfreq AS (SELECT name, term, count(*) AS df FROM (
@@ -31,20 +32,23 @@ nfrag AS (SELECT name, count(*) AS n FROM frag GROUP BY ALL),
 idf AS (SELECT name, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfreq JOIN nfrag USING (name)),
 qterm AS (SELECT request_id, name, term, count(*) AS tf FROM (
   SELECT request_id, name, unnest({terms('query')}) AS term FROM req) GROUP BY ALL),
+hit AS (SELECT request_id, name, term, tf * idf AS w FROM qterm JOIN idf USING (name, term)),
+own AS (SELECT request_id, name, term, tf AS w FROM qterm WHERE request_id NOT IN (SELECT request_id FROM hit)),
 kwrank AS (SELECT request_id, name, term, row_number() OVER (
-  PARTITION BY request_id ORDER BY round(tf * idf, 6) DESC, term ASC) AS rn
-  FROM qterm JOIN idf USING (name, term)),
-kw AS (SELECT request_id, name, string_agg(term, ',' ORDER BY rn) AS keywords
-  FROM kwrank WHERE rn <= {KEYWORDS_PER_QUERY} GROUP BY ALL)"""
+  PARTITION BY request_id ORDER BY round(w, {RANK_DECIMALS}) DESC, term ASC) AS rn
+  FROM (SELECT * FROM hit UNION ALL SELECT * FROM own)),
+kwlist AS (SELECT request_id, string_agg(term, ',' ORDER BY rn) AS keywords FROM kwrank GROUP BY ALL),
+kw AS (SELECT request_id, name, coalesce(keywords, '') AS keywords,
+  request_id IN (SELECT request_id FROM hit) AS matched FROM req LEFT JOIN kwlist USING (request_id))"""
 
 # Exact top-k over sparse vectors: every fragment of the document is scored
-# (0 when no bucket is shared), ranked by rounded score then position.
+# (0 when no bucket is shared), ranked by score then position.
 ANSWER_HITS_CTES = f"""{KEYWORDS_CTES},
 {sparse_vectors_cte('kw', 'request_id', 'keywords', 'qv')},
 {sparse_vectors_cte('frag', 'name, pos', 'text', 'fv')},
 dots AS (SELECT kw.request_id, fv.pos, sum(CAST(qv.v AS DOUBLE) * CAST(fv.v AS DOUBLE)) AS s
   FROM kw JOIN qv USING (request_id) JOIN fv ON fv.name = kw.name AND fv.b = qv.b GROUP BY ALL),
-scored AS (SELECT kw.request_id, frag.name, frag.pos, frag.text, round(coalesce(dots.s, 0), 6) AS score
+scored AS (SELECT kw.request_id, frag.name, frag.pos, frag.text, round(coalesce(dots.s, 0), {RANK_DECIMALS}) AS score
   FROM kw JOIN frag ON frag.name = kw.name
   LEFT JOIN dots ON dots.request_id = kw.request_id AND dots.pos = frag.pos),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos ASC) - 1
@@ -57,8 +61,10 @@ cut AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY request_id ORDER BY
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM hits_tok),
 ctx AS (SELECT request_id, string_agg(rank || '. ' || label, {NL} ORDER BY rank) AS context,
   count(*) AS n_fragments FROM cut WHERE earlier <= {context_budget()} GROUP BY request_id)
-SELECT kw.request_id, kw.name, kw.keywords, ctx.n_fragments, ctx.context
-FROM kw JOIN ctx USING (request_id)"""
+SELECT kw.request_id, kw.name, kw.keywords, CASE WHEN ctx.context IS NULL THEN 'unknown document'
+  WHEN kw.matched THEN 'answered' ELSE 'no match' END AS status,
+  coalesce(ctx.n_fragments, 0) AS n_fragments, ctx.context
+FROM kw LEFT JOIN ctx USING (request_id)"""
 
 
 # ---------------------------------------------------------------- more shared SQL
@@ -80,8 +86,8 @@ CONV_FRAG = f"""conv_frag AS (
 
 
 def kind_sql(expr: str) -> str:
-    path = f"lower(regexp_replace({expr}, '[?#].*$', ''))"
-    k = f"regexp_extract({path}, {q(chr(92) + '.' + _SUFFIX + '$')}, 1)"
+    path = f"lower(regexp_replace({expr}, '(?i)^(https?://[^?#]*)[?#].*$', '\\1'))"
+    k = f"coalesce(regexp_extract({path}, {q(chr(92) + '.' + _SUFFIX + '$')}, 1), '')"
     return f"CASE WHEN {k} = '' THEN 'unsupported' ELSE {k} END"
 
 
@@ -138,7 +144,7 @@ SELECT name, page, CAST(o + sentence AS BIGINT) AS pos, text FROM sent JOIN off
 ORACLE["html_fragments"] = f"""WITH {fragments_cte(f'SELECT page_id AS name, {html_sql("html")} AS text FROM pages')}
 SELECT name, pos, text FROM frag"""
 
-_PRIMARY = html_sql(f"regexp_extract(html, {q(ARTICLE)}, 1)")
+_PRIMARY = html_sql(f"array_to_string(regexp_extract_all(html, {q(ARTICLE)}, 1), chr(10))")
 ORACLE["html_fallback"] = f"""WITH {fragments_cte(
     f"SELECT page_id AS name, coalesce(nullif({strip(_PRIMARY)}, ''), {html_sql('html')}) AS text FROM pages")}
 SELECT name, pos, text FROM frag"""
@@ -153,7 +159,8 @@ ORACLE["document_uri"] = f"""WITH u AS (SELECT doc_id, {_CID} || '/' || left(lan
 SELECT doc_id, uri, split_part(uri, '/', 1) AS uri_id, split_part(uri, '/', 2) AS uri_lang FROM u"""
 
 ORACLE["rejected_documents"] = f"""WITH {fragments_cte(f'SELECT page_id AS name, {html_sql("html")} AS text FROM pages')}
-SELECT 'documents' AS origin, doc_id AS id FROM documents WHERE len({clean_lines('text')}) = 0
+SELECT 'documents' AS origin, doc_id AS id FROM documents
+WHERE text IS NULL OR len({clean_lines('text')}) = 0
 UNION ALL
 SELECT 'pages' AS origin, page_id AS id FROM pages WHERE page_id NOT IN (SELECT name FROM frag)"""
 
@@ -192,9 +199,12 @@ ORACLE["detect_language"] = f"""WITH {PROFILE_CTES},
 tg AS (SELECT conv_id, turn, gram, count(*) AS tf FROM ({trigram_sql('conversations', 'conv_id, turn')})
   GROUP BY ALL),
 tot AS (SELECT conv_id, turn, sum(tf) AS all_tf FROM tg GROUP BY ALL),
-m AS (SELECT conv_id, turn, lang, sum(tf * (logp - unseen)) AS gain, any_value(unseen) AS unseen,
-  any_value(prior) AS prior FROM tg JOIN prof USING (gram) GROUP BY ALL),
-sc AS (SELECT conv_id, turn, lang, round(prior + all_tf * unseen + gain, 6) AS score FROM m JOIN tot USING (conv_id, turn))
+per_lang AS (SELECT lang, any_value(unseen) AS unseen, any_value(prior) AS prior FROM prof GROUP BY lang),
+m AS (SELECT conv_id, turn, lang, sum(tf * (logp - unseen)) AS gain FROM tg JOIN prof USING (gram) GROUP BY ALL),
+sc AS (SELECT c.conv_id, c.turn, l.lang,
+    round(l.prior + coalesce(tot.all_tf, 0) * l.unseen + coalesce(m.gain, 0), 9) AS score
+  FROM conversations c CROSS JOIN per_lang l LEFT JOIN tot USING (conv_id, turn)
+  LEFT JOIN m ON m.conv_id = c.conv_id AND m.turn = c.turn AND m.lang = l.lang)
 SELECT conv_id, turn, left(lang, 2) AS lang FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, lang) AS rn FROM sc) WHERE rn = 1"""
 
@@ -202,7 +212,7 @@ ORACLE["summary_method"] = f"""
 SELECT doc_id, lang, CASE WHEN lang IN {mean_langs()} THEN 'mean' ELSE 'sif' END AS method FROM documents"""
 
 ORACLE["split_keywords"] = f"""WITH {KEYWORDS_CTES}
-SELECT request_id, CAST(rn - 1 AS BIGINT) AS idx, term AS keyword FROM kwrank WHERE rn <= {KEYWORDS_PER_QUERY}"""
+SELECT request_id, CAST(rn - 1 AS BIGINT) AS idx, term AS keyword FROM kwrank"""
 
 # Greedy inclusive packing as a recursive walk over positions.
 PACK_CTES = f"""{DOC_FRAG},
@@ -246,7 +256,7 @@ SELECT conv_id, {q(DEFAULT_CHAT_MODEL)} AS model, prompt_tokens, completion_toke
   round(prompt_tokens / CAST(1000 AS DOUBLE) * {_IN}, 10) AS input_cost,
   round(completion_tokens / CAST(1000 AS DOUBLE) * {_OUT}, 10) AS output_cost,
   round(prompt_tokens / CAST(1000 AS DOUBLE) * {_IN} + completion_tokens / CAST(1000 AS DOUBLE) * {_OUT}, 10)
-    AS total_cost
+    AS total_cost, true AS known_model
 FROM u"""
 
 ORACLE["embedding_cost"] = f"""WITH RECURSIVE {PACK_CTES}
@@ -254,6 +264,13 @@ SELECT name, batch, {q(DEFAULT_EMBEDDING_MODEL)} AS model, CAST(sum(n_tokens) AS
   round(sum(n_tokens) / CAST(1000 AS DOUBLE) * {price(DEFAULT_EMBEDDING_MODEL, EMBEDDING_MODELS, 1)}, 10) AS cost
 FROM r GROUP BY name, batch"""
 
+ORACLE["embedding_cost_totals"] = f"""WITH RECURSIVE {PACK_CTES},
+c AS (SELECT name, batch, sum(n_tokens) AS tokens,
+  round(sum(n_tokens) / CAST(1000 AS DOUBLE) * {price(DEFAULT_EMBEDDING_MODEL, EMBEDDING_MODELS, 1)}, 10) AS cost
+  FROM r GROUP BY name, batch)
+SELECT name, CAST(GROUPING(name) AS BIGINT) AS level, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS batches,
+  round(sum(cost), 9) AS cost FROM c GROUP BY ROLLUP (name)"""
+
 ORACLE["embed_fragments"] = ORACLE["hashing_embedder"]
 
 ORACLE["check_dimension"] = f"""
@@ -266,13 +283,13 @@ QUESTION_HITS_CTES = f"""{REQUESTS_CTE},
 {sparse_vectors_cte('frag', 'name, pos', 'text', 'fv')},
 dots AS (SELECT req.request_id, fv.pos, sum(CAST(qv.v AS DOUBLE) * CAST(fv.v AS DOUBLE)) AS s
   FROM req JOIN qv USING (request_id) JOIN fv ON fv.name = req.name AND fv.b = qv.b GROUP BY ALL),
-scored AS (SELECT req.request_id, frag.name, frag.pos, round(coalesce(dots.s, 0), 6) AS score
+scored AS (SELECT req.request_id, frag.name, frag.pos, round(coalesce(dots.s, 0), {RANK_DECIMALS}) AS score
   FROM req JOIN frag ON frag.name = req.name
   LEFT JOIN dots ON dots.request_id = req.request_id AND dots.pos = frag.pos),
 qhits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos ASC) - 1
   AS BIGINT) AS rank FROM scored) WHERE rank < {RETRIEVAL_LIMIT})"""
 
-ORACLE["top_k_inner_product"] = f"WITH {QUESTION_HITS_CTES} SELECT request_id, rank, pos, score FROM qhits"
+ORACLE["top_k_inner_product"] = f"WITH {QUESTION_HITS_CTES} SELECT request_id, rank, pos, round(score, 6) AS score FROM qhits"
 
 ORACLE["fetch_fragments"] = f"""WITH {QUESTION_HITS_CTES}
 SELECT h.request_id, h.rank, h.pos, f.text FROM qhits h JOIN frag f USING (name, pos)"""
@@ -288,9 +305,9 @@ ORACLE["top_k_cosine"] = f"""WITH {VEC_CTES},
 cn AS (SELECT name, sqrt(sum(c * c)) AS cn FROM cen GROUP BY ALL),
 en AS (SELECT name, pos, sqrt(sum(x * x)) AS en FROM u GROUP BY ALL),
 d AS (SELECT u.name, u.pos, sum(u.x * cen.c) AS dot FROM u JOIN cen USING (name, i) GROUP BY ALL),
-s AS (SELECT d.name, d.pos, round(1 - CASE WHEN en * cn = 0 THEN NULL ELSE dot / (en * cn) END, 6) AS distance
+s AS (SELECT d.name, d.pos, round(1 - CASE WHEN en * cn = 0 THEN NULL ELSE dot / (en * cn) END, {RANK_DECIMALS}) AS distance
   FROM d JOIN en USING (name, pos) JOIN cn USING (name))
-SELECT name AS request_id, rank, pos, distance FROM (
+SELECT name AS request_id, rank, pos, round(distance, 6) AS distance FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY distance ASC NULLS LAST, pos) - 1 AS BIGINT) AS rank
   FROM s) WHERE rank < {RETRIEVAL_LIMIT}"""
 
@@ -308,7 +325,7 @@ ORACLE["unknown_documents"] = f"""WITH {REQUESTS_CTE}, {DOC_FRAG}
 SELECT request_id, name FROM req
 WHERE name NOT IN (SELECT name FROM frag WHERE name IN (SELECT doc_id FROM labels))"""
 
-ORACLE["extract_keywords"] = f"WITH {KEYWORDS_CTES} SELECT request_id, name, keywords FROM kw"
+ORACLE["extract_keywords"] = f"WITH {KEYWORDS_CTES} SELECT request_id, name, keywords, matched FROM kw"
 
 DF_CTES = f"""{DOC_FRAG},
 dfreq AS (SELECT name, term, count(*) AS df FROM (
@@ -330,7 +347,7 @@ weights AS (SELECT frag.name, frag.pos, coalesce(wsum.weight, 0) AS weight FROM
 method AS (SELECT doc_id AS name, CASE WHEN lang IN {mean_langs()} THEN 'mean' ELSE 'sif' END AS method FROM documents),
 mx AS (SELECT name, pos, max(v) AS mx FROM fv GROUP BY ALL),
 k AS (SELECT w.name, w.pos, (1 - w.weight) / mx.mx AS k FROM weights w JOIN mx USING (name, pos)),
-nk AS (SELECT name, count(*) AS n FROM k GROUP BY name),
+nk AS (SELECT name, count(*) AS n FROM weights GROUP BY name),
 sif_cen AS (SELECT fv.name, fv.b AS i, sum(k.k * CAST(fv.v AS DOUBLE)) / any_value(nk.n) AS c
   FROM fv JOIN k USING (name, pos) JOIN nk USING (name) GROUP BY fv.name, fv.b),
 nall AS (SELECT name, count(*) AS n FROM frag GROUP BY name),
@@ -338,15 +355,14 @@ mean_cen AS (SELECT fv.name, fv.b AS i, sum(CAST(fv.v AS DOUBLE)) / any_value(na
   FROM fv JOIN nall USING (name) GROUP BY fv.name, fv.b),
 cen AS (SELECT s.* FROM sif_cen s JOIN method m USING (name) WHERE m.method = 'sif'
   UNION ALL SELECT p.* FROM mean_cen p JOIN method m USING (name) WHERE m.method = 'mean'),
-has_cen AS (SELECT name FROM nk JOIN method USING (name) WHERE method = 'sif'
-  UNION ALL SELECT name FROM nall JOIN method USING (name) WHERE method = 'mean'),
+has_cen AS (SELECT name FROM nall),
 cn AS (SELECT name, sqrt(sum(c * c)) AS cn FROM cen GROUP BY ALL),
 vn AS (SELECT name, pos, sqrt(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) AS vn FROM fv GROUP BY ALL),
 dt AS (SELECT fv.name, fv.pos, sum(CAST(fv.v AS DOUBLE) * cen.c) AS d
   FROM fv JOIN cen ON cen.name = fv.name AND cen.i = fv.b GROUP BY ALL),
 score AS (SELECT f.name, f.pos, f.text,
-  round(CASE WHEN vn.vn IS NULL OR coalesce(cn.cn, 0) = 0 THEN NULL ELSE coalesce(dt.d, 0) / (vn.vn * cn.cn) END, 6)
-    AS score
+  round(CASE WHEN vn.vn IS NULL OR coalesce(cn.cn, 0) = 0 THEN NULL ELSE coalesce(dt.d, 0) / (vn.vn * cn.cn) END,
+    {RANK_DECIMALS}) AS score
   FROM frag f JOIN has_cen USING (name) LEFT JOIN cn USING (name) LEFT JOIN vn USING (name, pos)
   LEFT JOIN dt USING (name, pos)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC NULLS LAST, pos ASC) - 1 AS BIGINT)
@@ -354,8 +370,8 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY score DE
 
 ORACLE["sif_weight"] = f"WITH {SIF_CTES} SELECT name, pos, round(weight, 9) AS weight FROM weights"
 ORACLE["sif_mean_vector"] = f"WITH {SIF_CTES} SELECT name, i, round(c, 6) AS value FROM sif_cen WHERE c <> 0"
-ORACLE["centrality"] = f"WITH {SIF_CTES} SELECT name, pos, score FROM score"
-ORACLE["central_fragments"] = f"WITH {SIF_CTES} SELECT name, rank, pos, score FROM ranked WHERE rank < 3"
+ORACLE["centrality"] = f"WITH {SIF_CTES} SELECT name, pos, round(score, 6) AS score FROM score"
+ORACLE["central_fragments"] = f"WITH {SIF_CTES} SELECT name, rank, pos, round(score, 6) AS score FROM ranked WHERE rank < 3"
 
 SUMMARY_CTES = f"""{SIF_CTES},
 cand AS (SELECT *, 'paragraph ' || pos || ': ' || text AS label FROM ranked WHERE rank < {SUMMARY_CANDIDATES}),

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 import uuid
 
 from docweave.constants import (
-    CONSOLE_PREVIEW, DEFAULT_CHAT_MODEL, DEFAULT_EMBEDDING_MODEL, HASH_DIM, KEYWORDS_PER_QUERY,
+    CONSOLE_PREVIEW, DEFAULT_CHAT_MODEL, DEFAULT_EMBEDDING_MODEL, HASH_DIM,
     PACK_MAX_TOKENS,
 )
 from docweave.functions.text import token_count
 from docweave.operators import prompts as P
-from docweave.operators.cost import chat_cost, embedding_cost, model_catalog
+from docweave.operators.cost import chat_cost, embedding_cost, embedding_cost_totals, model_catalog
 from docweave.operators.embedding import (
     check_dimension, embed_fragments, hashing_embedder, python_hashing_embedder,
 )
@@ -291,7 +291,7 @@ def q_summary_method(spark, sf):
 @register
 def q_split_keywords(spark, sf):
     req, frags, _ = requested_fragments(spark, sf)
-    kw = extract_keywords(req, idf(document_frequency(frags), frags), KEYWORDS_PER_QUERY)
+    kw = extract_keywords(req, idf(document_frequency(frags), frags)).filter("keywords <> ''")
     return kw.select("request_id", F.posexplode(P.split_keywords(F.col("keywords"))).alias("idx", "keyword")) \
         .withColumn("idx", F.col("idx").cast("bigint"))
 
@@ -350,6 +350,11 @@ def q_embedding_cost(spark, sf):
     return embedding_cost(per_batch, embedding_models, DEFAULT_EMBEDDING_MODEL)
 
 
+@register
+def q_embedding_cost_totals(spark, sf):
+    return embedding_cost_totals(q_embedding_cost(spark, sf))
+
+
 # ---------------------------------------------------------------- embedding
 
 
@@ -378,7 +383,7 @@ def question_hits(spark, sf) -> DataFrame:
 
 @register
 def q_top_k_inner_product(spark, sf):
-    return question_hits(spark, sf).select("request_id", "rank", "pos", "score")
+    return question_hits(spark, sf).select("request_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 
 @register
@@ -388,7 +393,7 @@ def q_top_k_cosine(spark, sf):
                                     F.col("centroid").alias("embedding"))
     labels = B.row_bound(spark, sf, "embeddings")
     hits = top_k_cosine(cents, vec, query_rows=labels, dim=HASH_DIM)
-    return hits.select("request_id", "rank", "pos", "distance")
+    return hits.select("request_id", "rank", "pos", F.round("distance", 6).alias("distance"))
 
 
 @register
@@ -422,7 +427,7 @@ def q_unknown_documents(spark, sf):
 @register
 def q_extract_keywords(spark, sf):
     req, frags, _ = requested_fragments(spark, sf)
-    return extract_keywords(req, idf(document_frequency(frags), frags), KEYWORDS_PER_QUERY)
+    return extract_keywords(req, idf(document_frequency(frags), frags))
 
 
 # ---------------------------------------------------------------- aggregation and summary
@@ -470,7 +475,8 @@ def q_centrality(spark, sf):
     frags = sif_fragments(spark, sf)
     bound = B.row_bound(spark, sf, "documents")
     cents = centroids(frags, document_methods(spark, sf), bound)
-    return centrality(frags, cents, doc_rows=bound, dim=HASH_DIM).select("name", "pos", "score")
+    return centrality(frags, cents, doc_rows=bound, dim=HASH_DIM).select(
+        "name", "pos", F.round("score", 6).alias("score"))
 
 
 @register
@@ -479,7 +485,7 @@ def q_central_fragments(spark, sf):
     bound = B.row_bound(spark, sf, "documents")
     cents = centroids(frags, document_methods(spark, sf), bound)
     scored = centrality(frags, cents, doc_rows=bound, dim=HASH_DIM)
-    return central_fragments(scored, 3).select("name", "rank", "pos", "score")
+    return central_fragments(scored, 3).select("name", "rank", "pos", F.round("score", 6).alias("score"))
 
 
 @register

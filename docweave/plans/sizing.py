@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.constants import BROADCAST_LIMIT_BYTES
-from docweave.session import checkpoint_dir
+from docweave.session import checkpoint_dir, is_local
+
+# Bytes of a row that holds a 32-character fingerprint and a few keys.
+NAME_BYTES = 96
 
 
 def fits(row_bound: int | None, bytes_per_row: int, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
@@ -28,24 +31,20 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None, bytes_per_row: int,
     return F.broadcast(df) if fits(row_bound, bytes_per_row, limit) else df
 
 
-def vector_row_bytes(dim: int, extra: int = 64) -> int:
-    """Bytes per row of a table holding one FLOAT vector plus a few keys."""
-    return 4 * dim + extra
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def vector_row_bytes(dim: int, extra: int = NAME_BYTES) -> int:
+    """Bytes per row of a table holding one vector (of doubles at most) plus a few keys."""
+    return 8 * dim + extra
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster when it has fewer splits than cores.
+    """Round-robin ``df`` over the cores of a local session when it has fewer splits.
 
-    A small input stored as one Parquet row group is read by one task; the
-    row-wise text work that follows would then run on one core.  Large inputs
-    already have many splits and pass through untouched (no shuffle).
+    A test table stored as one Parquet row group is read by one task; the
+    row-wise text work that follows would then run on one core.  On a cluster
+    nothing is moved: ``spark.sql.files.maxPartitionBytes`` sets the splits.
     """
+    if not is_local(df.sparkSession):
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

@@ -18,7 +18,7 @@ from docweave.operators.summary import (
     sif_weight, summary_method,
 )
 from docweave.operators.tokens import cut_to_budget
-from docweave.plans.sizing import maybe_broadcast
+from docweave.plans.sizing import NAME_BYTES, maybe_broadcast
 from docweave.plans.answer import context_budget
 
 
@@ -33,7 +33,7 @@ def centroids(fragments: DataFrame, methods: DataFrame, doc_rows: int | None = N
         tagged = fragments.withColumn("method", summary_method(F.col("lang")))
     else:
         if doc_rows is not None:
-            methods = maybe_broadcast(methods, doc_rows, 32)
+            methods = maybe_broadcast(methods, doc_rows, NAME_BYTES)
         tagged = fragments.join(methods, "name")
     plain = tagged.filter(F.col("method") == "mean")
     sif = tagged.filter(F.col("method") == "sif").drop("method")
@@ -61,6 +61,6 @@ def summary_context(fragments: DataFrame, docs: DataFrame,
     kept = cut_to_budget(ranked, "name", budget)
     ctx = numbered_list(kept, "name", "rank", "label", out="context")
     methods = maybe_broadcast(docs.select("name", summary_method(F.col("lang")).alias("method")),
-                              doc_rows, 32)
+                              doc_rows, NAME_BYTES)
     return ctx.join(methods, "name").select(
         "name", "method", F.col("n_items").alias("n_fragments"), "context")

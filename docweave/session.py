@@ -44,11 +44,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (and share its folders)."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    Uses ``spark.checkpoint.dir`` as configured for the cluster.  Only when it
-    is unset (local tests) a fresh scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` as configured for the cluster, and raises if a
+    cluster has none.  Only in a local session (tests) a fresh scratch folder
+    is created and registered where it is unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -56,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not current:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="docweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -148,12 +148,13 @@ def test_sif_centroid(spark):
     assert [round(x, 6) for x in m] == [0.5, 0.833333]
 
 
-def test_sif_skips_zero_maximum(spark):
+def test_sif_counts_zero_maximum(spark):
+    """A zero vector adds nothing to the sum; the mean is over all fragments."""
     data = [("d", 0, "alpha", [0.0, 0.0]), ("d", 1, "beta", [2.0, 0.0])]
     frags = spark.createDataFrame(data, "name string, pos long, text string, embedding array<float>")
     weighted = sif_weight(frags, idf(document_frequency(frags), frags))
     c = sif_mean_vector(weighted).collect()[0].centroid
-    assert c[1] == 0.0 and 0.99 < c[0] < 1.0
+    assert c[1] == 0.0 and 0.495 < c[0] < 0.5
 
 
 # ------------------------------------------------------------ top-k
@@ -168,9 +169,10 @@ def topk_inputs(spark):
 def test_inner_product_vs_cosine(spark):
     q, idx = topk_inputs(spark)
     ip = top_k_inner_product(q, idx, query_rows=1, dim=2).orderBy("rank")
-    assert rows(ip, "pos", "score") == [(1, 3.0), (0, 0.9), (2, 0.0)]
+    rounded = lambda df, col: [(p, None if x is None else round(x, 6)) for p, x in rows(df, "pos", col)]
+    assert rounded(ip, "score") == [(1, 3.0), (0, 0.9), (2, 0.0)]
     cos = top_k_cosine(q, idx, query_rows=1, dim=2).orderBy("rank")
-    assert rows(cos, "pos", "distance") == [(0, round(1 - 0.993884, 6)), (1, round(1 - 0.707107, 6)), (2, None)]
+    assert rounded(cos, "distance") == [(0, round(1 - 0.993884, 6)), (1, round(1 - 0.707107, 6)), (2, None)]
 
 
 def test_topk_ties_limit_and_other_documents(spark):
@@ -260,3 +262,73 @@ def test_language_detection_held_out(spark):
     total = held.count()
     right = joined.filter(F.col("lang") == F.col("truth")).count()
     assert total > 300 and right / total > 0.97
+
+
+# ---------------------------------------------------------------- nothing is lost
+
+
+def test_ranking_uses_more_than_six_decimals(spark):
+    idx = spark.createDataFrame([("d", 0, [0.5]), ("d", 1, [0.5000003])], "name string, pos long, embedding array<double>")
+    q = spark.createDataFrame([("r", "d", [1.0])], "request_id string, name string, embedding array<double>")
+    assert top_k_inner_product(q, idx, limit=1).collect()[0].pos == 1
+
+
+def test_every_question_has_a_row(spark):
+    from docweave.plans.answer import answer_context
+    frags = spark.createDataFrame([("d", 0, "alpha beta gamma"), ("d", 1, "delta epsilon")],
+                                  "name string, pos long, text string")
+    many = " ".join(f"w{k}" for k in range(20)) + " delta alpha"
+    req = spark.createDataFrame([("r1", "d", "where is delta"), ("r2", "d", "zeta eta"), ("r3", "nowhere", "alpha"),
+                                 ("r4", "d", "??"), ("r5", "d", many)], "request_id string, name string, query string")
+    got = {r.request_id: r for r in answer_context(req, frags, 32, request_rows=5).collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        "r1": "answered", "r2": "no match", "r3": "unknown document", "r4": "no match", "r5": "answered"}
+    assert got["r2"].keywords == "eta,zeta" and got["r4"].keywords == "" and got["r4"].n_fragments == 2
+    assert got["r3"].context is None and got["r5"].keywords == "alpha,delta"
+    cosine = answer_context(req, frags, 32, request_rows=5, cosine=True)
+    assert cosine.count() == 5
+
+
+def test_every_text_gets_a_language(spark):
+    from docweave.operators.language import detect_language, language_profiles
+    prof = language_profiles(spark.createDataFrame(
+        [("en", "the cat and the dog"), ("en", "this is the house"), ("fr", "le chat et la maison")],
+        "lang string, text string"))
+    texts = spark.createDataFrame([(1, "the house"), (2, "la maison"), (3, "12345"), (4, "中文字符"), (5, None), (6, "")],
+                                  "id long, text string")
+    got = {r.id: r.lang for r in detect_language(texts, prof, ["id"], profile_rows=prof.count()).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5, 6}
+    assert got[1] == "en" and got[2] == "fr" and got[3] == got[5] == got[6] == "en"
+
+
+def test_zero_vectors_count_in_the_mean(spark):
+    from docweave.operators.summary import centrality
+    df = spark.createDataFrame([("d", 0, [2.0, 0.0], 0.0), ("d", 1, [0.0, 0.0], 0.0), ("e", 0, [0.0, 0.0], 0.0)],
+                               "name string, pos long, embedding array<double>, weight double")
+    cents = sif_mean_vector(df)
+    assert {r.name: list(r.centroid) for r in cents.collect()} == {"d": [0.5, 0.0], "e": [0.0, 0.0]}
+    assert centrality(df, cents).count() == 3
+
+
+def test_usage_of_an_unknown_model_is_kept(spark):
+    chat, _ = model_catalog(spark)
+    usage = spark.createDataFrame([("gpt-4", 1000, 0), ("other", 10, 5)],
+                                  "model string, prompt_tokens long, completion_tokens long")
+    got = {r.model: (r.known_model, r.total_tokens, r.total_cost) for r in chat_cost(usage, chat).collect()}
+    assert got == {"gpt-4": (True, 1000, 0.03), "other": (False, 15, None)}
+    with pytest.raises(Exception, match="unknown model"):
+        chat_cost(usage.drop("model"), chat, model="nope").collect()
+
+
+def test_null_text_is_rejected(spark):
+    df = spark.createDataFrame([(1, None), (2, "x"), (3, " ")], "name long, text string")
+    assert sorted(r.name for r in rejected_documents(df).collect()) == [1, 3]
+
+
+def test_embedding_totals(spark):
+    from docweave.operators.cost import embedding_cost, embedding_cost_totals
+    _, models = model_catalog(spark)
+    batches = spark.createDataFrame([("a", 0, 1000), ("a", 1, 500), ("b", 0, 2000)], "name string, batch long, tokens long")
+    got = {r.name: (r.tokens, r.batches, r.cost) for r in embedding_cost_totals(
+        embedding_cost(batches, models, "text-embedding-ada-002")).collect()}
+    assert got == {"a": (1500, 2, 0.00015), "b": (2000, 1, 0.0002), None: (3500, 3, 0.00035)}

@@ -33,5 +33,5 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_runs(spark):
     df = entry(spark)
-    assert df.columns == ["request_id", "name", "keywords", "n_fragments", "context"]
+    assert df.columns == ["request_id", "name", "keywords", "status", "n_fragments", "context"]
     assert df.count() > 0
