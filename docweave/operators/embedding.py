@@ -37,12 +37,20 @@ def hashing_embedder(df: DataFrame, dim: int, text_col: str = "text",
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+def checked(vectors: list, rows: int, dim: int) -> list:
+    """The vectors, if there is one of length ``dim`` for each row; else an error that fails the task."""
+    if len(vectors) != rows or any(len(v) != dim for v in vectors):
+        raise ValueError(f"the embedder must return {rows} vectors of length {dim}")
+    return vectors
+
+
 def embed_fragments(packed: DataFrame, dim: int, embedder: Embedder | None = None,
                     text_col: str = "text") -> DataFrame:
     """E1. One vector per fragment.
 
     ``embedder=None`` uses the native hashing embedder.  Otherwise
-    ``embedder(texts) -> vectors`` is called once per (name, batch) group.
+    ``embedder(texts) -> vectors`` is called once per (name, batch) group and
+    must return a vector of length ``dim`` for every text.
     """
     if embedder is None:
         return hashing_embedder(packed, dim, text_col)
@@ -51,7 +59,7 @@ def embed_fragments(packed: DataFrame, dim: int, embedder: Embedder | None = Non
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        vectors = embedder(pdf[text_col].tolist())
+        vectors = checked(embedder(pdf[text_col].tolist()), len(pdf), dim)
         pdf = pdf.copy()
         pdf["embedding"] = [np.asarray(v, dtype=np.float32) for v in vectors]
         return pdf

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.constants import RESERVE_TOKENS
-from docweave.functions.text import token_count  # noqa: F401  (T1, re-exported)
+from docweave.functions.text import token_count
+from docweave.functions.vectors import let
 from docweave.plans.scan import running_total
 
 
@@ -30,8 +31,14 @@ def _batch_ends(tokens: Column, limit: int) -> Column:
     return F.aggregate(tokens, init, step)["ends"]
 
 
-def batch_of(pos: Column, ends: Column) -> Column:
-    return F.size(F.filter(ends, lambda e: e < pos)).cast("bigint")
+def batch_ids(ends: Column, n: Column) -> Column:
+    """Batch of each of ``n`` fragments: batch k runs up to the k-th end, the last one to the end."""
+    def of_batch(k: Column) -> Column:
+        upto = F.coalesce(F.get(ends, k), n.cast("bigint") - 1)
+        before = F.coalesce(F.get(ends, k - F.lit(1)), F.lit(-1).cast("bigint"))
+        return F.array_repeat(k.cast("bigint"), (upto - before).cast("int"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends)), of_batch))
 
 
 def pack_document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS,
@@ -44,15 +51,16 @@ def pack_document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESER
     limit = max_tokens - reserve
     with_tokens = docs.withColumn(
         "_tok", F.transform(F.col(fragments_col), lambda x: token_count(x)))
-    with_ends = with_tokens.withColumn("_ends", _batch_ends(F.col("_tok"), limit))
-    exploded = with_ends.select(
-        "name", "_ends",
-        F.posexplode(F.arrays_zip(F.col(fragments_col).alias("text"),
-                                  F.col("_tok").alias("n_tokens"))).alias("pos", "_f"))
+    with_ids = with_tokens.withColumn("_ids", let(
+        _batch_ends(F.col("_tok"), limit), lambda ends: batch_ids(ends, F.size("_tok"))))
+    exploded = with_ids.select(
+        "name",
+        F.posexplode(F.arrays_zip(F.col(fragments_col).alias("text"), F.col("_tok").alias("n_tokens"),
+                                  F.col("_ids").alias("batch"))).alias("pos", "_f"))
     return exploded.select(
         "name", F.col("pos").cast("bigint").alias("pos"), F.col("_f")["text"].alias("text"),
         F.col("_f")["n_tokens"].alias("n_tokens"),
-        batch_of(F.col("pos").cast("bigint"), F.col("_ends")).alias("batch"))
+        F.col("_f")["batch"].alias("batch"))
 
 
 def pack_batches(fragments: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS) -> DataFrame:
@@ -64,10 +72,12 @@ def pack_batches(fragments: DataFrame, max_tokens: int, reserve: int = RESERVE_T
     limit = max_tokens - reserve
     grouped = fragments.groupBy("name").agg(
         F.array_sort(F.collect_list(F.struct("pos", "n_tokens"))).alias("_items"))
-    ends = grouped.select("name", _batch_ends(
-        F.transform(F.col("_items"), lambda x: x["n_tokens"]), limit).alias("_ends"))
-    return fragments.join(ends, "name").withColumn(
-        "batch", batch_of(F.col("pos"), F.col("_ends"))).drop("_ends")
+    ids = let(_batch_ends(F.transform(F.col("_items"), lambda x: x["n_tokens"]), limit),
+              lambda ends: batch_ids(ends, F.size("_items")))
+    batches = grouped.select("name", F.explode(F.arrays_zip(
+        F.transform("_items", lambda x: x["pos"]).alias("pos"), ids.alias("batch"))).alias("_b"))
+    return fragments.join(batches.select("name", "_b.pos", "_b.batch"), ["name", "pos"]).select(
+        *fragments.columns, "batch")
 
 
 def batch_totals(packed: DataFrame) -> DataFrame:

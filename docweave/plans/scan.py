@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 12
 
 
 def dense_positions(df: DataFrame, key: str, order: str, out: str = "pos",

@@ -332,3 +332,26 @@ def test_embedding_totals(spark):
     got = {r.name: (r.tokens, r.batches, r.cost) for r in embedding_cost_totals(
         embedding_cost(batches, models, "text-embedding-ada-002")).collect()}
     assert got == {"a": (1500, 2, 0.00015), "b": (2000, 1, 0.0002), None: (3500, 3, 0.00035)}
+
+
+def test_embedder_of_another_length_fails(spark):
+    from docweave.operators.embedding import embed_fragments
+    df = spark.createDataFrame([("d", 0, "a", 0), ("d", 1, "b", 0)], "name string, pos long, text string, batch long")
+    with pytest.raises(Exception, match="vectors of length 4"):
+        embed_fragments(df, 4, embedder=lambda texts: [[0.0] * 3 for _ in texts]).collect()
+
+
+def test_both_packings_agree(spark):
+    lines = [" ".join(["w"] * (1 + (7 * k) % 23)) for k in range(60)]
+    docs = spark.createDataFrame([("d", lines), ("e", ["one"]), ("f", [])], "name string, fragments array<string>")
+    whole = pack_document_batches(docs, 50, reserve=10)
+    frags = whole.drop("batch")
+    key = lambda df: sorted((r.name, r.pos, r.n_tokens, r.batch) for r in df.collect())
+    assert key(whole) == key(pack_batches(frags, 50, reserve=10))
+    run, batch, want = 0, 0, []
+    for r in sorted(frags.filter("name = 'd'").collect(), key=lambda r: r.pos):
+        want.append(batch)
+        run += r.n_tokens
+        if run > 40:
+            run, batch = 0, batch + 1
+    assert [b for n, _, _, b in key(whole) if n == "d"] == want
