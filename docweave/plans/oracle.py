@@ -195,18 +195,28 @@ prof AS (SELECT lang, gram, ln((tf + 1.0) / den) AS logp, ln(1.0 / den) AS unsee
 ORACLE["language_profiles"] = f"""WITH {PROFILE_CTES}
 SELECT lang, gram, round(logp, 6) AS logp, round(unseen, 6) AS unseen, round(prior, 6) AS prior FROM prof"""
 
-ORACLE["detect_language"] = f"""WITH {PROFILE_CTES},
-tg AS (SELECT conv_id, turn, gram, count(*) AS tf FROM ({trigram_sql('conversations', 'conv_id, turn')})
-  GROUP BY ALL),
-tot AS (SELECT conv_id, turn, sum(tf) AS all_tf FROM tg GROUP BY ALL),
+def detected_ctes(src: str, keys: list[str]) -> str:
+    """CTE ``det``(keys..., lang): every text of ``src`` with its most probable language."""
+    k, on = ", ".join(keys), " AND ".join(f"m.{x} = c.{x}" for x in keys)
+    return f"""{PROFILE_CTES},
+tg AS (SELECT {k}, gram, count(*) AS tf FROM ({trigram_sql(src, k)}) GROUP BY ALL),
+tot AS (SELECT {k}, sum(tf) AS all_tf FROM tg GROUP BY ALL),
 per_lang AS (SELECT lang, any_value(unseen) AS unseen, any_value(prior) AS prior FROM prof GROUP BY lang),
-m AS (SELECT conv_id, turn, lang, sum(tf * (logp - unseen)) AS gain FROM tg JOIN prof USING (gram) GROUP BY ALL),
-sc AS (SELECT c.conv_id, c.turn, l.lang,
+m AS (SELECT {k}, lang, sum(tf * (logp - unseen)) AS gain FROM tg JOIN prof USING (gram) GROUP BY ALL),
+sc AS (SELECT {", ".join("c." + x for x in keys)}, l.lang,
     round(l.prior + coalesce(tot.all_tf, 0) * l.unseen + coalesce(m.gain, 0), 9) AS score
-  FROM conversations c CROSS JOIN per_lang l LEFT JOIN tot USING (conv_id, turn)
-  LEFT JOIN m ON m.conv_id = c.conv_id AND m.turn = c.turn AND m.lang = l.lang)
-SELECT conv_id, turn, left(lang, 2) AS lang FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, lang) AS rn FROM sc) WHERE rn = 1"""
+  FROM {src} c CROSS JOIN per_lang l LEFT JOIN tot USING ({k}) LEFT JOIN m ON {on} AND m.lang = l.lang),
+det AS (SELECT {k}, left(lang, 2) AS lang FROM (
+  SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, lang) AS rn FROM sc) WHERE rn = 1)"""
+
+
+ORACLE["detect_language"] = f"""WITH {detected_ctes('conversations', ['conv_id', 'turn'])}
+SELECT conv_id, turn, lang FROM det"""
+
+ORACLE["detected_documents"] = f"""WITH {detected_ctes('documents', ['doc_id'])}
+SELECT doc_id, det.lang, CASE WHEN det.lang IN {mean_langs()} THEN 'mean' ELSE 'sif' END AS method,
+  md5(array_to_string({clean_lines('text')}, {NL})) || '/' || det.lang AS uri
+FROM documents JOIN det USING (doc_id)"""
 
 ORACLE["summary_method"] = f"""
 SELECT doc_id, lang, CASE WHEN lang IN {mean_langs()} THEN 'mean' ELSE 'sif' END AS method FROM documents"""

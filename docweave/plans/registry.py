@@ -283,6 +283,18 @@ def q_detect_language(spark, sf):
         "conv_id", "turn", "lang")
 
 
+@register
+def q_detected_documents(spark, sf):
+    """Language, summary method and URI of every document from its text alone (no label needed)."""
+    prof = language_profiles(B.table(spark, sf, "documents"))
+    docs = B.table(spark, sf, "documents")
+    found = detect_language(docs.select("doc_id", "text"), prof, ["doc_id"], profile_rows=prof.count())
+    ids = docs.select("doc_id", content_id_of_text(F.col("text")).alias("content_id"))
+    return ids.join(found, "doc_id").select(
+        "doc_id", "lang", summary_method(F.col("lang")).alias("method"),
+        make_uri(F.col("content_id"), F.col("lang")).alias("uri"))
+
+
 @register
 def q_summary_method(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", "lang", summary_method(F.col("lang")).alias("method"))
