@@ -76,7 +76,7 @@ from docweave.constants import (  # noqa: E402
 from docweave.operators import prompts as P  # noqa: E402
 from docweave.plans.oracle_parts import closers, mean_langs, q, strip, words  # noqa: E402
 from docweave.sources.files import _SUFFIX  # noqa: E402
-from docweave.sources.html import ARTICLE, ENTITIES, HTML_CHAIN  # noqa: E402
+from docweave.sources.html import ARTICLE, ENTITIES, HTML_CHAIN, NUMERIC  # noqa: E402
 
 DOC_FRAG = fragments_cte(DOCS)
 
@@ -96,6 +96,12 @@ def html_sql(expr: str) -> str:
     for pattern, replacement in HTML_CHAIN:
         rep = "chr(10)" if replacement == "\n" else q(replacement)
         out = f"regexp_replace({out}, {q(pattern)}, {rep}, 'g')"
+    number = f"regexp_extract(r, {q(NUMERIC)}, 1)"
+    code = (f"CASE WHEN {number} <> '' THEN CAST({number} AS INT) "
+            f"ELSE CAST('0x' || regexp_extract(r, {q(NUMERIC)}, 2) AS INT) END")
+    char = (f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE r END")
+    out = (f"list_reduce(list_transform(list_distinct(regexp_extract_all({out}, {q(NUMERIC)})), "
+           f"lambda r: [r, {char}]), lambda acc, p: [replace(acc[1], p[1], p[2]), ''], [{out}, ''])[1]")
     for entity, char in ENTITIES:
         out = f"replace({out}, {q(entity)}, {q(char)})"
     return out

@@ -1,8 +1,8 @@
 """Main text of web pages (F3, F4) as a chain of regexp_replace expressions.
 
 Non-content blocks and comments are removed, block-level tags become line
-breaks, remaining tags are stripped and common entities unescaped (``&amp;``
-last).  Patterns are RE2-compatible (no look-around, no back-references) so
+breaks, remaining tags are stripped, numeric references and common entities
+unescaped (``&amp;`` last).  Patterns are RE2-compatible (no look-around, no back-references) so
 DuckDB runs the same chain.  This is a deterministic approximation of a
 readability extractor, not a copy of one.
 """
@@ -17,26 +17,59 @@ from docweave.operators.fragments import split_fragments
 
 _BLOCKS = "script|style|nav|header|footer|aside|form|head"
 
-# Applied in order, every match replaced.
-HTML_CHAIN = [
-    (rf"(?is)<({_BLOCKS})\b.*?</({_BLOCKS})>", " "),
-    (r"(?s)<!--.*?-->", " "),
-    (r'(?is)<div class="ad">.*?</div>', " "),
-    (r"(?i)<(/?(p|div|h[1-6]|li|ul|ol|tr|table|article|section)|br)\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-]
+# Classes of block elements that hold no content of the page.
+SIDE_CLASSES = ("ad",)
 
-# Entities, replaced literally in this order.
-ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
-            ("&amp;", "&")]
+
+def html_chain(side_classes: tuple[str, ...] = SIDE_CLASSES) -> list[tuple[str, str]]:
+    """(pattern, replacement) steps, applied in order, every match replaced."""
+    aside = "|".join(side_classes)
+    return [
+        (rf"(?is)<({_BLOCKS})\b.*?</({_BLOCKS})>", " "),
+        (r"(?s)<!--.*?-->", " "),
+        *([(rf"""(?is)<(?:div|section)\b[^>]*\bclass=["']?(?:{aside})\b[^>]*>.*?</(?:div|section)>""", " ")]
+          if aside else []),
+        (r"(?i)<(/?(p|div|h[1-6]|li|ul|ol|tr|table|article|section)|br)\b[^>]*>", "\n"),
+        (r"<[^>]*>", ""),
+    ]
+
+
+HTML_CHAIN = html_chain()
+
+# Numeric character references, decimal (group 1) or hexadecimal (group 2).
+NUMERIC = r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
+
+# Entities, replaced literally in this order ("&amp;" last, so nothing is decoded twice).
+ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&bull;", "•"),
+            ("&nbsp;", "\u00a0"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"),
+            ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
+            ("&euro;", "€"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
 
 
-def html_text(html: Column) -> Column:
+def _character(reference: Column) -> Column:
+    """The character of a numeric reference; the reference itself if there is none of that number."""
+    decimal = F.nullif(F.regexp_extract(reference, NUMERIC, 1), F.lit(""))
+    hexadecimal = F.nullif(F.regexp_extract(reference, NUMERIC, 2), F.lit(""))
+    code = F.coalesce(decimal.cast("int"), F.conv(hexadecimal, 16, 10).cast("int"))
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(reference)
+
+
+def decode_numeric(text: Column) -> Column:
+    """Numeric character references replaced; each distinct one of a text is looked up once."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), 0))
+    return F.when(F.contains(text, F.lit("&#")), F.aggregate(
+        found, text, lambda acc, r: F.replace(acc, r, _character(r)))).otherwise(text)
+
+
+def html_text(html: Column, side_classes: tuple[str, ...] = SIDE_CLASSES) -> Column:
+    """Text of a page without its side blocks; ``side_classes`` are classes of blocks to leave out."""
     out = html
-    for pattern, replacement in HTML_CHAIN:
+    for pattern, replacement in html_chain(side_classes):
         out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
+    out = decode_numeric(out)
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out

@@ -355,3 +355,16 @@ def test_both_packings_agree(spark):
         if run > 40:
             run, batch = 0, batch + 1
     assert [b for n, _, _, b in key(whole) if n == "d"] == want
+
+
+def test_entities_and_side_blocks(spark):
+    from docweave.sources.html import html_text
+    pages = {"<p>it&#39;s&nbsp;a &#8212; b &#x1F600; &amp;#39; &#0; &#9999999;</p>":
+             "it's a — b 😀 &#39; &#0; &#9999999;",
+             '<div class="ad">buy</div><p>text</p>': "text",
+             "<section id='x' class='promo big'>buy</section><p>more</p>": "buy\n\nmore"}
+    df = spark.createDataFrame([(k,) for k in pages], "h string")
+    got = {r.h: r.t.strip(" \n") for r in df.select("h", html_text(F.col("h")).alias("t")).collect()}
+    assert got == pages
+    other = df.select("h", html_text(F.col("h"), side_classes=("ad", "promo")).alias("t")).collect()
+    assert "more" in [r.t.strip(" \n") for r in other]
