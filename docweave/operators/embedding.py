@@ -67,6 +67,26 @@ def embed_fragments(packed: DataFrame, dim: int, embedder: Embedder | None = Non
     return packed.groupBy("name", "batch").applyInPandas(run, schema=out_schema)
 
 
+def embed_batches(batches: DataFrame, dim: int, embedder: Embedder) -> DataFrame:
+    """E1 on batch rows (name, batch, first, texts): (name, pos, text, batch, embedding), without a shuffle.
+
+    ``embedder(texts) -> vectors`` is called once per row, where the row is.
+    """
+    schema = T.StructType([
+        T.StructField("name", batches.schema["name"].dataType), T.StructField("pos", T.LongType()),
+        T.StructField("text", T.StringType()), T.StructField("batch", T.LongType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(frames):
+        for pdf in frames:
+            for name, batch, first, texts in pdf[["name", "batch", "first", "texts"]].itertuples(index=False):
+                vectors = checked(embedder(list(texts)), len(texts), dim)
+                yield pd.DataFrame({"name": name, "pos": range(first, first + len(texts)), "text": list(texts),
+                                    "batch": batch, "embedding": [np.asarray(v, dtype=np.float32) for v in vectors]})
+
+    return batches.mapInPandas(run, schema)
+
+
 def embed_query(requests: DataFrame, dim: int, embedder: Embedder | None = None,
                 text_col: str = "keywords") -> DataFrame:
     """E2. One vector per request text (the keywords by default).
@@ -81,7 +101,7 @@ def embed_query(requests: DataFrame, dim: int, embedder: Embedder | None = None,
 
     def run(batches):
         for pdf in batches:
-            vectors = embedder(pdf[text_col].tolist()) if len(pdf) else []
+            vectors = checked(embedder(pdf[text_col].tolist()) if len(pdf) else [], len(pdf), dim)
             pdf = pdf.copy()
             pdf["embedding"] = [np.asarray(v, dtype=np.float32) for v in vectors]
             yield pdf

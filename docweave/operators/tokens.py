@@ -63,6 +63,23 @@ def pack_document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESER
         F.col("_f")["batch"].alias("batch"))
 
 
+def document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS,
+                     fragments_col: str = "fragments") -> DataFrame:
+    """T2 as one row per batch: (name, batch, first, texts), row-wise; ``first`` is the position of texts[0]."""
+    tokens = F.transform(F.col(fragments_col), lambda x: token_count(x))
+
+    def batches(ends: Column) -> Column:
+        def one(k: Column) -> Column:
+            first = (F.coalesce(F.get(ends, k - F.lit(1)), F.lit(-1).cast("bigint")) + 1).cast("int")
+            upto = F.coalesce(F.get(ends, k) + 1, F.size(fragments_col).cast("bigint")).cast("int")
+            return F.struct(k.cast("bigint").alias("batch"), first.cast("bigint").alias("first"),
+                            F.slice(fragments_col, first + 1, upto - first).alias("texts"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(ends)), one), lambda b: F.size(b["texts"]) > 0)
+
+    rows = docs.select("name", F.explode(let(_batch_ends(tokens, max_tokens - reserve), batches)).alias("_b"))
+    return rows.select("name", "_b.*")
+
+
 def pack_batches(fragments: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS) -> DataFrame:
     """T2 on a fragments table (name, pos, text, n_tokens).
 
@@ -88,6 +105,40 @@ def batch_totals(packed: DataFrame) -> DataFrame:
                  F.grouping_id().alias("level")))
 
 
+def _document_cut(tokens: Column, budget: int) -> Column:
+    """(run, kept, kept_tokens) of a document's fragments in order, by one fold."""
+    zero = F.lit(0).cast("bigint")
+
+    def step(acc, t):
+        fits = acc["run"] <= F.lit(budget)
+        return F.struct((acc["run"] + t).alias("run"),
+                        (acc["kept"] + F.when(fits, 1).otherwise(0)).cast("bigint").alias("kept"),
+                        (acc["kept_tokens"] + F.when(fits, t).otherwise(0)).cast("bigint").alias("kept_tokens"))
+
+    return F.aggregate(tokens, F.struct(zero.alias("run"), zero.alias("kept"), zero.alias("kept_tokens")), step)
+
+
+def _document_tokens(docs: DataFrame, fragments_col: str) -> DataFrame:
+    return docs.select("name", F.transform(F.col(fragments_col), lambda x: token_count(x)).alias("_tok")).filter(
+        F.size("_tok") > 0)
+
+
+def cut_documents(docs: DataFrame, budget: int, fragments_col: str = "fragments") -> DataFrame:
+    """T4 over whole documents (name, fragments): the kept prefix as (name, pos, n_tokens), row-wise, no shuffle."""
+    cut = _document_tokens(docs, fragments_col).select(
+        "name", F.slice("_tok", F.lit(1), _document_cut(F.col("_tok"), budget)["kept"].cast("int")).alias("_tok"))
+    return cut.select("name", F.posexplode("_tok").alias("pos", "n_tokens")).withColumn(
+        "pos", F.col("pos").cast("bigint"))
+
+
+def cut_document_report(docs: DataFrame, budget: int, fragments_col: str = "fragments") -> DataFrame:
+    """T5 over whole documents (name, fragments), row-wise, no shuffle; no row for one without fragments."""
+    found = _document_tokens(docs, fragments_col).select(
+        "name", F.size("_tok").cast("bigint").alias("candidates"), _document_cut(F.col("_tok"), budget).alias("_c"))
+    return found.select("name", "candidates", "_c.kept", "_c.kept_tokens",
+                        (F.col("_c.kept") < F.col("candidates")).alias("was_cut"))
+
+
 def _earlier_tokens(ranked: DataFrame, key: str, rank: str, tokens: str, chunked: bool) -> DataFrame:
     if chunked:
         return running_total(ranked, [key], rank, F.col(tokens), "_earlier")

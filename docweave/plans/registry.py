@@ -21,7 +21,7 @@ from docweave.functions.text import token_count
 from docweave.operators import prompts as P
 from docweave.operators.cost import chat_cost, embedding_cost, embedding_cost_totals, model_catalog
 from docweave.operators.embedding import (
-    check_dimension, embed_fragments, hashing_embedder, python_hashing_embedder,
+    check_dimension, embed_batches, hashing_embedder, python_hashing_embedder,
 )
 from docweave.operators.fragments import (
     fragment_arrays, label_paragraphs, numbered_list, paragraph_fragments, preview, reflow_lines,
@@ -37,7 +37,9 @@ from docweave.operators.summary import (
     central_fragments, centrality, document_frequency, idf, mean_vector, sif_mean_vector,
     sif_weight, summary_method, vocabulary,
 )
-from docweave.operators.tokens import batch_totals, cut_report, cut_to_budget, pack_document_batches
+from docweave.operators.tokens import (
+    batch_totals, cut_document_report, cut_documents, document_batches, pack_document_batches,
+)
 from docweave.plans import bindings as B
 from docweave.plans.answer import answer_context, answer_hits, context_budget
 from docweave.plans.scan import dense_positions
@@ -326,20 +328,14 @@ def q_batch_totals(spark, sf):
         "name", "batch", F.col("level").cast("bigint").alias("level"), "tokens", "fragments")
 
 
-def ranked_fragments(spark, sf) -> DataFrame:
-    frags = doc_fragments(spark, sf)
-    return frags.withColumn("n_tokens", token_count(F.col("text")))
-
-
 @register
 def q_cut_to_budget(spark, sf):
-    kept = cut_to_budget(ranked_fragments(spark, sf), "name", context_budget(), rank="pos", chunked=True)
-    return kept.select("name", "pos", "n_tokens")
+    return cut_documents(fragment_arrays(B.documents(spark, sf)), context_budget())
 
 
 @register
 def q_cut_report(spark, sf):
-    return cut_report(ranked_fragments(spark, sf), "name", context_budget(), rank="pos", chunked=True)
+    return cut_document_report(fragment_arrays(B.documents(spark, sf)), context_budget())
 
 
 @register
@@ -372,8 +368,8 @@ def q_embedding_cost_totals(spark, sf):
 
 @register
 def q_embed_fragments(spark, sf):
-    packed = packed_documents(spark, sf).select("name", "pos", "text", "batch")
-    vectors = embed_fragments(packed, HASH_DIM, embedder=python_hashing_embedder(HASH_DIM))
+    batches = document_batches(fragment_arrays(B.documents(spark, sf)), PACK_MAX_TOKENS)
+    vectors = embed_batches(batches, HASH_DIM, python_hashing_embedder(HASH_DIM))
     return sparse_rows(vectors, ["name", "pos"])
 
 

@@ -368,3 +368,19 @@ def test_entities_and_side_blocks(spark):
     assert got == pages
     other = df.select("h", html_text(F.col("h"), side_classes=("ad", "promo")).alias("t")).collect()
     assert "more" in [r.t.strip(" \n") for r in other]
+
+
+def test_row_wise_cut_equals_the_window_form(spark):
+    from docweave.operators.tokens import cut_document_report, cut_documents, document_batches
+    lines = [" ".join(["w"] * (1 + (5 * k) % 17)) for k in range(40)]
+    docs = spark.createDataFrame([("d", lines), ("e", ["one two"]), ("f", [])], "name string, fragments array<string>")
+    ranked = docs.select("name", F.posexplode("fragments").alias("pos", "text")).withColumn(
+        "n_tokens", token_count(F.col("text")))
+    for budget in (0, 60, 10_000):
+        key = lambda df: sorted((r.name, r.pos, r.n_tokens) for r in df.collect())
+        assert key(cut_documents(docs, budget)) == key(cut_to_budget(ranked, "name", budget, rank="pos"))
+        rep = lambda df: sorted((r.name, r.candidates, r.kept, r.kept_tokens, r.was_cut) for r in df.collect())
+        assert rep(cut_document_report(docs, budget)) == rep(cut_report(ranked, "name", budget, rank="pos"))
+    packed = {(r.name, r.pos): r.batch for r in pack_document_batches(docs, 50, reserve=10).collect()}
+    rows_ = document_batches(docs, 50, reserve=10).collect()
+    assert {(r.name, r.first + k): r.batch for r in rows_ for k in range(len(r.texts))} == packed
