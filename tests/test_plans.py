@@ -6,12 +6,12 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from conftest import SMOKE
 from docweave.operators.retrieval import top_k_inner_product
+from docweave.plans.registry import QUERIES
 from docweave.sources.index import read_index, write_index
 
-PY_NODES = ("BatchEvalPython", "ArrowEvalPython")
+PY_NODES = ("Python", "Pandas", "Arrow")  # evaluation, map, group and window nodes alike
 # Queries that run a caller-supplied Python function on purpose.
 PYTHON_HOOKS = {"embed_fragments"}
 
@@ -23,9 +23,9 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_product_no_python(spark, name):
-    text = plan(queries()[name](spark, SMOKE))
+    text = plan(QUERIES[name](spark, SMOKE))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON_HOOKS:
@@ -35,7 +35,7 @@ def test_no_cross_product_no_python(spark, name):
 @pytest.mark.parametrize("name", ["top_k_inner_product", "top_k_cosine", "central_fragments",
                                   "answer_context", "summary_context", "context_preview"])
 def test_partial_top_k_before_shuffle(spark, name):
-    text = plan(queries()[name](spark, SMOKE))
+    text = plan(QUERIES[name](spark, SMOKE))
     assert "WindowGroupLimit" in text
 
 
