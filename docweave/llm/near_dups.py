@@ -8,13 +8,14 @@ class descends into the child of each selected token that it has.  Nodes of at
 most ``small_node`` classes are compared exhaustively, larger ones branch
 again; independent trees are repeated to the target recall.
 
-Comparing happens in two passes.  The first proposes for each class its
-smallest similar partner in the node, so a node of n copies proposes n - 1 pairs.  Pairs are
-confirmed on full shingle sets and joined to components.  The second pass
-compares, in nodes that still hold several components, all classes of
-different components, so no link between components that share a node is lost.
-A node that is still large at the deepest level meets its smallest class in
-the first pass and is compared in blocks in the second.
+Comparing happens in two steps.  In a node, sketches of the members are compared
+and each group of members connected by similar sketches gives just its
+spanning links, one for each further member.  These candidate links join classes
+to clusters over all trees; a cluster's full shingle sets are then brought
+together, every pair in it is compared exactly, and again only spanning links
+leave.  Nothing grows with the square of a group's size but the comparisons
+themselves; clusters (and nodes that stay large at the deepest level) beyond
+one task's bound are compared in blocks, every block with every other.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import TwoGenerations, map_batches, sized, staged
+from docweave.llm.common import map_batches, sized, staged
 
 POSITIONS = 64
+LEAST_WEIGHT = 1000
 _U = np.uint64
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, size=(4, POSITIONS), dtype=np.uint64)
 _SCALE, _SHIFT, _PLACE, _WINDOW = _SEEDS[0] | _U(1), _SEEDS[1], _SEEDS[2], _SEEDS[3] | _U(1)
@@ -44,16 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_WORDS = TwoGenerations(xxhash.xxh3_64_intdigest, 300_000)
-
-
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text."""
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < width:
         return mix((h * _WINDOW[:n]).sum(keepdims=True) + _U(n))
     total = h[:n - width + 1] * _WINDOW[0]
@@ -144,64 +143,98 @@ def _matches(s1: np.ndarray, s2: np.ndarray, t1: np.ndarray, t2: np.ndarray) ->
     return out
 
 
-def _by_node(members: DataFrame, keys: list[str], columns: list[str], compare: Callable) -> DataFrame:
-    """Pairs that ``compare`` (arrays of a bounded node's members) proposes, over all nodes."""
+def _spanning(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest of n members as (parents, children).
+
+    ``linked(x, others)`` says which of ``others`` are linked with x.
+    """
+    parents, children = [], []
+    rest = np.arange(n)
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = linked(x, rest)
+            found = rest[hit].tolist()
+            rest = rest[~hit]
+            parents.extend([x] * len(found))
+            children.extend(found)
+            queue.extend(found)
+    return parents, children
+
+
+def _pairs_of(members: DataFrame, keys: list[str], columns: list[str], compare: Callable) -> DataFrame:
+    """The links (a, b) that ``compare`` (arrays of a group's columns) gives, over all groups."""
     lists = members.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("m")).select("m")
 
     def run(batch: pa.RecordBatch) -> dict:
         column = batch.column(0)
-        flat = [np.asarray(x) for x in (column.flatten().field(i) for i in range(len(columns)))]
+        fields = column.flatten().flatten()
         ends = np.cumsum(np.asarray(column.value_lengths()))
-        pairs = [compare(*[x[i:j] for x in flat]) for i, j in zip([0, *ends[:-1]], ends)]
-        both = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        return {"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}
+        a, b = [], []
+        for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            rec = np.asarray(fields[0])[i:j]
+            parents, children = compare(*[f.slice(i, j - i) for f in fields])
+            a.append(rec[parents])
+            b.append(rec[children])
+        none = [np.empty(0, np.int64)]
+        return {"a": pa.array(np.concatenate(none + a)), "b": pa.array(np.concatenate(none + b))}
 
     return map_batches(lists, run, _PAIRS)
 
 
-def _smallest_partners(least: int) -> Callable:
-    def compare(rec, s1, s2):
-        order = np.argsort(rec, kind="stable")
-        rec, s1, s2 = rec[order], s1[order], s2[order]
-        near = np.tril(_matches(s1, s2, s1, s2) >= least, -1) & (rec[:, None] != rec[None, :])
-        row = np.flatnonzero(near.any(axis=1))
-        return np.stack([rec[near[row].argmax(axis=1)], rec[row]], axis=1)
+def _by_sketches(least: int) -> Callable:
+    """Compares a node's members (rec, s1, s2) by their two-bit sketches."""
+    def compare(rec: pa.Array, s1: pa.Array, s2: pa.Array):
+        s1, s2 = np.asarray(s1), np.asarray(s2)
+        return _spanning(len(s1), lambda x, others: _matches(
+            s1[x:x + 1], s2[x:x + 1], s1[others], s2[others])[0] >= least)
     return compare
 
 
-def _across_components(least: int) -> Callable:
-    def compare(rec, root, s1, s2, side):
-        left = np.flatnonzero(side)
-        near = (_matches(s1[left], s2[left], s1, s2) >= least) & (root[left][:, None] != root[None, :])
-        i, j = np.nonzero(near)
-        a, b = rec[left][i], rec[j]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+def _by_sets(similarity: float) -> Callable:
+    """Compares a cluster's members (rec, shingles) exactly, through an inverted index of their shingles."""
+    hundred = round(100 * similarity)
+
+    def compare(rec: pa.Array, shingles: pa.Array):
+        sizes = np.asarray(shingles.value_lengths()).astype(np.int64)
+        _, key = np.unique(np.asarray(shingles.flatten()), return_inverse=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        holders = owner[np.argsort(key, kind="stable")]
+        many = np.bincount(key)
+        first = np.cumsum(many) - many
+        begin = np.cumsum(sizes) - sizes
+
+        def linked(x: int, others: np.ndarray) -> np.ndarray:
+            own = key[begin[x]:begin[x] + sizes[x]]
+            runs = many[own]
+            spots = np.arange(runs.sum()) + np.repeat(first[own] - (np.cumsum(runs) - runs), runs)
+            common = np.bincount(holders[spots], minlength=len(sizes))[others]
+            return 100 * common >= hundred * (sizes[x] + sizes[others] - common)
+
+        return _spanning(len(sizes), linked)
     return compare
 
 
-def _sets(docs: DataFrame, recs: DataFrame, width: int) -> DataFrame:
-    """(rec, n, shingles) of the documents in ``recs``."""
-    schema = T.StructType([T.StructField("rec", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+def _block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (with ``n``, their group's size) dealt to (key, x, y): every two blocks of a group meet in one."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("rec", F.col(key)), blocks).cast("int")
+    other = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return other.withColumn("x", F.least("_own", "_other")).withColumn("y", F.greatest("_own", "_other")).drop(
+        "_own", "_other")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"rec": batch.column(0),
-                "shingles": [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(1)]}
 
-    wanted = docs.join(sized(recs, 16), docs["doc_id"] == recs["rec"], "left_semi")
-    return map_batches(wanted, run, schema)
+def _sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """(rec, cluster, n, shingles) of the documents in ``clusters`` (rec, cluster, n)."""
+    schema = T.StructType([*clusters.schema.fields, T.StructField("shingles", T.ArrayType(T.LongType()))])
 
+    def run(batch: pa.RecordBatch) -> dict:
+        return {**{c: batch.column(c) for c in ("rec", "root", "n")},
+                "shingles": [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column("text")]}
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of staged ``pairs`` whose full shingle sets reach the similarity."""
-    recs = staged(pairs.select(F.col("a").alias("rec")).union(pairs.select("b")).distinct(), "near-recs")
-    sets = staged(_sets(docs, recs, width), "near-sets")
-    left = pairs.join(sets.select(F.col("rec").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("rec").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    sides = F.size("sa") + F.size("sb")
-    hundred = round(100 * similarity)
-    fits = hundred * F.greatest(F.size("sa"), F.size("sb")) <= 100 * F.least(F.size("sa"), F.size("sb"))
-    return both.filter(fits).filter(100 * common >= hundred * (sides - common)).select("a", "b").distinct()
+    wanted = docs.join(sized(clusters, 32), docs["doc_id"] == clusters["rec"])
+    return map_batches(wanted.select(*clusters.columns, "text"), run, schema, rows=256)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,7 +248,7 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             return edges.select(F.col("u").alias("rec"), F.col("v").alias("root")).union(
                 edges.select("v", "v").distinct())
         seen = state
@@ -247,29 +280,9 @@ def _leaves(classes: DataFrame, similarity: float, trees: int, depth: int,
     return small, large
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Members of large nodes dealt so that each class outside its node's largest component meets all others.
-
-    ``rows``: node, n, rec, root, s1, s2.  Groups (node, x, y) hold one block of all
-    classes (side 0) and one of the outside classes (side 1).
-    """
-    counts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
-                                      F.max("c").alias("most"), F.sum("c").alias("all"))
-    known = rows.join(main.filter("most < all"), "node")
-    across = F.ceil(F.col("all") / block).cast("int")
-    down = F.ceil((F.col("all") - F.col("most")) / block).cast("int")
-    own = F.xxhash64("rec")
-    keep = ["node", "rec", "root", "s1", "s2"]
-    everyone = known.select(*keep, F.lit(0).alias("side"), F.pmod(own, across).cast("int").alias("x"),
-                            F.explode(F.sequence(F.lit(0), down - 1)).alias("y"))
-    outside = known.filter("root <> main").select(*keep, F.lit(1).alias("side"), F.explode(
-        F.sequence(F.lit(0), across - 1)).alias("x"), F.pmod(own, down).cast("int").alias("y"))
-    return everyone.unionByName(outside)
-
-
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, trees: int = 16, depth: int = 3,
-                    small_node: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    small_node: int = 4000, cluster_block: int = 1_000_000, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     A-Z are folded; words are runs of non-blanks; fewer than ``width`` words
@@ -281,48 +294,32 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, t
     it has no component.  Texts are read whole; an empty table gives an empty
     result; other columns are not read.
 
-    ``trees`` sets the recall: a pair at the similarity shares a node at
+    A task compares at most ``small_node`` sketches, or the full sets of two blocks
+    of about ``cluster_block`` shingles each (a document counts for ``LEAST_WEIGHT`` at least).  ``trees`` sets the recall: a pair at the similarity shares a node at
     the first level of a tree with probability 1 - 1/e, at the third with 0.37.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     sketches = staged(_sketches(base, width), "sketches")
     classes = staged(sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rec"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"),
-        F.first("s1").alias("s1"), F.first("s2").alias("s2")), "classes")
+        F.min("doc_id").alias("rec"), F.count(F.lit(1)).alias("copies"),
+        *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "s1", "s2")]), "classes")
     bits = classes.select("rec", "s1", "s2")
-    least = least_matches(similarity)
     small, large = _leaves(classes, similarity, trees, depth, small_node)
-    small = staged(small.join(bits, "rec"), "small-nodes")
-    large = staged(large.join(bits, "rec"), "large-nodes")
-
-    first = _by_node(small, ["node"], ["rec", "s1", "s2"], _smallest_partners(least))
-    pivots = large.groupBy("node").agg(F.min(F.struct("rec", "s1", "s2")).alias("p"))
-
-    def differing(x: str) -> F.Column:
-        bits_of = F.col(x).bitwiseXOR(F.col(f"p.{x}"))
-        return F.bit_count((bits_of.bitwiseOR(F.shiftrightunsigned(bits_of, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-
-    starred = large.join(pivots, "node").filter(F.col("rec") != F.col("p.rec")).filter(
-        POSITIONS - differing("s1") - differing("s2") >= least).select(F.col("p.rec").alias("a"), F.col("rec").alias("b"))
-    tried = staged(first.union(starred).distinct(), "near-pairs-1")
-    links = staged(confirmed(base, tried, width, similarity), "near-links-1")
-    roots = staged(components(links), "near-roots-1")
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.join(roots, "rec", "left").withColumn("root", F.coalesce("root", "rec"))
-
-    small = rooted(small)
-    mixed = small.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    columns = ["rec", "root", "s1", "s2", "side"]
-    again = _by_node(small.join(mixed, "node", "left_semi").withColumn("side", F.lit(1)), ["node"], columns,
-                     _across_components(least))
-    blocks = _by_node(_in_blocks(rooted(large), small_node), ["node", "x", "y"], columns, _across_components(least))
-    rest = staged(again.union(blocks).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs-2")
-    more = staged(confirmed(base, rest, width, similarity), "near-links-2")
-    final = staged(components(links.union(more)), "near-roots-2")
-
-    grouped = classes.select("digest", "rec", "copies").join(final, "rec", "left").filter(
-        "copies > 1 OR root IS NOT NULL OR rec IS NULL").select("digest", F.coalesce("root", "rec").alias("component"))
+    compare, columns = _by_sketches(least_matches(similarity)), ["rec", "s1", "s2"]
+    near = _pairs_of(small.join(bits, "rec"), ["node"], columns, compare).union(
+        _pairs_of(_block_pairs(large.join(bits, "rec"), "node", small_node), ["node", "x", "y"], columns, compare))
+    clusters = staged(components(near.distinct()), "near-clusters")
+    weighed = clusters.join(classes.select("rec", "n_shingles"), "rec")
+    sizes = weighed.groupBy("root").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST_WEIGHT))).alias("n"))
+    sets = staged(_sets(base, staged(clusters.join(sizes, "root").select("rec", "root", "n"), "near-members"), width),
+                  "near-sets")
+    links = _pairs_of(_block_pairs(sets, "root", cluster_block), ["root", "x", "y"], ["rec", "shingles"],
+                      _by_sets(similarity))
+    roots = staged(components(links.distinct()), "near-roots")
+
+    grouped = classes.select("digest", "rec", "copies").join(roots, "rec", "left").select(
+        "digest", "rec", "copies", F.coalesce("root", "rec").alias("component")).filter(
+        "copies > 1 OR component <> rec").select("digest", "component")
     grouped = staged(grouped, "near-classes")
     joined = sketches.select("doc_id", "n_shingles", "digest").join(sized(grouped, 48), "digest", "left")
     component = F.coalesce("component", "doc_id")

@@ -60,13 +60,13 @@ def family(rnd, n, edits, start):
     return out
 
 
-@pytest.mark.parametrize("small_node", [200, 6])
-def test_families_and_large_nodes(make_docs, small_node):
-    """With nodes of at most 6 classes the deepest nodes stay large: pivots and blocks have to find all links."""
+@pytest.mark.parametrize("small_node, cluster_block", [(4000, 1_000_000), (6, 7_000)])
+def test_families_and_large_nodes(make_docs, small_node, cluster_block):
+    """With nodes of at most 6 classes the deepest nodes stay large: the blocks have to find all links."""
     rnd = random.Random(6)
     rows = family(rnd, 40, 1, 100) + family(rnd, 30, 3, 200) + family(rnd, 5, 2, 300) + family(rnd, 3, 8, 400)
     rnd.shuffle(rows)
-    check(make_docs(rows), rows, small_node=small_node)
+    check(make_docs(rows), rows, small_node=small_node, cluster_block=cluster_block)
 
 
 def test_odd_rows(make_docs, odd_rows):
