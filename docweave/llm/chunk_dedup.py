@@ -116,9 +116,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, min_bytes: int = 96, id
     ``first_doc_id`` is the smallest id that holds one of the span's chunks and
     ``is_first`` says that this document is the first holder of all of them, so
     its span is the copy to keep.  Spans are runs of repeated chunks of at least
-    ``min_bytes`` bytes and, with the chunks next to them, ``min_words`` words.  A chunk counts as repeated if documents of
-    two ids hold it; a repeat inside one document, or in rows of the same id,
-    does not.  A null id is never a first holder.  Null and empty texts have no
+    ``min_bytes`` bytes and, with the chunks next to them, ``min_words`` words.
+    A chunk counts as repeated if documents of two ids hold it; a repeat inside
+    one document, or in rows of the same id, does not.  A null id is never a first holder.  Null and empty texts have no
     spans; an empty table gives an empty result; ``text_key`` (a hash of the
     text) tells rows of one id apart; other columns are not read.
     """

@@ -294,9 +294,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, t
     it has no component.  Texts are read whole; an empty table gives an empty
     result; other columns are not read.
 
-    A task compares at most ``small_node`` sketches, or the full sets of two blocks
-    of about ``cluster_block`` shingles each (a document counts for ``LEAST_WEIGHT`` at least).  ``trees`` sets the recall: a pair at the similarity shares a node at
-    the first level of a tree with probability 1 - 1/e, at the third with 0.37.
+    A task compares at most ``small_node`` sketches, or the full sets of two
+    blocks of about ``cluster_block`` shingles each (a document counts for at
+    least ``LEAST_WEIGHT``).  ``trees`` sets the recall: a pair at the similarity
+    shares a node at the first level of a tree with probability 1 - 1/e, at the
+    third with 0.37.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     sketches = staged(_sketches(base, width), "sketches")
