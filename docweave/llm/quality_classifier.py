@@ -37,9 +37,9 @@ LANGUAGE_BUCKETS = 16
 @dataclass(frozen=True)
 class CoTraining:
     """Bounds and settings of the fit."""
-    labelled: int = 6_000       # labelled rows of each class that the fit uses at most
-    unlabelled: int = 6_000     # rows without label that pseudo-labels come from
-    words: int = 400            # telling words of the content view
+    labelled: int = 2_500       # labelled rows of each class that the fit uses at most
+    unlabelled: int = 2_500     # rows without label that pseudo-labels come from
+    words: int = 300            # telling words of the content view
     least_documents: int = 3    # labelled documents that a telling word stands in
     rounds: int = 3
     sure: float = 0.97          # calibrated probability that a pseudo-label needs
@@ -161,8 +161,8 @@ def co_train(content: np.ndarray, metadata: np.ndarray, label: np.ndarray, s: Co
     return fitted[0], fitted[1], prior
 
 
-_FEATURES = T.StructType([T.StructField("label", T.LongType()), T.StructField("content", T.ArrayType(T.DoubleType())),
-                          T.StructField("metadata", T.ArrayType(T.DoubleType()))])
+_FEATURES = T.StructType([T.StructField("label", T.LongType()), T.StructField("content", T.BinaryType()),
+                          T.StructField("metadata", T.BinaryType())])  # FLOAT rows, as bytes
 _WORDS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("good", T.LongType()),
                        T.StructField("bad", T.LongType())])
 _SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()),
@@ -227,15 +227,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: CoTraining = CoTra
     def features(batch: pa.RecordBatch) -> dict:
         columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
         return {"label": batch.column("label"),
-                "content": [content_row((t or "").encode(), vocabulary) for t in columns[0]],
-                "metadata": [metadata_row(*x) for x in zip(*columns[1:])]}
+                "content": [content_row((t or "").encode(), vocabulary).astype(np.float32).tobytes() for t in columns[0]],
+                "metadata": [metadata_row(*x).astype(np.float32).tobytes() for x in zip(*columns[1:])]}
 
-    found = map_batches(sample.orderBy("doc_id"), features, _FEATURES).toPandas()
+    found = map_batches(sample.orderBy("doc_id"), features, _FEATURES).toArrow()
     label = found["label"].to_numpy()
     if not {0, 1} <= set(label.tolist()):
         return None
-    content, metadata = np.stack(found["content"].to_list()), np.stack(found["metadata"].to_list())
-    return QualityModel(vocabulary, *co_train(content, metadata, label, settings))
+    views = [np.frombuffer(b"".join(found[c].to_pylist()), np.float32).reshape(len(label), -1)
+             for c in ("content", "metadata")]
+    return QualityModel(vocabulary, *co_train(*views, label, settings))
 
 
 def _good_probability(model: QualityModel | None, texts: list, lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -267,7 +268,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, least: float = 0.
         kept = np.ones(len(values), bool) if shared.value is None else values >= least
         return {"doc_id": batch.column(0), "score": values, "kept": kept}
 
-    return map_batches(rows, score, _SCORED)
+    return map_batches(rows, score, _SCORED, rows=256)
 
 
 def good_documents(docs: DataFrame, model: QualityModel | None, least: float = 0.5, text_col: str = "text",
@@ -278,7 +279,11 @@ def good_documents(docs: DataFrame, model: QualityModel | None, least: float = 0
     def keep(batch: pa.RecordBatch) -> list:
         if shared.value is None:
             return [True] * batch.num_rows
-        columns = (batch.column(c).to_pylist() for c in (text_col, lang_col, source_col, chars_col))
-        return (_good_probability(shared.value, *columns) >= least).tolist()
+        good: list = []
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            columns = (part.column(c).to_pylist() for c in (text_col, lang_col, source_col, chars_col))
+            good.extend((_good_probability(shared.value, *columns) >= least).tolist())
+        return good
 
     return filter_batches(docs, keep)
