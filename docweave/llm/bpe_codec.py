@@ -77,11 +77,11 @@ def merge_piece(symbols: list[int], vocab: Vocabulary) -> list[int]:
 class Codec:
     """Ids of texts as little-endian unsigned 32-bit integers, and texts of ids."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, memo: int = 400_000):
         self.vocab = vocab
-        self.pieces = TwoGenerations(self._piece, 500_000)
-        self.units = TwoGenerations(self._unit, 100_000)
-        self.spaced = TwoGenerations(self._spaced, 200_000)
+        self.pieces = TwoGenerations(self._piece, memo)
+        self.units = TwoGenerations(self._unit, max(1, memo // 8))
+        self.spaced = TwoGenerations(self._spaced, max(1, memo * 3 // 8))
 
     def _piece(self, piece: str) -> bytes:
         found = merge_piece(list(map(self.vocab.byte_ids.__getitem__, piece.encode())), self.vocab)
@@ -117,14 +117,15 @@ class Codec:
         return b"".join(map(self.vocab.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple[int, int], Codec] = {}
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType()),
                         T.StructField("round_trip", T.BooleanType())])
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+                  memo: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, ids_le, decoded, round_trip) of every row of ``docs``.
 
     ``ids_le`` holds the ids as little-endian unsigned 32-bit integers and
@@ -133,16 +134,17 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     the empty text (no ids, decoded empty).  Texts are encoded whole; repeated
     rows give repeated rows; an empty table gives an empty result; other
     columns are not read.  Added tokens inside a text become their own ids.
+    ``memo``: pieces that a worker remembers, at about 600 bytes of its memory each.
     """
     data = broadcast_file(docs.sparkSession, tokenizer_path)
 
     def run(batch: pa.RecordBatch) -> dict:
         vocab = parsed(data.value)
-        codec = _CODECS.setdefault(id(vocab), Codec(vocab))
+        codec = _CODECS.setdefault((id(vocab), memo), Codec(vocab, memo))
         texts = [t or "" for t in batch.column(1).to_pylist()]
         packed = [codec.encode(t) for t in texts]
         decoded = [codec.decode(p) for p in packed]
         return {"doc_id": batch.column(0), "n_tokens": [len(p) // 4 for p in packed], "ids_le": packed,
                 "decoded": decoded, "round_trip": [a == b for a, b in zip(texts, decoded)]}
 
-    return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), run, ENCODED)
+    return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), run, ENCODED, rows=256)

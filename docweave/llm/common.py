@@ -76,8 +76,15 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int,
     return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in on]).drop("_salt")
 
 
-def _importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it."""
+def _prepare(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it; keeps Arrow batches small.
+
+    A batch of Spark's default of 10,000 rows may hold gigabytes of long texts;
+    a session's own setting stays.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -85,15 +92,19 @@ def _importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*known, root])
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` where ``fn`` turns one record batch into the columns of ``schema``."""
-    _importable(df.sparkSession)
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType,
+                rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` where ``fn`` turns one record batch into the columns of ``schema``.
+
+    ``rows`` hands batches over in slices of so many rows, which bounds what is made at a time.
+    """
+    _prepare(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows or max(1, whole.num_rows)):
+                cols = fn(whole.slice(start, rows))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
                      for f, c in ((f, cols[f.name]) for f in arrow)], schema=arrow)
@@ -103,7 +114,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.S
 
 def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """The rows of ``df``, all columns, for which ``keep`` of their record batch is true."""
-    _importable(df.sparkSession)
+    _prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,4 +111,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
         return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens,
                 "over_limit": [n > limit for n in tokens]}
 
-    return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), count, SCHEMA)
+    return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col]), count, SCHEMA, rows=256)
