@@ -43,7 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_le, round_trip) of every document."""
-    return encode_decode(docs, public_tokenizers.path(BYTE_BPE)).drop("decoded")
+    # Workers that ran the stages before have less memory left for remembered pieces.
+    return encode_decode(docs, public_tokenizers.path(BYTE_BPE), memo=200_000).drop("decoded")
 
 
 STAGES = [
