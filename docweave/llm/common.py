@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -149,14 +149,18 @@ class TwoGenerations(dict):
 def bounded_sample(df: DataFrame, stratum: str, key: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows of each stratum: those with the smallest ``key`` hashes.
 
-    The rank runs over (stratum, key) alone, so full rows move only once chosen.
-    Repeated rows share a key and count once.
+    ``key`` is a uniform 64-bit hash.  Strata are counted first and only keys in
+    the lowest part that holds about ``2 * rows`` of them are ranked, so the
+    ranking task of a stratum reads a bounded number of keys at any size; full
+    rows move only once chosen.  Repeated rows share a key and count once.
     """
     keyed = df.withColumn("_key", key)
-    from pyspark.sql import Window
-    ranked = (keyed.select(stratum, "_key")
-              .withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_key")))
-              .filter(F.col("_rank") <= rows).select(stratum, "_key").distinct())
+    keys = keyed.select(stratum, "_key").distinct()
+    totals = staged(keys.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), "sample-strata")
+    place = (F.col("_key").cast("double") + 2.0 ** 63) / 2.0 ** 64
+    low = keys.join(sized(totals, 64), stratum).filter(place * F.col("_n") <= 2.0 * rows + 100)
+    ranked = (low.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_key")))
+              .filter(F.col("_rank") <= rows).select(stratum, "_key"))
     chosen = staged(ranked, "sample-keys")
     picked = keyed.join(sized(chosen, 64), [stratum, "_key"], "left_semi")
     firsts = [F.first(c).alias(c) for c in df.columns if c != stratum]
