@@ -77,7 +77,7 @@ def merge_piece(symbols: list[int], vocab: Vocabulary) -> list[int]:
 class Codec:
     """Ids of texts as little-endian unsigned 32-bit integers, and texts of ids."""
 
-    def __init__(self, vocab: Vocabulary, memo: int = 400_000):
+    def __init__(self, vocab: Vocabulary, memo: int = 500_000):
         self.vocab = vocab
         self.pieces = TwoGenerations(self._piece, memo)
         self.units = TwoGenerations(self._unit, max(1, memo // 8))
@@ -125,7 +125,7 @@ ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  memo: int = 400_000) -> DataFrame:
+                  memo: int = 500_000) -> DataFrame:
     """(doc_id, n_tokens, ids_le, decoded, round_trip) of every row of ``docs``.
 
     ``ids_le`` holds the ids as little-endian unsigned 32-bit integers and
