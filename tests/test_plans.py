@@ -11,7 +11,8 @@ from docweave.operators.retrieval import top_k_inner_product
 from docweave.plans.registry import QUERIES
 from docweave.sources.index import read_index, write_index
 
-PY_NODES = ("Python", "Pandas", "Arrow")  # evaluation, map, group and window nodes alike
+# Evaluation, map, group, window and aggregate nodes alike.
+PY_NODES = ("EvalPython", "InPandas", "InArrow", "WindowPython", "AggregatePython")
 # Queries that run a caller-supplied Python function on purpose.
 PYTHON_HOOKS = {"embed_fragments"}
 
