@@ -25,8 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its source's boilerplate lines; ``n_chars`` follows a changed text."""
-    clean = drop_boilerplate(docs, "source", "text")
+    """Every document without its source's boilerplate lines; ``n_chars`` follows a changed text.
+
+    Copies are still there at this stage and count as one document of their source.
+    """
+    clean = drop_boilerplate(docs, "source", "text", copies_once=True)
     size = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", size).select(*docs.columns)
 

@@ -48,33 +48,44 @@ def _trimmed(text: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int,
-                      min_hits: int) -> DataFrame:
+                      min_hits: int, copies_once: bool = False) -> DataFrame:
     """(host, drop): hashes of the lines on at least ``ratio`` of the host's pages, and on ``min_hits``.
 
+    With ``copies_once`` pages of one host and the same lines are one page.
     A host's array holds at most (its mean number of lines) / ``ratio`` entries.
     """
     base = pages.select(pages[host_col].alias("host"), pages[text_col].alias("text")).filter(F.col("host").isNotNull())
-    totals = base.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
-    lines = base.select("host", F.explode(F.array_remove(F.array_distinct(_trimmed(F.col("text"))), "")).alias("line"))
-    counts = (lines.select("host", _key(F.col("line")).alias("k")).groupBy("host", "k")
-              .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(min_hits, ratio * min_pages)))
+    n = F.count(F.lit(1))
+    if copies_once:
+        # Hashes alone are made distinct; they combine before the shuffle, so a large group of copies stays cheap.
+        base = base.withColumn("page", _key(F.array_remove(_trimmed(F.col("text")), "")))
+        n = F.count_distinct("page")
+    page = ["page"] if copies_once else []
+    totals = base.groupBy("host").agg(n.alias("n_pages")).filter(F.col("n_pages") >= min_pages)
+    lines = base.select("host", *page,
+                        F.explode(F.array_remove(F.array_distinct(_trimmed(F.col("text"))), "")).alias("line"))
+    counts = (lines.select("host", *page, _key(F.col("line")).alias("k")).groupBy("host", "k")
+              .agg(n.alias("n")).filter(F.col("n") >= max(min_hits, ratio * min_pages)))
     return (counts.join(totals, "host").filter(F.col("n") >= F.lit(ratio) * F.col("n_pages"))
             .groupBy("host").agg(F.collect_list("k").alias("drop")))
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str = "text", ratio: float = 0.1,
-                     min_pages: int = 20, min_hits: int = 5) -> DataFrame:
+                     min_pages: int = 20, min_hits: int = 5, copies_once: bool = False) -> DataFrame:
     """``pages`` with their boilerplate lines cut out of the text, and ``n_lines``, ``n_dropped``.
 
     Every input column is kept (two more are added; input columns of those
     names are replaced).  A line counts once per page however often it stands
-    there, and every repeated row counts as a page.  Hosts with fewer than
+    there.  Every repeated row counts as a page, or with ``copies_once`` only
+    the first of the rows of a host that have the same lines, so that copies of
+    a text do not make its lines boilerplate.  Hosts with fewer than
     ``min_pages`` pages and null hosts keep all lines, and so do lines on fewer
     than ``min_hits`` pages.  A null text stays null
     with no lines; an empty table gives an empty result.  ``n_lines`` counts
     the lines that are not blank.
     """
-    flagged = staged(boilerplate_lines(pages, host_col, text_col, ratio, min_pages, min_hits), "site-lines")
+    flagged = staged(boilerplate_lines(pages, host_col, text_col, ratio, min_pages, min_hits, copies_once),
+                     "site-lines")
     entries = flagged.agg(F.max(F.size("drop"))).first()[0] or 0
     rows = pages.withColumn("_host", F.col(host_col))
     joined = join_small(rows, flagged.withColumnRenamed("host", "_host").withColumnRenamed("drop", "_drop"),

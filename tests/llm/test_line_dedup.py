@@ -63,3 +63,15 @@ def test_query_against_sql(spark):
     ours = queries.op2_site_line_dedup(spark, SMOKE).select(*names).collect()
     theirs = con.sql(f"SELECT {', '.join(names)} FROM ({queries.OP2_SQL})").fetchall()
     assert rows_of(ours) == rows_of(theirs)
+
+
+def test_copies_of_a_text_do_not_make_its_lines_boilerplate(spark, make_docs):
+    import corpus_pipeline
+    copied = [("e", "one\n two\nfoot")] * 9 + [("e", "one\ntwo \n\nfoot")] + [("e", None), ("e", "")]
+    own = [("e", f"story {k}\nfoot\nend {k}") for k in range(25)]
+    all_same = [("d", "same\nrow")] * 25
+    rows = copied + own + all_same
+    docs = make_docs([(k, t, "en", h) for k, (h, t) in enumerate(rows)])
+    found = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SMOKE).collect()}
+    want = [None if t is None else "\n".join(x for x in t.split("\n") if x != "foot") for _, t in rows]
+    assert [found[k] for k in range(len(rows))] == want
