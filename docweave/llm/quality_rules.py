@@ -26,7 +26,8 @@ SHARE = 0.75            # of a group's rows that an estimate rests on
 BINS = 64               # bins in one unit of a logarithm or of a standardised value
 STEPS = 3
 DIMENSIONS = 4
-# Added to the scatter's diagonal: differences below these are never outlying.
+# Added to the scatter's diagonal: most texts have no symbols and no repeats at all, so the inner rows alone
+# have no scatter there and without these any symbol would be outlying.
 FLOORS = (0.10, 0.06, 0.08, 0.08)
 
 
@@ -192,7 +193,7 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
                        *[(F.col(f"l{i}_{j}") * scale).alias(f"l{i}_{j}") for i in d for j in range(i + 1)])
 
 
-def quality_rules(docs: DataFrame, tail: float = 1e-6, min_group: int = 50, id_col: str = "doc_id",
+def quality_rules(docs: DataFrame, tail: float = 0.01, min_group: int = 50, id_col: str = "doc_id",
                   text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, n_words, ..., base_failed, distance2, kept) of every row of ``docs``.
 

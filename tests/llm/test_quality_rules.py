@@ -57,6 +57,18 @@ def test_planted_outliers(make_docs):
     assert sum(found[i].kept for i, *_ in rows) >= 0.99 * len(rows)
 
 
+def test_plain_junk_is_outlying(make_docs):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: rnd.choices(words, k=n)
+    rows = [(k, " ".join(prose(rnd.randint(60, 400)))) for k in range(600)]
+    tables = [(1000 + k, " | ".join(" ".join(prose(2)) for _ in range(60))) for k in range(20)]  # 8 % symbols
+    loops = [(2000 + k, " ".join([*prose(170), *(prose(5) * 6)])) for k in range(20)]           # 15 % repeated words
+    found = {r.doc_id: r for r in quality_rules(make_docs(rows + tables + loops)).collect()}
+    assert not any(found[i].base_failed or found[i].kept for i, _ in tables + loops)
+    assert sum(found[i].kept for i, _ in rows) >= 0.99 * len(rows)
+
+
 def test_empty(make_docs):
     assert quality_rules(make_docs([])).count() == 0
 
