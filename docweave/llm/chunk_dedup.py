@@ -85,7 +85,9 @@ _CHUNKS = T.StructType([T.StructField("at", T.LongType()), T.StructField("doc_id
 _SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()),
                        T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType()),
                        T.StructField("n_chunks", T.LongType()), T.StructField("first_doc_id", T.LongType()),
-                       T.StructField("is_first", T.BooleanType())])
+                       T.StructField("is_first", T.BooleanType()),
+                       T.StructField("first_parts", T.ArrayType(T.StructType([
+                           T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,10 +114,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, min_bytes: int = 96, id
                    text_col: str = "text") -> DataFrame:
     """Spans of texts that other documents hold too, as byte offsets, one row for each.
 
-    (doc_id, text_key, span_start, span_end, n_chunks, first_doc_id, is_first):
+    (doc_id, text_key, span_start, span_end, n_chunks, first_doc_id, is_first, first_parts):
     ``first_doc_id`` is the smallest id that holds one of the span's chunks and
     ``is_first`` says that this document is the first holder of all of them, so
-    its span is the copy to keep.  Spans are runs of repeated chunks of at least
+    its span is the copy to keep.  ``first_parts`` are the parts (start, end) of
+    the span whose first holder this document is: the copies to keep of a span
+    in which passages with other first holders stand next to each other.  Spans are runs of repeated chunks of at least
     ``min_bytes`` bytes and, with the chunks next to them, ``min_words`` words.
     A chunk counts as repeated if documents of two ids hold it; a repeat inside
     one document, or in rows of the same id, does not.  A null id is never a first holder.  Null and empty texts have no
@@ -144,7 +148,15 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, min_bytes: int = 96, id
                 firsts = {h["first"] for h in hits[begin:k]}
                 around = words[min(b + 1, len(words) - 1)] - (words[a - 2] if a > 1 else 0)
                 if end - start >= min_bytes and around >= min_words:
-                    values = (doc, key, start, end, b - a + 1, min(firsts), firsts == {doc})
+                    own: list[dict] = []
+                    for h in hits[begin:k]:
+                        if h["first"] == doc:
+                            left = ends[h["i"] - 1] if h["i"] else 0
+                            if own and own[-1]["end"] == left:
+                                own[-1]["end"] = ends[h["i"]]
+                            else:
+                                own.append({"start": left, "end": ends[h["i"]]})
+                    values = (doc, key, start, end, b - a + 1, min(firsts), firsts == {doc}, own)
                     for name, value in zip(out, values):
                         out[name].append(value)
                 begin = k
@@ -154,12 +166,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, min_bytes: int = 96, id
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span that is not a first copy cut out of its text.
+    """``docs`` with all parts of spans that are not first copies cut out of their texts.
 
-    A null text stays null; texts without such spans are unchanged.
+    Every repeated chunk stays in the document that holds it first.  A null text stays null; texts without such spans are unchanged.
     """
     cuts = (spans.filter(~F.col("is_first")).groupBy("doc_id", "text_key")
-            .agg(F.sort_array(F.collect_set(F.struct("span_start", "span_end"))).alias("_cuts")))
+            .agg(F.sort_array(F.collect_set(F.struct("span_start", "span_end", "first_parts"))).alias("_cuts")))
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -169,6 +181,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
                 data, kept, at = text.encode(), [], 0
                 for hole in holes:
                     kept.append(data[at:hole["span_start"]])
+                    kept.extend(data[part["start"]:part["end"]] for part in hole["first_parts"])
                     at = hole["span_end"]
                 text = b"".join([*kept, data[at:]]).decode()
             out.append(text)

@@ -110,3 +110,31 @@ def test_a_repeated_passage_is_found_and_cut(make_docs):
     before = dict(rows)
     assert all(texts[2 * k] == before[2 * k] and len(texts[2 * k + 1]) < len(before[2 * k + 1]) for k in range(40))
     assert all(texts[i] == before[i] for i in [900, *range(500, 540)])
+
+
+def test_every_repeated_chunk_keeps_a_copy(make_docs):
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 9))) for _ in range(n))
+    rows = []
+    for k in range(20):
+        x, y = prose(90), prose(90)
+        rows += [(3 * k, f"{prose(60)} {x} {prose(60)}"), (3 * k + 1, f"{prose(60)} {x} {y} {prose(60)}"),
+                 (3 * k + 2, f"{prose(60)} {x} {y} {prose(60)}")]
+    docs = make_docs(rows)
+    spans = repeated_spans(docs)
+    texts = {r.doc_id: r.text for r in without_repeats(docs, spans).collect()}
+    holders = defaultdict(set)
+    for i, t in rows:
+        data = t.encode()
+        ends = chunk_ends(data)
+        for a, b in zip([0, *ends], ends):
+            holders[data[a:b]].add(i)
+    for chunk, ids in holders.items():
+        assert chunk.decode() in texts[min(ids)]
+    spans = spans.collect()
+    assert all(r.is_first == ([tuple(p) for p in r.first_parts] == [(r.span_start, r.span_end)]) for r in spans)
+    mixed = [r for r in spans if r.first_parts and not r.is_first]
+    assert len(mixed) >= 15
+    before = dict(rows)
+    for r in mixed:  # the passage held first is kept, the other cut
+        assert r.doc_id % 3 == 1 and len(texts[r.doc_id]) < len(before[r.doc_id])
