@@ -40,10 +40,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
+    return kept_at(df, label)[0]
+
+
+def kept_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``staged``, and the path, which ``discard`` takes once nothing reads the table any more."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a staged table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sized(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -112,6 +123,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.S
     return df.mapInArrow(run, schema)
 
 
+def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                   schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` where ``fn`` turns the record batches of a partition into those of ``schema``."""
+    _prepare(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct: whatever they are called, they cannot clash with names used beside it."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
+
+
 def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """The rows of ``df``, all columns, for which ``keep`` of their record batch is true."""
     _prepare(df.sparkSession)

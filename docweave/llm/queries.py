@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.bpe_codec import encode_decode
+from docweave.llm.centroid_heaps import clustered
 from docweave.llm.chunk_dedup import repeated_spans
-from docweave.llm.common import table
+from docweave.llm.common import let, table, words_of
 from docweave.llm.decontaminate import benchmark_leaks
+from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.language_id import fit_languages, label_languages
 from docweave.llm.line_dedup import PAGE_LINES, drop_boilerplate, host_of, page_lines
 from docweave.llm.near_dups import near_duplicates
+from docweave.llm.periodic_runs import periodic_runs
 from docweave.llm.quality_classifier import fit_quality, score_quality
 from docweave.llm.quality_rules import quality_rules
 from docweave.llm.sharding import balanced, shard_rows
@@ -75,6 +78,50 @@ def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model)
 
 
+def op11_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), counters=1024)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``; in a tenth of the texts, by the id's checksum, the words from one place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(words: Column) -> Column:
+        n, g = F.size(words).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        tail = F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")),
+                                     F.slice(tail, F.lit(1), (n - a).cast("int"))), " ")
+
+    chosen = F.col("text").rlike(r"[^\x20\x09-\x0D]") & (h % 10 == 0)
+    return docs.select("doc_id", F.when(chosen, let(words_of(F.col("text")), planted)).otherwise(F.col("text"))
+                       .alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods and six words, as digests, and the longest one."""
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")), exponent=4, least=6)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    start, length, period = -F.col("longest.start"), F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_centroid_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, salt="3:")
+    components = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(components.cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_site_line_dedup": op2_site_line_dedup,
@@ -86,6 +133,9 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_co_trained_quality": op10_co_trained_quality,
+    "op11_heavy_hitter_dedup": op11_heavy_hitter_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_heaps": op13_centroid_heaps,
 }
 
 
@@ -122,4 +172,50 @@ SELECT p.page_id, p.host, a.text, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.
 FROM p LEFT JOIN a USING (rid)
 """
 
-ORACLE: dict[str, str] = {"op2_site_line_dedup": OP2_SQL}
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+           FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+def _clusters_sql(k: int, rounds: int, dim: int, salt: str) -> str:
+    """Plain Lloyd rounds over one row for each vector and component."""
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS xs
+  FROM embeddings
+  WHERE len(embedding) = {dim}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {dim}),
+x AS MATERIALIZED (SELECT rid, vec_id, unnest(range(1, {dim} + 1)) AS pos, unnest(xs) AS x FROM v),
+c0 AS MATERIALIZED (
+  SELECT cluster, unnest(range(1, {dim} + 1)) AS pos, unnest(xs) AS c FROM (
+    SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id::VARCHAR) NULLS LAST, xs) - 1 AS cluster, xs FROM v)
+  WHERE cluster < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT rid, cluster, sum((x - c) * (x - c)) AS d FROM x JOIN c{r} USING (pos) GROUP BY rid, cluster)
+  GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM x JOIN a{r} USING (rid) GROUP BY cluster, pos),
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, pos, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c
+  FROM c{r} LEFT JOIN m{r} USING (cluster, pos))""")
+    return f"""
+WITH {','.join(parts)},
+h AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INTEGER AS cluster, d::BIGINT AS distance,
+       (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       centroid_sha256
+FROM a{rounds} JOIN h USING (cluster) JOIN v USING (rid)
+"""
+
+
+ORACLE: dict[str, str] = {"op2_site_line_dedup": OP2_SQL, "op11_heavy_hitter_dedup": OP11_SQL,
+                          "op13_centroid_heaps": _clusters_sql(8, 10, 64, "3:")}
