@@ -74,9 +74,9 @@ from docweave.constants import (  # noqa: E402
     PACK_MAX_TOKENS, RESERVE_TOKENS, SIF_ALPHA, SUMMARY_CANDIDATES,
 )
 from docweave.operators import prompts as P  # noqa: E402
+from docweave.plans.oracle_html import article_ctes, page_ctes  # noqa: E402
 from docweave.plans.oracle_parts import closers, mean_langs, q, strip, words  # noqa: E402
 from docweave.sources.files import _SUFFIX  # noqa: E402
-from docweave.sources.html import ARTICLE, ENTITIES, HTML_CHAIN, NUMERIC  # noqa: E402
 
 DOC_FRAG = fragments_cte(DOCS)
 
@@ -91,22 +91,6 @@ def kind_sql(expr: str) -> str:
     return f"CASE WHEN {k} = '' THEN 'unsupported' ELSE {k} END"
 
 
-def html_sql(expr: str) -> str:
-    out = expr
-    for pattern, replacement in HTML_CHAIN:
-        rep = "chr(10)" if replacement == "\n" else q(replacement)
-        out = f"regexp_replace({out}, {q(pattern)}, {rep}, 'g')"
-    number = f"regexp_extract(r, {q(NUMERIC)}, 1)"
-    code = (f"CASE WHEN {number} <> '' THEN CAST({number} AS INT) "
-            f"ELSE CAST('0x' || regexp_extract(r, {q(NUMERIC)}, 2) AS INT) END")
-    char = (f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE r END")
-    out = (f"list_reduce(list_transform(list_distinct(regexp_extract_all({out}, {q(NUMERIC)})), "
-           f"lambda r: [r, {char}]), lambda acc, p: [replace(acc[1], p[1], p[2]), ''], [{out}, ''])[1]")
-    for entity, char in ENTITIES:
-        out = f"replace({out}, {q(entity)}, {q(char)})"
-    return out
-
-
 def price(model: str, table, col: int) -> str:
     value = {m[0]: m for m in table}[model][col]
     return f"CAST({value!r} AS DOUBLE)"
@@ -147,12 +131,16 @@ off AS (SELECT name, page, coalesce(sum(n) OVER (PARTITION BY name ORDER BY page
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM pp)
 SELECT name, page, CAST(o + sentence AS BIGINT) AS pos, text FROM sent JOIN off USING (name, page)"""
 
-ORACLE["html_fragments"] = f"""WITH {fragments_cte(f'SELECT page_id AS name, {html_sql("html")} AS text FROM pages')}
+PAGE_CTES = page_ctes("SELECT page_id AS name, html FROM pages")
+
+ORACLE["html_fragments"] = f"""WITH RECURSIVE {PAGE_CTES},
+{fragments_cte('SELECT name, text FROM page_text')}
 SELECT name, pos, text FROM frag"""
 
-_PRIMARY = html_sql(f"array_to_string(regexp_extract_all(html, {q(ARTICLE)}, 1), chr(10))")
-ORACLE["html_fallback"] = f"""WITH {fragments_cte(
-    f"SELECT page_id AS name, coalesce(nullif({strip(_PRIMARY)}, ''), {html_sql('html')}) AS text FROM pages")}
+ORACLE["html_fallback"] = f"""WITH RECURSIVE {PAGE_CTES},
+{article_ctes()},
+{fragments_cte(f"SELECT name, coalesce(nullif({strip('a.text')}, ''), p.text) AS text "
+               "FROM page_text p FULL JOIN article_text a USING (name)")}
 SELECT name, pos, text FROM frag"""
 
 ORACLE["paragraph_fragments"] = f"""
@@ -164,7 +152,8 @@ _CID = f"md5(array_to_string({clean_lines('text')}, {NL}))"
 ORACLE["document_uri"] = f"""WITH u AS (SELECT doc_id, {_CID} || '/' || left(lang, 2) AS uri FROM documents)
 SELECT doc_id, uri, split_part(uri, '/', 1) AS uri_id, split_part(uri, '/', 2) AS uri_lang FROM u"""
 
-ORACLE["rejected_documents"] = f"""WITH {fragments_cte(f'SELECT page_id AS name, {html_sql("html")} AS text FROM pages')}
+ORACLE["rejected_documents"] = f"""WITH RECURSIVE {PAGE_CTES},
+{fragments_cte('SELECT name, text FROM page_text')}
 SELECT 'documents' AS origin, doc_id AS id FROM documents
 WHERE text IS NULL OR len({clean_lines('text')}) = 0
 UNION ALL

@@ -46,7 +46,7 @@ from docweave.plans.scan import dense_positions
 from docweave.plans.sizing import materialize, maybe_broadcast
 from docweave.plans.summarize import centroids, summary_context
 from docweave.session import checkpoint_dir
-from docweave.sources.files import source_kind
+from docweave.sources.files import page_documents, source_kind
 from docweave.sources.html import html_fragments, page_text_with_fallback
 from docweave.sources.index import append_positions, clear_index, read_index, reindex, write_index
 
@@ -214,7 +214,7 @@ def q_reflow_lines(spark, sf):
 
 @register
 def q_html_fragments(spark, sf):
-    return html_fragments(B.table(spark, sf, "pages"))
+    return html_fragments(page_documents(B.table(spark, sf, "pages")), "name")
 
 
 @register

@@ -1,10 +1,10 @@
-"""Main text of web pages (F3, F4) as a chain of regexp_replace expressions.
+"""Main text of web pages (F3, F4), row by row in JVM expressions.
 
-Non-content blocks and comments are removed, block-level tags become line
-breaks, remaining tags are stripped, numeric references and common entities
-unescaped (``&amp;`` last).  Patterns are RE2-compatible (no look-around, no back-references) so
-DuckDB runs the same chain.  This is a deterministic approximation of a
-readability extractor, not a copy of one.
+Side elements (navigation, headers, forms, blocks of an advertising class, ...) go
+with everything nested in them, block-level tags become line breaks, lists of
+links go by the share of their characters that are links, and character
+references are decoded (``&amp;`` last).  This is a deterministic
+approximation of a readability extractor, not a copy of one.
 """
 
 from __future__ import annotations
@@ -12,30 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.markup import (
+    element_spans, html_tokens, inside, is_side, outside, plain_text, without_link_lists,
+)
 from docweave.functions.text import strip_ws
+from docweave.functions.vectors import let
 from docweave.operators.fragments import split_fragments
 
-_BLOCKS = "script|style|nav|header|footer|aside|form|head"
-
 # Classes of block elements that hold no content of the page.
 SIDE_CLASSES = ("ad",)
 
-
-def html_chain(side_classes: tuple[str, ...] = SIDE_CLASSES) -> list[tuple[str, str]]:
-    """(pattern, replacement) steps, applied in order, every match replaced."""
-    aside = "|".join(side_classes)
-    return [
-        (rf"(?is)<({_BLOCKS})\b.*?</({_BLOCKS})>", " "),
-        (r"(?s)<!--.*?-->", " "),
-        *([(rf"""(?is)<(?:div|section)\b[^>]*\bclass=["']?(?:{aside})\b[^>]*>.*?</(?:div|section)>""", " ")]
-          if aside else []),
-        (r"(?i)<(/?(p|div|h[1-6]|li|ul|ol|tr|table|article|section)|br)\b[^>]*>", "\n"),
-        (r"<[^>]*>", ""),
-    ]
-
-
-HTML_CHAIN = html_chain()
-
 # Numeric character references, decimal (group 1) or hexadecimal (group 2).
 NUMERIC = r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
 
@@ -45,9 +31,6 @@ ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
             ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
             ("&euro;", "€"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
-
-
 def _character(reference: Column) -> Column:
     """The character of a numeric reference; the reference itself if there is none of that number."""
     decimal = F.nullif(F.regexp_extract(reference, NUMERIC, 1), F.lit(""))
@@ -64,20 +47,26 @@ def decode_numeric(text: Column) -> Column:
         found, text, lambda acc, r: F.replace(acc, r, _character(r)))).otherwise(text)
 
 
-def html_text(html: Column, side_classes: tuple[str, ...] = SIDE_CLASSES) -> Column:
-    """Text of a page without its side blocks; ``side_classes`` are classes of blocks to leave out."""
-    out = html
-    for pattern, replacement in html_chain(side_classes):
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
-    out = decode_numeric(out)
+def _text(tokens: Column, side_classes: tuple[str, ...]) -> Column:
+    content = let(tokens, lambda t: outside(t, element_spans(t, lambda tag: is_side(tag, side_classes))))
+    out = decode_numeric(without_link_lists(plain_text(content)))
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
 
 
+def html_text(html: Column, side_classes: tuple[str, ...] = SIDE_CLASSES) -> Column:
+    """Text of a page without its side blocks; ``side_classes`` are classes of blocks to leave out."""
+    return _text(html_tokens(html), side_classes)
+
+
+def _articles(html: Column) -> Column:
+    return let(html_tokens(html), lambda t: inside(t, element_spans(t, lambda tag: tag.rlike(r"(?i)^<article\b"))))
+
+
 def article_html(html: Column) -> Column:
-    """The content of every article element, one after another; empty without one."""
-    return F.array_join(F.regexp_extract_all(html, F.lit(ARTICLE), 1), "\n")
+    """The content of every outermost article element, one after another; empty without one."""
+    return F.array_join(F.transform(_articles(html), lambda t: F.array_join(t, "")), "\n")
 
 
 def text_or_fallback(primary: Column, fallback: Column) -> Column:
@@ -86,14 +75,14 @@ def text_or_fallback(primary: Column, fallback: Column) -> Column:
 
 
 def html_fragments(pages: DataFrame, name_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """F3. (name, pos, text) fragments of each page's main text."""
+    """F3. (name, pos, text) fragments of each page's main text; a null page has none."""
     return split_fragments(pages.select(F.col(name_col).alias("name"),
                                         html_text(F.col(html_col)).alias("text")))
 
 
 def page_text_with_fallback(pages: DataFrame, name_col: str = "page_id",
                             html_col: str = "html") -> DataFrame:
-    """F4 over pages: the article element's text, or the whole page's when that is blank."""
-    html = F.col(html_col)
+    """F4 over pages: the text of the article elements, or the whole page's when that is blank."""
+    articles = F.flatten(F.transform(_articles(F.col(html_col)), lambda t: F.concat(t, F.array(F.lit("<br>")))))
     return pages.select(F.col(name_col).alias("name"),
-                        text_or_fallback(html_text(article_html(html)), html_text(html)).alias("text"))
+                        text_or_fallback(_text(articles, SIDE_CLASSES), html_text(F.col(html_col))).alias("text"))
