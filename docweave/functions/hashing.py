@@ -1,10 +1,10 @@
 """Feature hashing (Weinberger et al., 2009) as plain Column expressions.
 
 A term goes to bucket ``first 32 bits of md5(term) mod dim``.  md5 is used
-instead of a faster hash so the DuckDB oracle can reproduce every bucket.
-The dense count vector is built row-wise from the bucket list: the count of
-bucket i is size(b) - size(array_remove(b, i)), one native array pass per
-dimension, so no shuffle, no sort and no per-term lambda are needed.
+instead of a faster hash so the DuckDB oracle can reproduce every bucket.  A
+text's vector is kept sparse: its sorted buckets are cut into runs, one index
+and one value for each, so the work follows the number of terms and not the
+dimension.  The dense form, runs with zeros between them, is made on output only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.functions.vectors import let, normalize
+from docweave.functions.vectors import let
 
 
 def term_bucket(term: Column, dim: int) -> Column:
@@ -20,16 +20,65 @@ def term_bucket(term: Column, dim: int) -> Column:
     return F.pmod(high32, F.lit(dim).cast("bigint"))
 
 
-def bucket_counts(term_array: Column, dim: int) -> Column:
-    """ARRAY<DOUBLE> of length ``dim``: occurrences of terms per bucket."""
-    dims = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
+def run_starts(ordered: Column) -> Column:
+    """ARRAY<INT>: where each run of equal elements begins (from 0) in a sorted array."""
+    places = F.transform(ordered, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    starts = F.filter(places, lambda p: (p["i"] == 0) | (p["x"] != F.get(ordered, p["i"] - 1)))
+    return F.transform(starts, lambda p: p["i"])
 
-    def dense(buckets: Column) -> Column:
-        return F.transform(dims, lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i))).cast("double"))
 
-    return let(F.transform(term_array, lambda t: term_bucket(t, dim)), dense)
+def run_lengths(starts: Column, total: Column) -> Column:
+    return F.transform(starts, lambda s, k: F.coalesce(F.get(starts, k + 1), total) - s)
+
+
+def bucket_runs(term_array: Column, dim: int) -> Column:
+    """STRUCT<index ARRAY<BIGINT>, value ARRAY<DOUBLE>>: the buckets of the terms in order, and their counts."""
+    def runs(buckets: Column) -> Column:
+        return let(run_starts(buckets), lambda starts: F.struct(
+            F.transform(starts, lambda s: F.get(buckets, s)).alias("index"),
+            F.transform(run_lengths(starts, F.size(buckets)), lambda n: n.cast("double")).alias("value")))
+
+    return let(F.sort_array(F.transform(term_array, lambda t: term_bucket(t, dim))), runs)
+
+
+def sparse_unit(term_array: Column, dim: int) -> Column:
+    """STRUCT<index ARRAY<BIGINT>, value ARRAY<FLOAT>>: ``bucket_runs`` at unit length; no entries without terms."""
+    def unit(v: Column) -> Column:
+        length = F.sqrt(F.aggregate(v["value"], F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(length, lambda n: F.struct(
+            v["index"].alias("index"),
+            F.transform(v["value"], lambda x: F.try_divide(x, n).cast("float")).alias("value")))
+
+    return let(bucket_runs(term_array, dim), unit)
+
+
+def dense(sparse: Column, dim: int) -> Column:
+    """ARRAY<FLOAT> of length ``dim``: the values at their index, zeros elsewhere."""
+    def filled(v: Column) -> Column:
+        index, value = v["index"], v["value"]
+        end = F.lit(dim).cast("bigint")
+        gaps = F.transform(index, lambda at, k: F.concat(
+            F.array(F.get(value, k)),
+            F.array_repeat(F.lit(0.0).cast("float"), (F.coalesce(F.get(index, k + 1), end) - at - 1).cast("int"))))
+        head = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(F.get(index, F.lit(0)), end).cast("int"))
+        return F.concat(head, F.flatten(gaps))
+
+    return let(sparse, filled)
+
+
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Inner product of two sparse vectors: their entries in one order, equal neighbours multiplied."""
+    def entries(v: Column) -> Column:
+        return F.arrays_zip(v["index"].alias("i"), v["value"].alias("x"))
+
+    def total(merged: Column) -> Column:
+        products = F.transform(merged, lambda e, k: F.when(
+            F.get(merged, k + 1)["i"] == e["i"], e["x"].cast("double") * F.get(merged, k + 1)["x"].cast("double")))
+        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + F.coalesce(p, F.lit(0.0)))
+
+    return let(F.sort_array(F.concat(entries(a), entries(b))), total)
 
 
 def hashed_vector(term_array: Column, dim: int) -> Column:
-    """Unit-length hashed term-count vector, ARRAY<FLOAT> of length ``dim``."""
-    return normalize(bucket_counts(term_array, dim))
+    """Unit-length hashed term-count vector, ARRAY<FLOAT> of length ``dim``; zero without terms."""
+    return dense(sparse_unit(term_array, dim), dim)
