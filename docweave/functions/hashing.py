@@ -52,18 +52,23 @@ def sparse_unit(term_array: Column, dim: int) -> Column:
     return let(bucket_runs(term_array, dim), unit)
 
 
+def filled(index: Column, value: Column, size: Column, zero: Column) -> Column:
+    """Array of ``size`` elements: the values at their (ascending) index, ``zero`` elsewhere."""
+    def spread(v: Column) -> Column:
+        def gap(i: Column, k: Column) -> Column:
+            return (F.coalesce(F.get(v["at"], k + 1), size) - i - 1).cast("int")
+
+        rest = F.transform(v["at"], lambda i, k: F.concat(F.array(F.get(v["x"], k)), F.array_repeat(zero, gap(i, k))))
+        head = F.array_repeat(zero, F.coalesce(F.get(v["at"], F.lit(0)), size).cast("int"))
+        return F.concat(head, F.flatten(rest))
+
+    return let(F.struct(index.alias("at"), value.alias("x")), spread)
+
+
 def dense(sparse: Column, dim: int) -> Column:
     """ARRAY<FLOAT> of length ``dim``: the values at their index, zeros elsewhere."""
-    def filled(v: Column) -> Column:
-        index, value = v["index"], v["value"]
-        end = F.lit(dim).cast("bigint")
-        gaps = F.transform(index, lambda at, k: F.concat(
-            F.array(F.get(value, k)),
-            F.array_repeat(F.lit(0.0).cast("float"), (F.coalesce(F.get(index, k + 1), end) - at - 1).cast("int"))))
-        head = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(F.get(index, F.lit(0)), end).cast("int"))
-        return F.concat(head, F.flatten(gaps))
-
-    return let(sparse, filled)
+    return let(sparse, lambda v: F.when(v.isNotNull(), filled(
+        v["index"], v["value"], F.lit(dim).cast("bigint"), F.lit(0.0).cast("float"))))
 
 
 def sparse_dot(a: Column, b: Column) -> Column:

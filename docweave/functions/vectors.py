@@ -6,7 +6,7 @@ zero norm or zero maximum yields NULL instead of an ANSI error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(df: DataFrame, array: Column, at: str, element: str, *keep: Column | str) -> DataFrame:
+    """(*keep, at, element): a row for each element of a computed array, none for an empty or null one.
+
+    A plain ``posexplode`` makes the optimizer filter on the array's size below
+    it, which computes the array twice (and inside other lambdas, many times);
+    the outer form does not, so its one row for an empty array is dropped after it.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, element))
+    return rows.filter(F.col(at).isNotNull())
+
+
 def as_double(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double"))
 

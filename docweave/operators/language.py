@@ -4,17 +4,21 @@ Detection is a character-trigram naive Bayes classifier trained and applied
 as Spark jobs.  Trigrams are taken inside words padded with one space on each
 side (Cavnar and Trenkle, 1994).  Words are counted first (partial
 aggregation), so each distinct word of a text is expanded into trigrams once,
-then counts are summed per trigram and scored through a join on the trigram.
+then counts are summed per trigram.  A text is scored on its own row where the
+profile is small enough to be everywhere, else through a join on the trigram.
 Whole texts are used.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.constants import RANK_DECIMALS
-from docweave.plans.sizing import materialize, maybe_broadcast
+from docweave.functions.vectors import exploded, let
+from docweave.plans.sizing import fits, materialize
 
 
 LETTER_RUN = r"\p{L}+"
@@ -42,9 +46,9 @@ def letter_count(text: Column) -> Column:
 
 def gram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys..., gram, tf): trigram counts of each text."""
-    word_counts = (df.select(*keys, F.explode(letter_words(F.col(text_col))).alias("word"))
+    word_counts = (exploded(df, letter_words(F.col(text_col)), "_i", "word", *keys)
                    .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_n")))
-    return (word_counts.select(*keys, F.explode(word_trigrams(F.col("word"))).alias("gram"), "_n")
+    return (exploded(word_counts, word_trigrams(F.col("word")), "_i", "gram", *keys, "_n")
             .groupBy(*keys, "gram").agg(F.sum("_n").cast("bigint").alias("tf")))
 
 
@@ -74,6 +78,72 @@ def language_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str
                     F.log(F.lit(1.0) / F.col("_den")).alias("unseen"), "prior"))
 
 
+# Bytes of a trigram's entry in the lookup array, besides a gain for each language.
+GRAM_BYTES = 64
+
+
+def gram_lookup(profiles: DataFrame) -> tuple[Column, Column, int]:
+    """(languages, buckets, number of buckets) of a profile as constants; callers check its size first.
+
+    ``languages`` is ARRAY<STRUCT<lang, unseen, prior>> by name.  ``buckets`` is
+    an array of short lists of (gram, gains), where ``gains`` follow the
+    languages and a trigram stands in the bucket of its hash: looking one up
+    reads one list, however many there are.
+    """
+    rows = profiles.select("lang", "gram", (F.col("logp") - F.col("unseen")).alias("gain"), "unseen", "prior",
+                           F.hash("gram").alias("h")).collect()
+    langs = sorted({(r["lang"], r["unseen"], r["prior"]) for r in rows})
+    place = {lang: i for i, (lang, _, _) in enumerate(langs)}
+    count = max(64, 1 << (len(rows) // 2).bit_length())
+    grams: dict[tuple[int, str], list[float]] = {}
+    for r in rows:
+        grams.setdefault((r["h"] % count, r["gram"]), [0.0] * len(langs))[place[r["lang"]]] = r["gain"]
+    lists: list[list[dict]] = [[] for _ in range(count)]
+    for (at, gram), gains in grams.items():
+        lists[at].append({"gram": gram, "gains": gains})
+    heads = [{"lang": lang, "unseen": unseen, "prior": prior} for lang, unseen, prior in langs]
+    # A constant of nested arrays is a parsed JSON constant, which the optimizer evaluates once.
+    return (F.from_json(F.lit(json.dumps(heads)), "array<struct<lang:string,unseen:double,prior:double>>"),
+            F.from_json(F.lit(json.dumps(lists)), "array<array<struct<gram:string,gains:array<double>>>>"), count)
+
+
+def _best_language(text: Column, lookup: tuple[Column, Column, int]) -> Column:
+    """STRUCT<lang, score>: the language with the best score; the first by name in a tie."""
+    langs, lists, buckets = lookup
+    letters = F.coalesce(letter_count(text), F.lit(0))
+    starts = F.transform(langs, lambda x: x["prior"] + letters * x["unseen"])
+    grams = F.flatten(F.transform(letter_words(text), word_trigrams))
+
+    def add(total: Column, gram: Column) -> Column:
+        near = F.get(lists, F.pmod(F.hash(gram), F.lit(buckets)))
+        own = F.get(F.filter(near, lambda e: e["gram"] == gram), F.lit(0))["gains"]
+        return let(own, lambda g: F.when(g.isNull(), total).otherwise(F.zip_with(total, g, lambda a, b: a + b)))
+
+    def best(scores: Column) -> Column:
+        ranked = F.zip_with(scores, langs, lambda s, x: F.struct(
+            (-F.round(s, RANK_DECIMALS)).alias("low"), x["lang"].alias("lang")))
+        return let(F.array_min(ranked), lambda m: F.struct(
+            F.left(m["lang"], F.lit(2)).alias("lang"), (-m["low"]).alias("score")))
+
+    return let(F.aggregate(F.coalesce(grams, F.array().cast("array<string>")), starts, add), best)
+
+
+def with_language(texts: DataFrame, profiles: DataFrame, profile_rows: int, text_col: str = "text",
+                  lang_col: str = "lang", score_col: str | None = None) -> DataFrame | None:
+    """F13 on the row: ``texts`` with the most probable language (and its score); None if the profile is too large.
+
+    No trigram becomes a row and nothing is shuffled: every text is scored in
+    one fold over its trigrams against ``gram_lookup``, which every task gets.
+    """
+    per_gram = GRAM_BYTES + 8 * profiles.select("lang").distinct().count()
+    if not fits(profile_rows, per_gram):
+        return None
+    best = _best_language(F.col(text_col), gram_lookup(profiles))
+    names = {lang_col: "lang"} | ({score_col: "score"} if score_col else {})
+    found = texts.select(*[c for c in texts.columns if c not in names], best.alias("_best"))
+    return found.withColumns({out: F.col("_best")[part] for out, part in names.items()}).drop("_best")
+
+
 def detect_language(texts: DataFrame, profiles: DataFrame, keys: list[str],
                     text_col: str = "text", profile_rows: int | None = None) -> DataFrame:
     """F13. Most probable language of every text: (keys..., lang, score).
@@ -83,15 +153,16 @@ def detect_language(texts: DataFrame, profiles: DataFrame, keys: list[str],
     text without letters (or NULL) gets the language with the best prior.
     ``lang`` is cut to two letters; ties go to the first by name.
 
-    Trigrams meet the broadcast profile where they are; only partial sums of a
-    text and language are shuffled.  A profile beyond the broadcast bound is
-    joined by trigram instead.
+    With a profile of ``profile_rows`` rows that every task can hold, texts are
+    scored where they are (``with_language``); a larger one, or one of unknown
+    size, is joined by trigram.
     """
+    if profile_rows:
+        found = with_language(texts.select(*keys, text_col), profiles, profile_rows, text_col, "lang", "score")
+        if found is not None:
+            return found.select(*keys, "lang", "score")
     prof = profiles.select("lang", "gram", (F.col("logp") - F.col("unseen")).alias("_gain"))
-    if profile_rows is not None:
-        prof = maybe_broadcast(prof, profile_rows, 64)
-    grams = texts.select(*keys, F.explode(F.flatten(F.transform(
-        letter_words(F.col(text_col)), word_trigrams))).alias("gram"))
+    grams = exploded(texts, F.flatten(F.transform(letter_words(F.col(text_col)), word_trigrams)), "_i", "gram", *keys)
     gains = grams.join(prof, "gram").select(*keys, "lang", "_gain", F.lit(0).cast("bigint").alias("_letters"))
     # One row per language, as a scalar subquery: every text starts with a row for each.
     per_lang = profiles.groupBy("lang").agg(F.max("unseen").alias("unseen"), F.max("prior").alias("prior"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.text import strip_ws
+from docweave.functions.vectors import exploded
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
@@ -58,7 +59,7 @@ def keyword_prompts(requests: DataFrame) -> DataFrame:
 
 def explode_messages(prompts: DataFrame, key: str) -> DataFrame:
     """Messages as rows (key, seq, role, content)."""
-    return prompts.select(key, F.posexplode("messages").alias("seq", "_m")).select(
+    return exploded(prompts, F.col("messages"), "seq", "_m", key).select(
         key, F.col("seq").cast("bigint").alias("seq"), F.col("_m")["role"].alias("role"),
         F.col("_m")["content"].alias("content"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docweave.constants import PLAIN_MEAN_LANGUAGES, RANK_DECIMALS, SIF_ALPHA
 from docweave.functions.text import terms, words
-from docweave.functions.vectors import cosine, norm, scale, vmax
+from docweave.functions.vectors import cosine, exploded, norm, scale, vmax
 from docweave.plans.sizing import NAME_BYTES, maybe_broadcast, vector_row_bytes
 
 
@@ -38,14 +38,13 @@ def document_frequency(fragments: DataFrame) -> DataFrame:
     ``name``), so ``idf`` needs no second aggregation or join.
     """
     carry = ["n_fragments"] if "n_fragments" in fragments.columns else []
-    return (fragments.select("name", *carry, F.explode(F.array_distinct(fragment_terms(fragments))).alias("term"))
+    return (exploded(fragments, F.array_distinct(fragment_terms(fragments)), "_i", "term", "name", *carry)
             .groupBy("name", *carry, "term").agg(F.count(F.lit(1)).cast("bigint").alias("df")))
 
 
 def vocabulary(fragments: DataFrame) -> DataFrame:
     """A9. Distinct terms of each document."""
-    return (fragments.select("name", F.explode(fragment_terms(fragments)).alias("term"))
-            .distinct())
+    return exploded(fragments, fragment_terms(fragments), "_i", "term", "name").select("name", "term").distinct()
 
 
 def fragment_counts(fragments: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def sif_weight(fragments: DataFrame, idf_table: DataFrame, alpha: float = SIF_AL
     punctuation kept), so "Gamma" or "delta." add nothing.  Fragments with no
     match get weight 0.
     """
-    occurrences = fragments.select("name", "pos", F.explode(words(F.col("text"))).alias("term"))
+    occurrences = exploded(fragments, words(F.col("text")), "_i", "term", "name", "pos")
     matched = occurrences.join(idf_table.select("name", "term", "idf"), ["name", "term"])
     weights = matched.groupBy("name", "pos").agg(
         F.sum(F.lit(alpha) / (F.lit(alpha) + F.col("idf"))).alias("weight"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.constants import RESERVE_TOKENS
 from docweave.functions.text import token_count
-from docweave.functions.vectors import let
+from docweave.functions.vectors import exploded, let
 from docweave.plans.scan import running_total
 
 
@@ -53,11 +53,9 @@ def pack_document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESER
         "_tok", F.transform(F.col(fragments_col), lambda x: token_count(x)))
     with_ids = with_tokens.withColumn("_ids", let(
         _batch_ends(F.col("_tok"), limit), lambda ends: batch_ids(ends, F.size("_tok"))))
-    exploded = with_ids.select(
-        "name",
-        F.posexplode(F.arrays_zip(F.col(fragments_col).alias("text"), F.col("_tok").alias("n_tokens"),
-                                  F.col("_ids").alias("batch"))).alias("pos", "_f"))
-    return exploded.select(
+    rows = exploded(with_ids, F.arrays_zip(F.col(fragments_col).alias("text"), F.col("_tok").alias("n_tokens"),
+                                           F.col("_ids").alias("batch")), "pos", "_f", "name")
+    return rows.select(
         "name", F.col("pos").cast("bigint").alias("pos"), F.col("_f")["text"].alias("text"),
         F.col("_f")["n_tokens"].alias("n_tokens"),
         F.col("_f")["batch"].alias("batch"))
@@ -76,7 +74,7 @@ def document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TO
                             F.slice(fragments_col, first + 1, upto - first).alias("texts"))
         return F.filter(F.transform(F.sequence(F.lit(0), F.size(ends)), one), lambda b: F.size(b["texts"]) > 0)
 
-    rows = docs.select("name", F.explode(let(_batch_ends(tokens, max_tokens - reserve), batches)).alias("_b"))
+    rows = exploded(docs, let(_batch_ends(tokens, max_tokens - reserve), batches), "_i", "_b", "name")
     return rows.select("name", "_b.*")
 
 
@@ -127,8 +125,7 @@ def cut_documents(docs: DataFrame, budget: int, fragments_col: str = "fragments"
     """T4 over whole documents (name, fragments): the kept prefix as (name, pos, n_tokens), row-wise, no shuffle."""
     cut = _document_tokens(docs, fragments_col).select(
         "name", F.slice("_tok", F.lit(1), _document_cut(F.col("_tok"), budget)["kept"].cast("int")).alias("_tok"))
-    return cut.select("name", F.posexplode("_tok").alias("pos", "n_tokens")).withColumn(
-        "pos", F.col("pos").cast("bigint"))
+    return exploded(cut, F.col("_tok"), "pos", "n_tokens", "name").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def cut_document_report(docs: DataFrame, budget: int, fragments_col: str = "fragments") -> DataFrame:

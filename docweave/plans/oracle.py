@@ -378,7 +378,12 @@ ORACLE["sif_mean_vector"] = f"WITH {SIF_CTES} SELECT name, i, round(c, 6) AS val
 ORACLE["centrality"] = f"WITH {SIF_CTES} SELECT name, pos, round(score, 6) AS score FROM score"
 ORACLE["central_fragments"] = f"WITH {SIF_CTES} SELECT name, rank, pos, round(score, 6) AS score FROM ranked WHERE rank < 3"
 
-SUMMARY_CTES = f"""{SIF_CTES},
+# Summaries are routed by the language found in the text, not by the label.
+_BY_LABEL = f"method AS (SELECT doc_id AS name, CASE WHEN lang IN {mean_langs()} THEN 'mean' ELSE 'sif' END AS method FROM documents)"
+_BY_TEXT = (f"{detected_ctes('documents', ['doc_id'])},\n"
+            f"method AS (SELECT doc_id AS name, CASE WHEN lang IN {mean_langs()} THEN 'mean' ELSE 'sif' END AS method FROM det)")
+
+SUMMARY_CTES = f"""{SIF_CTES.replace(_BY_LABEL, _BY_TEXT)},
 cand AS (SELECT *, 'paragraph ' || pos || ': ' || text AS label FROM ranked WHERE rank < {SUMMARY_CANDIDATES}),
 cand_tok AS (SELECT *, {tokens('label')} AS n_tokens FROM cand),
 cut AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY name ORDER BY rank

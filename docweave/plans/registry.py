@@ -18,8 +18,13 @@ from docweave.constants import (
     PACK_MAX_TOKENS,
 )
 from docweave.functions.text import token_count
+from docweave.functions.vectors import exploded
 from docweave.operators import prompts as P
 from docweave.operators.cost import chat_cost, embedding_cost, embedding_cost_totals, model_catalog
+from docweave.operators.document_rows import (
+    central, document_centroids, document_rows, fragment_scores, sif_centroids, sif_weights, slice_rows_of,
+    summary_rows,
+)
 from docweave.operators.embedding import (
     check_dimension, embed_batches, hashing_embedder, python_hashing_embedder,
 )
@@ -28,14 +33,13 @@ from docweave.operators.fragments import (
     rejected_documents, split_fragments,
 )
 from docweave.operators.identity import content_id_of_text, make_uri, parse_uri
-from docweave.operators.language import detect_language, language_profiles
+from docweave.operators.language import detect_language, language_profiles, with_language
 from docweave.operators.retrieval import (
     already_indexed, extract_keywords, fetch_fragments, new_documents, top_k_cosine,
     top_k_inner_product, unknown_documents,
 )
 from docweave.operators.summary import (
-    central_fragments, centrality, document_frequency, idf, mean_vector, sif_mean_vector,
-    sif_weight, summary_method, vocabulary,
+    document_frequency, idf, mean_vector, summary_method, vocabulary,
 )
 from docweave.operators.tokens import (
     batch_totals, cut_document_report, cut_documents, document_batches, pack_document_batches,
@@ -44,7 +48,6 @@ from docweave.plans import bindings as B
 from docweave.plans.answer import answer_context, answer_hits, context_budget
 from docweave.plans.scan import dense_positions
 from docweave.plans.sizing import materialize, maybe_broadcast
-from docweave.plans.summarize import centroids, summary_context
 from docweave.session import checkpoint_dir
 from docweave.sources.files import page_documents, source_kind
 from docweave.sources.html import html_fragments, page_text_with_fallback
@@ -105,8 +108,7 @@ def q_token_count(spark, sf):
 
 def sparse_rows(df: DataFrame, keys: list[str], vec: str = "embedding") -> DataFrame:
     """Non-zero coordinates of a vector column as rows (keys..., b, v)."""
-    return (df.select(*keys, F.posexplode(vec).alias("b", "v"))
-            .filter(F.col("v") != 0)
+    return (exploded(df, F.col(vec), "b", "v", *keys).filter(F.col("v") != 0)
             .select(*keys, F.col("b").cast("bigint").alias("b"), F.round(F.col("v").cast("double"), 6).alias("v")))
 
 
@@ -153,9 +155,25 @@ def sif_fragments(spark, sf) -> DataFrame:
     return materialize(hashing_embedder(doc_fragments(spark, sf), HASH_DIM, keep_terms=True), "index")
 
 
+def index_rows(spark, sf) -> DataFrame:
+    """The document index as document rows with hashed vectors, written once and scanned back by every later step."""
+    return materialize(document_rows(B.documents(spark, sf), HASH_DIM), "document-rows")
+
+
+def detected_rows(spark, sf) -> DataFrame:
+    """``index_rows`` with the language found in the text instead of the table's label."""
+    prof = language_profiles(B.table(spark, sf, "documents"))
+    docs, rows = B.documents(spark, sf), prof.count()
+    found = with_language(docs, prof, rows)
+    if found is None:  # a profile too large to be everywhere: scored through a join, then brought back by name
+        langs = detect_language(docs, prof, ["name"], profile_rows=rows).select("name", "lang")
+        found = docs.drop("lang").join(langs, "name")
+    return materialize(document_rows(found, HASH_DIM), "document-rows")
+
+
 def dense_rows(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Non-zero coordinates of a vector column as rows (key, i, value)."""
-    return (df.select(key, F.posexplode(vec).alias("i", "value")).filter(F.col("value") != 0)
+    return (exploded(df, F.col(vec), "i", "value", key).filter(F.col("value") != 0)
             .select(key, F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value")))
 
 
@@ -306,8 +324,8 @@ def q_summary_method(spark, sf):
 def q_split_keywords(spark, sf):
     req, frags, _ = requested_fragments(spark, sf)
     kw = extract_keywords(req, idf(document_frequency(frags), frags)).filter("keywords <> ''")
-    return kw.select("request_id", F.posexplode(P.split_keywords(F.col("keywords"))).alias("idx", "keyword")) \
-        .withColumn("idx", F.col("idx").cast("bigint"))
+    return exploded(kw, P.split_keywords(F.col("keywords")), "idx", "keyword", "request_id").withColumn(
+        "idx", F.col("idx").cast("bigint"))
 
 
 # ---------------------------------------------------------------- tokens, batches, cost
@@ -458,48 +476,49 @@ def q_idf(spark, sf):
     return idf(document_frequency(frags), frags, bound).select("name", "term", F.round("idf", 6).alias("idf"))
 
 
-def weighted_fragments(spark, sf) -> DataFrame:
-    frags = sif_fragments(spark, sf)
-    bound = B.row_bound(spark, sf, "documents")
-    return sif_weight(frags, idf(document_frequency(frags), frags, bound))
-
-
 @register
 def q_sif_weight(spark, sf):
-    return weighted_fragments(spark, sf).select("name", "pos", F.round("weight", 9).alias("weight"))
+    weights = sif_weights(index_rows(spark, sf))
+    first = F.col("slice") * slice_rows_of(HASH_DIM)
+    return exploded(weights, F.col("weights"), "at", "weight", "name", first.alias("first")).select(
+        "name", (F.col("first") + F.col("at")).cast("bigint").alias("pos"), F.round("weight", 9).alias("weight"))
 
 
 @register
 def q_sif_mean_vector(spark, sf):
-    return dense_rows(sif_mean_vector(weighted_fragments(spark, sf)), "name", "centroid")
+    found = sif_centroids(sif_weights(index_rows(spark, sf)))
+    return dense_rows(found.filter("slice = 0").select("name", "centroid"), "name", "centroid")
 
 
-def document_methods(spark, sf) -> DataFrame:
-    return B.documents(spark, sf).select("name", summary_method(F.col("lang")).alias("method"))
+def routed_centroids(spark, sf) -> DataFrame:
+    routed = index_rows(spark, sf).withColumn("method", summary_method(F.col("lang")))
+    return document_centroids(sif_weights(routed))
 
 
 @register
 def q_centrality(spark, sf):
-    frags = sif_fragments(spark, sf)
-    bound = B.row_bound(spark, sf, "documents")
-    cents = centroids(frags, document_methods(spark, sf), bound)
-    return centrality(frags, cents, doc_rows=bound, dim=HASH_DIM).select(
-        "name", "pos", F.round("score", 6).alias("score"))
+    rows = routed_centroids(spark, sf)
+    scores = fragment_scores(F.col("centroid"), F.col("embeddings"))
+    first = F.col("slice") * slice_rows_of(HASH_DIM)
+    return exploded(rows, scores, "at", "score", "name", first.alias("first")).select(
+        "name", (F.col("first") + F.col("at")).cast("bigint").alias("pos"), F.round("score", 6).alias("score"))
 
 
 @register
 def q_central_fragments(spark, sf):
-    frags = sif_fragments(spark, sf)
-    bound = B.row_bound(spark, sf, "documents")
-    cents = centroids(frags, document_methods(spark, sf), bound)
-    scored = centrality(frags, cents, doc_rows=bound, dim=HASH_DIM)
-    return central_fragments(scored, 3).select("name", "rank", "pos", F.round("score", 6).alias("score"))
+    best = central(routed_centroids(spark, sf), 3)
+    return exploded(best, F.col("best"), "rank", "b", "name").select(
+        "name", F.col("rank").cast("bigint").alias("rank"), "b.pos", F.round("b.score", 6).alias("score"))
+
+
+def document_summaries(spark, sf) -> DataFrame:
+    """Summary context of every document, routed by the language found in its text."""
+    return summary_rows(detected_rows(spark, sf), context_budget())
 
 
 @register
 def q_summary_context(spark, sf):
-    bound = B.row_bound(spark, sf, "documents")
-    return summary_context(sif_fragments(spark, sf), B.documents(spark, sf), doc_rows=bound, dim=HASH_DIM)
+    return document_summaries(spark, sf)
 
 
 @register
@@ -519,9 +538,7 @@ def q_answer_prompts(spark, sf):
 
 @register
 def q_summary_prompts(spark, sf):
-    bound = B.row_bound(spark, sf, "documents")
-    ctx = summary_context(sif_fragments(spark, sf), B.documents(spark, sf), doc_rows=bound, dim=HASH_DIM)
-    return P.explode_messages(P.summary_prompts(ctx), "name")
+    return P.explode_messages(P.summary_prompts(document_summaries(spark, sf)), "name")
 
 
 @register

@@ -33,13 +33,18 @@ def test_no_cross_product_no_python(spark, name):
         assert not any(node in text for node in PY_NODES), name
 
 
-@pytest.mark.parametrize("name", ["top_k_inner_product", "top_k_cosine", "central_fragments",
-                                  "answer_context", "summary_context", "context_preview"])
+@pytest.mark.parametrize("name", ["top_k_inner_product", "top_k_cosine", "answer_context", "context_preview"])
 def test_partial_top_k_before_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SMOKE))
     assert "WindowGroupLimit" in text
 
 
+@pytest.mark.parametrize("name", ["sif_weight", "sif_mean_vector", "centrality", "central_fragments",
+                                  "summary_context"])
+def test_documents_of_one_row_are_not_shuffled(spark, name):
+    assert "Exchange" not in plan(QUERIES[name](spark, SMOKE))
+
+
 def test_query_side_is_broadcast(spark):
     q = spark.createDataFrame([(1, "d0", [1.0])], "request_id long, name string, embedding array<float>")
     idx = spark.range(1000).select(F.concat(F.lit("d"), (F.col("id") % 3).cast("string")).alias("name"),
