@@ -5,7 +5,9 @@ The query side is broadcast when its row bound is known and small, so the
 index is scanned in place and never shuffled; a per-partition
 ``WindowGroupLimit`` then keeps at most ``limit`` rows per query before the
 only shuffle.  A hot document therefore never lands in a single task.
-Without a bound the join is a shuffle join left to AQE (skew splitting).
+Without a bound the join is a shuffle join left to AQE (skew splitting).  When
+the questions are known to be too many, those about large documents meet slices
+of them instead (``sliced_search``).
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from docweave.constants import RANK_DECIMALS, RETRIEVAL_LIMIT
 from docweave.functions.text import terms
 from docweave.functions.vectors import cosine, dot, norm
-from docweave.plans.sizing import maybe_broadcast, vector_row_bytes
+from docweave.operators.sliced_search import SLICE_ROWS, large_documents, sliced_top_k
+from docweave.plans.sizing import fits, maybe_broadcast, vector_row_bytes
 
 
 def _query_side(queries: DataFrame, row_bound: int | None, dim: int | None) -> DataFrame:
@@ -26,6 +29,22 @@ def _query_side(queries: DataFrame, row_bound: int | None, dim: int | None) -> D
     return maybe_broadcast(q, row_bound, vector_row_bytes(dim or 1536))
 
 
+def _large_apart(queries: DataFrame, index: DataFrame, limit: int, query_rows: int | None, dim: int | None,
+                 by_cosine: bool, slice_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """(hits in large documents, index of the others) when the questions are known to be too many to broadcast.
+
+    Else, and without large documents, (None, index).
+    """
+    if query_rows is None or dim is None or fits(query_rows, vector_row_bytes(dim)):
+        return None, index
+    large = large_documents(index, slice_rows)
+    count = large.count()
+    if not count:
+        return None, index
+    hits, _, _ = sliced_top_k(queries, index, large, limit, dim, by_cosine, slice_rows)
+    return hits, index.join(maybe_broadcast(large.select("name"), count, 64), "name", "left_anti")
+
+
 def _top(scored: DataFrame, limit: int, order) -> DataFrame:
     w = Window.partitionBy("request_id").orderBy(*order)
     return (scored.withColumn("_rn", F.row_number().over(w))
@@ -35,29 +54,41 @@ def _top(scored: DataFrame, limit: int, order) -> DataFrame:
 
 def top_k_inner_product(queries: DataFrame, index: DataFrame, limit: int = RETRIEVAL_LIMIT,
                         query_rows: int | None = None, dim: int | None = None,
-                        carry: tuple[str, ...] = ()) -> DataFrame:
+                        carry: tuple[str, ...] = (), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """R1. For each query (request_id, name, embedding), the ``limit`` fragments of
     the same document with the largest inner product, ``rank`` from 0.
 
     Ranked by the raw score up to ``RANK_DECIMALS``; ties go to the lower pos.
     """
+    large, others = _large_apart(queries, index, limit, query_rows, dim, False, slice_rows)
     q = _query_side(queries, query_rows, dim)
-    docs = index.select("name", "pos", F.col("embedding").alias("_d"), *carry)
+    docs = others.select("name", "pos", F.col("embedding").alias("_d"), *carry)
     scored = docs.join(q, "name").select(
         "request_id", "name", "pos", *carry, F.round(dot(F.col("_q"), F.col("_d")), RANK_DECIMALS).alias("score"))
+    if large is not None:
+        scored = scored.unionByName(_carried(large, index, carry))
     return _top(scored, limit, [F.desc("score"), F.asc("pos")])
 
 
+def _carried(hits: DataFrame, index: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Hits with columns of their fragments, which are read for the hits alone."""
+    return hits.join(index.select("name", "pos", *carry), ["name", "pos"]) if carry else hits
+
+
 def top_k_cosine(queries: DataFrame, index: DataFrame, limit: int = RETRIEVAL_LIMIT,
                  query_rows: int | None = None, dim: int | None = None,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
+                 carry: tuple[str, ...] = (), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """R2. Same as R1 ranked by cosine distance ascending; NULL distances
     (a zero vector on either side) rank last."""
+    large, others = _large_apart(queries, index, limit, query_rows, dim, True, slice_rows)
     q = _query_side(queries, query_rows, dim).withColumn("_qn", norm(F.col("_q")))
-    docs = index.select("name", "pos", F.col("embedding").alias("_d"), *carry)
+    docs = others.select("name", "pos", F.col("embedding").alias("_d"), *carry)
     scored = docs.join(q, "name").select(
         "request_id", "name", "pos", *carry,
         F.round(F.lit(1.0) - cosine(F.col("_q"), F.col("_d"), F.col("_qn")), RANK_DECIMALS).alias("distance"))
+    if large is not None:
+        found = large.withColumn("distance", F.round(F.lit(1.0) - F.col("score"), RANK_DECIMALS)).drop("score")
+        scored = scored.unionByName(_carried(found, index, carry))
     return _top(scored, limit, [F.asc_nulls_last("distance"), F.asc("pos")])
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docweave.constants import RESERVE_TOKENS
 from docweave.functions.text import token_count
 from docweave.functions.vectors import exploded, let
+from docweave.operators.packing import pack_large
 from docweave.plans.scan import running_total
+from docweave.plans.sizing import NAME_BYTES, materialize, maybe_broadcast
 
 
 def _batch_ends(tokens: Column, limit: int) -> Column:
@@ -78,19 +80,29 @@ def document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TO
     return rows.select("name", "_b.*")
 
 
-def pack_batches(fragments: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS) -> DataFrame:
+def pack_batches(fragments: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS,
+                 fold_rows: int | None = None) -> DataFrame:
     """T2 on a fragments table (name, pos, text, n_tokens).
 
-    Regroups each document (no larger than its source row) and folds it in
-    position order.
+    Regroups each document and folds it in position order.  With ``fold_rows``
+    the documents are counted first, and those with more fragments are packed
+    by pointer doubling over many tasks (``packing``).
     """
     limit = max_tokens - reserve
+    if fold_rows is not None:
+        counts = fragments.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+        large = materialize(counts.filter(F.col("_n") > fold_rows).select("name"), "pack-large")
+        many = large.count()
+        if many:
+            names = maybe_broadcast(large, many, NAME_BYTES)
+            return pack_batches(fragments.join(names, "name", "left_anti"), max_tokens, reserve).unionByName(
+                pack_large(fragments.join(names, "name", "left_semi"), limit))
     grouped = fragments.groupBy("name").agg(
         F.array_sort(F.collect_list(F.struct("pos", "n_tokens"))).alias("_items"))
     ids = let(_batch_ends(F.transform(F.col("_items"), lambda x: x["n_tokens"]), limit),
               lambda ends: batch_ids(ends, F.size("_items")))
-    batches = grouped.select("name", F.explode(F.arrays_zip(
-        F.transform("_items", lambda x: x["pos"]).alias("pos"), ids.alias("batch"))).alias("_b"))
+    batches = exploded(grouped, F.arrays_zip(F.transform("_items", lambda x: x["pos"]).alias("pos"),
+                                             ids.alias("batch")), "_i", "_b", "name")
     return fragments.join(batches.select("name", "_b.pos", "_b.batch"), ["name", "pos"]).select(
         *fragments.columns, "batch")
 
