@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.hashing import hashed_vector
-from docweave.functions.text import terms
+from docweave.functions.text import terms, token_count
 
 
 def hashing_embedder(df: DataFrame, dim: int, text_col: str = "text",
@@ -67,24 +67,28 @@ def embed_fragments(packed: DataFrame, dim: int, embedder: Embedder | None = Non
     return packed.groupBy("name", "batch").applyInPandas(run, schema=out_schema)
 
 
-def embed_batches(batches: DataFrame, dim: int, embedder: Embedder) -> DataFrame:
-    """E1 on batch rows (name, batch, first, texts): (name, pos, text, batch, embedding), without a shuffle.
+def embed_batches(batches: DataFrame, dim: int, embedder: Embedder, keep: tuple[str, ...] = (),
+                  with_tokens: bool = False) -> DataFrame:
+    """E1 on batch rows (name, *keep, batch, first, texts): (name, *keep, pos, text, batch, embedding), without a shuffle.
 
     ``embedder(texts) -> vectors`` is called once per row, where the row is.
+    ``with_tokens`` adds the token count of each text.
     """
-    schema = T.StructType([
-        T.StructField("name", batches.schema["name"].dataType), T.StructField("pos", T.LongType()),
-        T.StructField("text", T.StringType()), T.StructField("batch", T.LongType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*[batches.schema[c] for c in ("name", *keep)], T.StructField("pos", T.LongType()),
+                           T.StructField("text", T.StringType()), T.StructField("batch", T.LongType()),
+                           T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    columns = ["batch", "first", "texts", "name", *keep]
 
     def run(frames):
         for pdf in frames:
-            for name, batch, first, texts in pdf[["name", "batch", "first", "texts"]].itertuples(index=False):
+            for batch, first, texts, *own in pdf[columns].itertuples(index=False):
                 vectors = checked(embedder(list(texts)), len(texts), dim)
-                yield pd.DataFrame({"name": name, "pos": range(first, first + len(texts)), "text": list(texts),
-                                    "batch": batch, "embedding": [np.asarray(v, dtype=np.float32) for v in vectors]})
+                yield pd.DataFrame({**dict(zip(("name", *keep), own)), "pos": range(first, first + len(texts)),
+                                    "text": list(texts), "batch": batch,
+                                    "embedding": [np.asarray(v, dtype=np.float32) for v in vectors]})
 
-    return batches.mapInPandas(run, schema)
+    found = batches.mapInPandas(run, schema)
+    return found.withColumn("n_tokens", token_count(F.col("text"))) if with_tokens else found
 
 
 def embed_query(requests: DataFrame, dim: int, embedder: Embedder | None = None,

@@ -44,10 +44,10 @@ def batch_ids(ends: Column, n: Column) -> Column:
 
 
 def pack_document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS,
-                          fragments_col: str = "fragments") -> DataFrame:
+                          fragments_col: str = "fragments", keep: tuple[str, ...] = ()) -> DataFrame:
     """T2 on the per-document form (name, fragments ARRAY<STRING>): row-wise, no shuffle.
 
-    Output (name, pos, text, n_tokens, batch).  A trailing batch exists only
+    Output (name, *keep, pos, text, n_tokens, batch).  A trailing batch exists only
     if it holds tokens; a document with no fragments yields no rows.
     """
     limit = max_tokens - reserve
@@ -56,16 +56,16 @@ def pack_document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESER
     with_ids = with_tokens.withColumn("_ids", let(
         _batch_ends(F.col("_tok"), limit), lambda ends: batch_ids(ends, F.size("_tok"))))
     rows = exploded(with_ids, F.arrays_zip(F.col(fragments_col).alias("text"), F.col("_tok").alias("n_tokens"),
-                                           F.col("_ids").alias("batch")), "pos", "_f", "name")
+                                           F.col("_ids").alias("batch")), "pos", "_f", "name", *keep)
     return rows.select(
-        "name", F.col("pos").cast("bigint").alias("pos"), F.col("_f")["text"].alias("text"),
+        "name", *keep, F.col("pos").cast("bigint").alias("pos"), F.col("_f")["text"].alias("text"),
         F.col("_f")["n_tokens"].alias("n_tokens"),
         F.col("_f")["batch"].alias("batch"))
 
 
 def document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS,
-                     fragments_col: str = "fragments") -> DataFrame:
-    """T2 as one row per batch: (name, batch, first, texts), row-wise; ``first`` is the position of texts[0]."""
+                     fragments_col: str = "fragments", keep: tuple[str, ...] = ()) -> DataFrame:
+    """T2 as one row per batch: (name, *keep, batch, first, texts), row-wise; ``first`` is the position of texts[0]."""
     tokens = F.transform(F.col(fragments_col), lambda x: token_count(x))
 
     def batches(ends: Column) -> Column:
@@ -76,8 +76,8 @@ def document_batches(docs: DataFrame, max_tokens: int, reserve: int = RESERVE_TO
                             F.slice(fragments_col, first + 1, upto - first).alias("texts"))
         return F.filter(F.transform(F.sequence(F.lit(0), F.size(ends)), one), lambda b: F.size(b["texts"]) > 0)
 
-    rows = exploded(docs, let(_batch_ends(tokens, max_tokens - reserve), batches), "_i", "_b", "name")
-    return rows.select("name", "_b.*")
+    rows = exploded(docs, let(_batch_ends(tokens, max_tokens - reserve), batches), "_i", "_b", "name", *keep)
+    return rows.select("name", *keep, "_b.*")
 
 
 def pack_batches(fragments: DataFrame, max_tokens: int, reserve: int = RESERVE_TOKENS,

@@ -4,12 +4,16 @@ Layout: ``name, pos, text, embedding, shard``; batch writes, the stream, clear
 and reindex all use it.  The number of shards and the schema are stored beside
 the table (``<path>_layout``) when it is created, so readers and writers cannot
 disagree and an index without rows can be read.
-Reading a few names prunes to their shards, and files are sorted by (name, pos).
-
-Writing continues the positions of names that are already stored.  Changes are
-committed by staging the new rows of the touched shards and overwriting just
-those partitions; shards left empty are removed.  The names of an index are
-the names of its rows: a cleared document is unknown at once and can come back.
+Reading a few names prunes to their shards; files are sorted by (name, pos) and
+carry a bloom filter on ``name``, so few row groups of a shard are opened.
+
+Writing continues the positions of names that are already stored; an append
+with a ``write_id`` can be repeated after any failure and adds its rows once.
+Every other change is staged whole, announced in ``<path>_pending`` and then
+applied: whoever opens the index next finishes a change that was cut off, so
+rows and layout always fit together.  Shards left empty are removed.  The
+names of an index are the names of its rows: a cleared document is unknown at
+once and can come back.
 """
 
 from __future__ import annotations
@@ -26,15 +30,18 @@ from docweave.session import checkpoint_dir
 
 DEFAULT_SHARDS = 64
 
+# Files of the index say which names they may hold.
+NAME_BLOOM = {"parquet.bloom.filter.enabled#name": "true", "parquet.bloom.filter.max.bytes": str(1 << 16)}
+
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists; a storage error is raised, not taken for absence."""
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     return bool(fs.exists(jpath))
 
 
@@ -42,10 +49,82 @@ def layout_path(path: str) -> str:
     return path.rstrip("/") + "_layout"
 
 
+def pending_path(path: str) -> str:
+    return path.rstrip("/") + "_pending"
+
+
+def writes_path(path: str) -> str:
+    return path.rstrip("/") + "_writes"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = file_system(spark, path)
+    fs.delete(jpath, True)
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole or not at all (written beside, then renamed)."""
+    fs, target = file_system(spark, path)
+    _, part = file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if not fs.rename(part, target):
+        fs.delete(part, True)
+        if not fs.exists(target):
+            raise OSError(f"cannot write {path}")
+
+
+def small_file(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    if not path_exists(spark, path):
+        return None
+    return "\n".join(r["value"] for r in spark.read.text(path).collect())
+
+
 def index_exists(spark: SparkSession, path: str) -> bool:
+    finish_pending(spark, path)
     return path_exists(spark, layout_path(path))
 
 
+def _write_layout(spark: SparkSession, path: str, shards: int, schema: str) -> None:
+    (spark.createDataFrame([(shards, schema)], "shards int, schema string").coalesce(1)
+     .write.mode("overwrite").parquet(layout_path(path)))
+
+
+def finish_pending(spark: SparkSession, path: str) -> None:
+    """Applies a change that was announced but not finished; nothing to do otherwise.
+
+    Every step can be repeated: the staged rows of the touched shards replace
+    what is stored, shards without rows go, the layout is written, and only then
+    the announcement and the staged copy are removed.
+    """
+    told = small_file(spark, pending_path(path))
+    if told is None:
+        return
+    change = json.loads(told)
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(change["schema"]))).parquet(change["stage"])
+    mode = "static" if change["shards"] is None else "dynamic"
+    (_for_write(rows).write.mode("overwrite").options(partitionOverwriteMode=mode, **NAME_BLOOM)
+     .partitionBy("shard").parquet(path))
+    if change["shards"] is not None:
+        kept = {r["shard"] for r in rows.select("shard").distinct().collect()}  # at most the layout's shards
+        for shard in set(change["shards"]) - kept:
+            _delete(spark, f"{path.rstrip('/')}/shard={shard}")
+    _write_layout(spark, path, change["count"], change["schema"])
+    _delete(spark, pending_path(path))
+    _delete(spark, change["stage"])
+
+
+def _change(spark: SparkSession, path: str, rows: DataFrame, shards: list[int] | None, count: int) -> None:
+    """Replaces the rows of ``shards`` (all for None) by ``rows``, which have a ``shard``, in an index of ``count`` shards."""
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/index-stage-{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").parquet(stage)
+    _put(spark, pending_path(path), json.dumps(
+        {"stage": stage, "shards": shards, "count": count, "schema": rows.schema.json()}))
+    finish_pending(spark, path)
+
+
 def stored_shards(spark: SparkSession, path: str) -> int:
     """Number of shards the index was created with."""
     return spark.read.parquet(layout_path(path)).select("shards").first()[0]
@@ -53,6 +132,7 @@ def stored_shards(spark: SparkSession, path: str) -> int:
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the index (``shard`` is the last column)."""
+    finish_pending(spark, path)
     schema = T.StructType.fromJson(json.loads(spark.read.parquet(layout_path(path)).select("schema").first()[0]))
     return spark.read.schema(schema).parquet(path)
 
@@ -66,10 +146,9 @@ def open_index(spark: SparkSession, path: str, schema: T.StructType, shards: int
         return stored
     count = shards or DEFAULT_SHARDS
     fields = [f for f in schema.fields if f.name != "shard"] + [T.StructField("shard", T.IntegerType())]
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     fs.mkdirs(jpath)
-    (spark.createDataFrame([(count, T.StructType(fields).json())], "shards int, schema string").coalesce(1)
-     .write.mode("overwrite").parquet(layout_path(path)))
+    _write_layout(spark, path, count, T.StructType(fields).json())
     return count
 
 
@@ -86,26 +165,47 @@ def _for_write(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "shard").sortWithinPartitions("shard", "name", "pos")
 
 
-def write_index(df: DataFrame, path: str, shards: int | None = None, mode: str = "append") -> None:
+def write_index(df: DataFrame, path: str, shards: int | None = None, mode: str = "append",
+                write_id: str | None = None) -> None:
     """S4 (storage). Append rows (name, pos, text, embedding), or overwrite the index with them.
 
     Appended rows of a name that is stored already are numbered after its
     stored ones, in the order of their ``pos``.  ``shards`` counts when the index is
-    created; later it may be left out, and a different value raises.
+    created; later it may be left out, and a different value raises, but an
+    overwrite may choose anew.  An append with a ``write_id`` that was finished
+    does nothing, and one that was cut off adds what is missing: its rows are
+    staged with their final positions before the first is stored.
     """
     spark = df.sparkSession
-    if mode == "overwrite" and index_exists(spark, path):
-        fs, layout = _file_system(spark, layout_path(path))
-        fs.delete(layout, True)
+    if mode == "overwrite":
+        count = shards or DEFAULT_SHARDS
+        finish_pending(spark, path)
+        _change(spark, path, with_shard(df.drop("shard"), count), None, count)
+        return
     count = open_index(spark, path, df.schema, shards)
-    rows = with_shard(df, count)
-    if mode == "append":
+    done = f"{writes_path(path)}/{write_id}.done"
+    if write_id is not None and path_exists(spark, done):
+        return
+    columns = stored_rows(spark, path).columns
+    staged = f"{writes_path(path)}/{write_id}.rows"
+    if write_id is not None and path_exists(spark, f"{staged}/_SUCCESS"):
+        rows = spark.read.schema(stored_rows(spark, path).schema).parquet(staged)
+        seen = stored_rows(spark, path).select("shard", "name", "pos").join(
+            rows.select("shard", "name").distinct(), ["shard", "name"], "left_semi")
+        rows = rows.join(seen, ["shard", "name", "pos"], "left_anti").select(*columns)
+    else:
+        rows = with_shard(df, count)
         starts = (stored_rows(spark, path).join(rows.select("shard", "name").distinct(), ["shard", "name"], "left_semi")
                   .groupBy("name").agg((F.max("pos") + 1).alias("_start")))
         rows = (rows.join(starts, "name", "left")
                 .withColumn("pos", F.col("pos") + F.coalesce("_start", F.lit(0))).drop("_start"))
-    options = {"partitionOverwriteMode": "static"} if mode == "overwrite" else {}
-    _for_write(rows).write.mode(mode).options(**options).partitionBy("shard").parquet(path)
+        if write_id is not None:
+            rows.select(*columns).write.mode("overwrite").parquet(staged)
+            rows = spark.read.schema(stored_rows(spark, path).schema).parquet(staged)
+    _for_write(rows).write.mode("append").options(**NAME_BLOOM).partitionBy("shard").parquet(path)
+    if write_id is not None:
+        _put(spark, done, "")
+        _delete(spark, staged)
 
 
 def read_index(spark: SparkSession, path: str, names=None) -> DataFrame:
@@ -169,17 +269,7 @@ def commit_index(spark: SparkSession, changed: DataFrame, path: str, touched_nam
     touched = [r["shard"] for r in touched_names.select(
         shard_of(F.col("name"), shards).alias("shard")).distinct().collect()]
     rows = with_shard(changed.drop("shard"), shards).filter(F.col("shard").isin(touched))
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/index-stage-{uuid.uuid4().hex}"
-    rows.write.mode("overwrite").parquet(stage)
-    staged = spark.read.schema(rows.schema).parquet(stage)
-    (_for_write(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("shard").parquet(path))
-    kept = {r["shard"] for r in staged.select("shard").distinct().collect()}
-    for shard in set(touched) - kept:
-        fs, folder = _file_system(spark, f"{path.rstrip('/')}/shard={shard}")
-        fs.delete(folder, True)
-    fs, staged_folder = _file_system(spark, stage)
-    fs.delete(staged_folder, True)
+    _change(spark, path, rows.select(*stored_rows(spark, path).columns), touched, shards)
 
 
 def clear_names(spark: SparkSession, path: str, names: DataFrame) -> None:

@@ -105,3 +105,62 @@ def test_dedupe_stream(spark, tmp_path):
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert spark.sql("SELECT count(*) AS n FROM dedupe_out").collect()[0].n == 2
+
+
+def test_folders_fed_at_the_same_time_give_each_document_once(spark, tmp_path):
+    """Two live queries and one over both folders, all into one index at once."""
+    docs = [r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").orderBy("doc_id").collect()]
+    index = str(tmp_path / "index")
+    drop(docs[:60], str(tmp_path / "a"), "a")
+    drop(docs[30:90], str(tmp_path / "b"), "b")
+    queries = [ingest_stream(spark, src, index, str(tmp_path / f"ck-{k}"), HASH_DIM, shards=8, files_per_batch=25)
+               for k, src in enumerate([str(tmp_path / "a"), str(tmp_path / "b"),
+                                        [str(tmp_path / "a"), str(tmp_path / "b")]])]
+    for q in queries:
+        q.awaitTermination(300)
+        assert q.exception() is None
+    stored = spark.read.parquet(index)
+    assert len(names_of(stored)) == distinct_contents(spark, docs[:90])
+    assert stored.groupBy("name", "pos").count().filter("count > 1").count() == 0
+    assert not os.path.exists(index + "_lock")
+
+
+def test_a_lock_left_by_a_crash(spark, tmp_path):
+    from docweave.streaming.ingest import index_lock, release_lock
+    index = str(tmp_path / "index")
+    with open(index + "_lock", "w") as fh:
+        fh.write("me")
+    with index_lock(spark, index, "me", 1):
+        with pytest.raises(TimeoutError, match="locked by me"):
+            with index_lock(spark, index, "you", 0.5):
+                pass
+    with open(index + "_lock", "w") as fh:
+        fh.write("me")
+    release_lock(spark, index)
+    with index_lock(spark, index, "you", 1):
+        pass
+
+
+def test_a_backlog_uses_more_tasks_than_shards_and_stores_uri_and_tokens(spark, tmp_path):
+    from docweave.functions.text import token_count
+    from docweave.operators.embedding import python_hashing_embedder
+    from docweave.operators.language import language_profiles
+    from docweave.streaming.ingest import ingest_batch, ingest_report, documents_from_files
+    drop([f"line {i} of this text\n{'word ' * 300}\nend {i}" for i in range(2000)], str(tmp_path / "in"), "x")
+    index = str(tmp_path / "index")
+    files = documents_from_files(spark.read.format("text").option("wholetext", True).load(str(tmp_path / "in")))
+    profiles = language_profiles(spark.read.parquet(f"{SMOKE}/documents.parquet"))
+    ingest_batch(files, index, HASH_DIM, shards=4, profiles=profiles, task_bytes=20_000, max_tokens=1324)
+    written = [f for _, _, fs in os.walk(index) for f in fs if f.endswith(".parquet")]
+    assert len({f.split("-")[1] for f in written}) > 40  # writing tasks, for 4 shards
+    stored = spark.read.parquet(index)
+    assert stored.select("name").distinct().count() == 2000 and stored.count() == 6000
+    assert stored.filter(F.col("n_tokens") != token_count(F.col("text"))).count() == 0
+    assert stored.filter(~F.col("uri").rlike("^[0-9a-f]{32}/(en|fr|de|es)$") | F.col("source").isNull()).count() == 0
+    report = ingest_report(read_index(spark, index))
+    assert report.agg(F.sum("fragments")).first()[0] == 6000 and report.filter("cost <= 0").count() == 0
+    other = str(tmp_path / "other")
+    ingest_batch(files, other, HASH_DIM, shards=4, max_tokens=1324, embedder=python_hashing_embedder(HASH_DIM))
+    key = lambda p: sorted((r.name, r.pos, r.batch, r.n_tokens, [round(x, 6) for x in r.embedding])
+                           for r in read_index(spark, p).collect())
+    assert key(other) == key(index)
