@@ -42,7 +42,7 @@ def ends_sentence(text: Column) -> Column:
     return F.substring(text, -1, 1).isin(SENTENCE_CLOSERS)
 
 
-def reflow_lines(lines: DataFrame, doc_positions: bool = True, chunked: bool = False) -> DataFrame:
+def reflow_lines(lines: DataFrame, doc_positions: bool = True) -> DataFrame:
     """F2. Glue extracted lines of a page until one ends a sentence; flush at page end.
 
     Input (name, page, pos, text).  Lines are trimmed and blank ones dropped,
@@ -50,23 +50,21 @@ def reflow_lines(lines: DataFrame, doc_positions: bool = True, chunked: bool = F
     ``pos`` numbers the sentences of the whole document from 0 (or of the page
     when ``doc_positions`` is False).  Input ``pos`` numbers lines within a
     page.  The sentence id is the running count of sentence ends on earlier
-    lines of the page: one window per page (a page is bounded by what an
-    extractor returns for one page), or with ``chunked=True`` a chunked
-    running total for inputs whose "pages" may be arbitrarily large.
-    Document numbering runs over the small per-page counts.
+    lines of the page, taken in chunks, so a page may be of any size; a
+    sentence's lines are glued chunk by chunk and its pieces stitched where it
+    crosses a border.  Document numbering runs over the small per-page counts.
     """
-    clean = (lines.withColumn("text", strip_ws(F.col("text")))
+    clean = (lines.select("name", "page", "pos", strip_ws(F.col("text")).alias("text"))
              .filter(F.col("text") != ""))
     ends = ends_sentence(F.col("text")).cast("bigint")
-    if chunked:
-        flagged = running_total(clean, ["name", "page"], "pos", ends, "sentence")
-    else:
-        w = (Window.partitionBy("name", "page").orderBy("pos")
-             .rowsBetween(Window.unboundedPreceding, -1))
-        flagged = clean.withColumn("sentence", F.coalesce(F.sum(ends).over(w), F.lit(0)))
-    sentences = flagged.groupBy("name", "page", "sentence").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
-                                 lambda x: x["text"]), "").alias("text"))
+    flagged = running_total(clean, ["name", "page"], "pos", ends, "sentence", keep_chunk=True)
+
+    def glued(order: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))),
+                                        lambda x: x["text"]), "").alias("text")
+
+    pieces = flagged.groupBy("name", "page", "sentence", "_chunk").agg(glued("pos"))
+    sentences = pieces.groupBy("name", "page", "sentence").agg(glued("_chunk"))
     if not doc_positions:
         return sentences.withColumnRenamed("sentence", "pos")
     per_page = sentences.groupBy("name", "page").agg(F.count(F.lit(1)).alias("_n"))

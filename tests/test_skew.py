@@ -60,3 +60,38 @@ def test_chunked_running_total_matches_window(spark):
     a = sorted(tuple(r) for r in chunked.select("k", "o", "before").collect())
     b = sorted(tuple(r) for r in plain.select("k", "o", "before").collect())
     assert a == b
+
+
+def test_a_hot_turn_of_many_lines_is_cut_by_all_order_columns(spark):
+    from docweave.plans.scan import chunked
+    hot = spark.range(0, 200_000, 1, 4).select(F.lit(1).alias("name"), F.lit(7).alias("turn"), F.col("id").alias("line"))
+    cold = spark.range(500).select((2 + F.col("id") % 9).cast("int").alias("name"), F.lit(0).alias("turn"),
+                                   (F.col("id") * 5).alias("line"))
+    parts = chunked(hot.unionByName(cold), ["name"], ["turn", "line"])
+    sizes = [r["count"] for r in parts.filter("name = 1").groupBy("_chunk").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 20_000
+    out = dense_positions(hot.unionByName(cold), "name", "turn", extra_order=["line"])
+    assert out.filter("name = 1 AND pos <> line").count() == 0
+    seen = out.filter("name > 1").groupBy("name").agg(F.min("pos").alias("a"), F.max("pos").alias("b"),
+                                                      F.countDistinct("pos").alias("n")).collect()
+    assert all(r.a == 0 and r.b == r.n - 1 for r in seen)
+
+
+def test_sentences_across_chunk_borders_are_stitched(spark, monkeypatch):
+    from docweave.operators import fragments
+    from docweave.plans import scan
+    real = scan.running_total
+    monkeypatch.setattr(fragments, "running_total", lambda *a, **k: real(*a, chunk_rows=17, **k))
+    lines, want, glued = [], [], ""
+    for i in range(900):
+        text = f"l{i}." if i % 31 == 30 or i > 850 else f"l{i}"
+        lines.append(("d", 3, i, f" {text} "))
+        glued += text
+        if text.endswith("."):
+            want.append(glued)
+            glued = ""
+    lines += [("d", 4, 0, "next page"), ("e", 3, 5, "other")]
+    df = spark.createDataFrame(lines, "name string, page long, pos long, text string").repartition(4)
+    got = fragments.reflow_lines(df).orderBy("name", "pos").collect()
+    assert [r.text for r in got] == [*want, "next page", "other"]
+    assert [r.pos for r in got] == [*range(len(want) + 1), 0]
