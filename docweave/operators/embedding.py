@@ -137,8 +137,3 @@ def python_hashing_embedder(dim: int) -> Embedder:
 def check_dimension(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     """E4. Flag rows whose vector length is not ``dim`` (``valid`` column)."""
     return df.withColumn("valid", F.coalesce(F.size(F.col(col)) == dim, F.lit(False)))
-
-
-def split_by_dimension(df: DataFrame, dim: int, col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    flagged = check_dimension(df, dim, col)
-    return (flagged.filter("valid").drop("valid"), flagged.filter(~F.col("valid")).drop("valid"))

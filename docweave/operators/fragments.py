@@ -119,6 +119,14 @@ def numbered_list(df: DataFrame, key: str, rank: str = "rank", text: str = "labe
     return df.groupBy(key).agg(joined.alias(out), F.count(F.lit(1)).cast("bigint").alias("n_items"))
 
 
+def numbered_document(docs: DataFrame, fragments_col: str = "fragments", out: str = "numbered") -> DataFrame:
+    """F10 of whole documents (name, fragments): the numbered list of all labels, on the document's row."""
+    lines = F.transform(fragments_col, lambda x, i: F.concat(
+        i.cast("string"), F.lit(". "), label_paragraph(i, x)))
+    return docs.filter(F.size(fragments_col) > 0).select(
+        "name", F.array_join(lines, "\n").alias(out), F.size(fragments_col).cast("bigint").alias("n_items"))
+
+
 def preview(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     """F11. First ``n`` rows per group (partial top-k before the shuffle)."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.text import strip_ws
+from docweave.functions.text import strip_ws, token_count
 from docweave.functions.vectors import exploded
+from docweave.plans.scan import dense_positions, running_total
+from docweave.plans.sizing import materialize
+from docweave.sources.index import path_exists
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
@@ -99,6 +102,52 @@ def complete(prompts: DataFrame, key: str, fn: ChatFn, model: str) -> DataFrame:
     return prompts.select(key, "messages").mapInPandas(run, out_schema)
 
 
+def complete_stored(prompts: DataFrame, key: str, fn: ChatFn, model: str, path: str, batch_tokens: int = 50_000,
+                    batch_prompts: int = 200, wave_batches: int = 64) -> DataFrame:
+    """P4 that can be repeated: ``complete`` with every reply kept in the folder ``path``.
+
+    A request is its messages and the model; equal ones are asked once.  Those
+    without a stored reply are cut into batches of about ``batch_tokens`` tokens
+    and at most ``batch_prompts`` requests, one call of ``fn`` and one task each.
+    Batches run in waves of ``wave_batches``, and a wave's replies are stored
+    before the next starts: after a failure a repeated call pays again only for
+    the wave that was open, and a lost task only for its batch.
+    """
+    spark = prompts.sparkSession
+    request = F.sha2(F.concat_ws("\x00", F.lit(model), F.to_json("messages")), 256)
+    asked = prompts.select(key, request.alias("request"), "messages")
+    schema = T.StructType([T.StructField("request", T.StringType()), *COMPLETION_SCHEMA.fields])
+    replies = f"{path.rstrip('/')}/replies"
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(replies) if path_exists(spark, replies) else \
+            spark.createDataFrame([], schema)
+
+    tokens = F.aggregate("messages", F.lit(0).cast("bigint"), lambda n, m: n + token_count(m["content"]))
+    open_ = (asked.groupBy("request").agg(F.first("messages").alias("messages")).join(stored(), "request", "left_anti")
+             .withColumn("weight", F.greatest(tokens, F.lit(-(-batch_tokens // batch_prompts)))))
+    batched = running_total(open_, [], "request", F.col("weight"), "before").select(
+        "request", "messages", F.floor(F.col("before") / batch_tokens).alias("batch"))
+    batched = materialize(batched, "open-requests")
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        results = fn([[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf["messages"]])
+        if len(results) != len(pdf):
+            raise ValueError(f"the model function must return {len(pdf)} replies")
+        return pd.DataFrame({"request": pdf["request"].values, "reply": [r[0].strip() for r in results],
+                             "prompt_tokens": [int(r[1]) for r in results],
+                             "completion_tokens": [int(r[2]) for r in results]})
+
+    last = batched.agg(F.max("batch")).first()[0]
+    for first in range(0, 0 if last is None else last + 1, wave_batches):
+        wave = batched.filter(F.col("batch").between(first, first + wave_batches - 1))
+        wave.groupBy("batch").applyInPandas(call, schema).write.mode("append").parquet(replies)
+    # A reply stored twice (a wave whose store was announced as failed) counts once.
+    known = stored().dropDuplicates(["request"])
+    return asked.drop("messages").join(known, "request").select(
+        key, F.lit(model).alias("model"), "reply", "prompt_tokens", "completion_tokens")
+
+
 def assemble_stream(chunks: DataFrame, key: str = "reply_id", seq: str = "seq",
                     delta: str = "delta") -> DataFrame:
     """P5. Ordered chunks -> one trimmed string per reply; NULL chunks skipped.
@@ -113,14 +162,17 @@ def assemble_stream(chunks: DataFrame, key: str = "reply_id", seq: str = "seq",
 def chat_pairs(conversations: DataFrame) -> DataFrame:
     """P6. (conv_id, turn, question, answer): a user turn directly followed by an assistant turn.
 
-    Turns are numbered densely from 0, so "next turn" is an equi-join on
-    (conv_id, turn + 1): no window over a conversation, no hot-group task.
+    Turn numbers may have gaps: turns are ranked first, in chunks, so that "next
+    turn" is an equi-join on (conv_id, rank + 1) without a window over a whole
+    conversation.  Of turns with one number the order is that of role and text.
     """
-    users = conversations.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("question"))
-    replies = conversations.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return users.join(replies, ["conv_id", "turn"])
+    ranked = materialize(dense_positions(conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn",
+                                         out="_n", extra_order=["role", "text"]), "ranked-turns")
+    users = ranked.filter(F.col("role") == "user").select(
+        "conv_id", "turn", "_n", F.col("text").alias("question"))
+    replies = ranked.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("_n") - 1).alias("_n"), F.col("text").alias("answer"))
+    return users.join(replies, ["conv_id", "_n"]).drop("_n")
 
 
 def clean_queries(requests: DataFrame) -> DataFrame:

@@ -92,9 +92,12 @@ def top_k_cosine(queries: DataFrame, index: DataFrame, limit: int = RETRIEVAL_LI
     return _top(scored, limit, [F.asc_nulls_last("distance"), F.asc("pos")])
 
 
-def fetch_fragments(hits: DataFrame, fragments: DataFrame) -> DataFrame:
-    """R4. Attach text to hits by (name, pos); hits without a fragment are dropped."""
-    return hits.join(fragments.select("name", "pos", "text"), ["name", "pos"])
+def fetch_fragments(hits: DataFrame, fragments: DataFrame, hit_rows: int | None = None) -> DataFrame:
+    """R4. Attach text to hits by (name, pos); hits without a fragment are dropped.
+
+    Hits of a known small number go to the fragments, which then stay where they are.
+    """
+    return fragments.select("name", "pos", "text").join(maybe_broadcast(hits, hit_rows, 96), ["name", "pos"])
 
 
 def indexed_names(index: DataFrame) -> DataFrame:

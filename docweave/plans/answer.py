@@ -16,10 +16,10 @@ from docweave.constants import (
 from docweave.functions.text import token_count
 from docweave.operators.embedding import embed_query, hashing_embedder
 from docweave.operators.fragments import label_paragraph, numbered_list
-from docweave.operators.retrieval import extract_keywords, top_k_cosine, top_k_inner_product
+from docweave.operators.retrieval import extract_keywords, fetch_fragments, top_k_cosine, top_k_inner_product
 from docweave.operators.summary import document_frequency, idf
 from docweave.operators.tokens import cut_to_budget
-from docweave.plans.sizing import NAME_BYTES, maybe_broadcast
+from docweave.plans.sizing import NAME_BYTES, materialize, maybe_broadcast
 
 
 def context_budget(model: str = DEFAULT_CHAT_MODEL) -> int:
@@ -41,11 +41,13 @@ def answer_hits(requests: DataFrame, fragments: DataFrame, dim: int,
     asked = maybe_broadcast(requests.select("name").distinct(), request_rows, NAME_BYTES)
     fragments = fragments.join(asked, "name", "left_semi")
     idf_table = idf(document_frequency(fragments), fragments, request_rows)
-    keywords = extract_keywords(requests, idf_table, k)
+    # One row for each question: stored, as both the search and the result need it.
+    keywords = materialize(extract_keywords(requests, idf_table, k), "keywords")
     query_vectors = embed_query(keywords, dim).select("request_id", "name", "embedding")
     index = hashing_embedder(fragments, dim)
     search = top_k_cosine if cosine else top_k_inner_product
-    hits = search(query_vectors, index, limit, request_rows, dim, carry=("text",))
+    best = search(query_vectors, index, limit, request_rows, dim)
+    hits = fetch_fragments(best, fragments, None if request_rows is None else request_rows * limit)
     labelled = (hits.withColumn("label", label_paragraph(F.col("pos"), F.col("text")))
                 .withColumn("n_tokens", token_count(F.col("label"))))
     return keywords, labelled

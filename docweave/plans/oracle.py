@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.constants import HASH_DIM, RANK_DECIMALS, RETRIEVAL_LIMIT
+from docweave.constants import DEFAULT_DIMENSIONS, HASH_DIM, RANK_DECIMALS, RETRIEVAL_LIMIT
 from docweave.plans.answer import context_budget
 from docweave.plans.oracle_parts import (
     DOCS, NL, REQUESTS_CTE, clean_lines, fragments_cte, sparse_vectors_cte, terms, tokens,
@@ -21,6 +21,10 @@ ORACLE["hashing_embedder"] = f"""WITH {fragments_cte(DOCS)},
 {sparse_vectors_cte('frag', 'name, pos', 'text', 'fv')}
 SELECT name, pos, b, round(CAST(v AS DOUBLE), 6) AS v FROM fv"""
 
+ORACLE["hashing_embedder_wide"] = f"""WITH {fragments_cte(DOCS)},
+{sparse_vectors_cte('frag', 'name, pos', 'text', 'fv', DEFAULT_DIMENSIONS)}
+SELECT name, pos, b, round(CAST(v AS DOUBLE), 6) AS v FROM fv"""
+
 # Keywords: all question terms in the target document's vocabulary by tf * idf; a question with
 # none keeps its own terms by tf.  Every question has a row.
 KEYWORDS_CTES = f"""{REQUESTS_CTE},
@@ -419,6 +423,7 @@ SELECT conv_id AS reply_id, {strip("string_agg(text, '' ORDER BY turn)")} AS rep
 FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"""
 
 ORACLE["chat_pairs"] = """
-SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'"""
+SELECT conv_id, turn, text AS question, next_text AS answer FROM (
+  SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+WHERE role = 'user' AND next_role = 'assistant'"""

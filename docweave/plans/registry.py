@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 import uuid
 
 from docweave.constants import (
-    CONSOLE_PREVIEW, DEFAULT_CHAT_MODEL, DEFAULT_EMBEDDING_MODEL, HASH_DIM,
-    PACK_MAX_TOKENS,
+    CONSOLE_PREVIEW, DEFAULT_CHAT_MODEL, DEFAULT_DIMENSIONS, DEFAULT_EMBEDDING_MODEL, HASH_DIM,
+    PACK_MAX_TOKENS, RETRIEVAL_LIMIT,
 )
-from docweave.functions.text import token_count
+from docweave.functions.hashing import sparse_unit
+from docweave.functions.text import strip_ws, terms, token_count
 from docweave.functions.vectors import exploded
 from docweave.operators import prompts as P
 from docweave.operators.cost import chat_cost, embedding_cost, embedding_cost_totals, model_catalog
@@ -29,7 +30,7 @@ from docweave.operators.embedding import (
     check_dimension, embed_batches, hashing_embedder, python_hashing_embedder,
 )
 from docweave.operators.fragments import (
-    fragment_arrays, label_paragraphs, numbered_list, paragraph_fragments, preview, reflow_lines,
+    fragment_arrays, label_paragraphs, numbered_document, paragraph_fragments, preview, reflow_lines,
     rejected_documents, split_fragments,
 )
 from docweave.operators.identity import content_id_of_text, make_uri, parse_uri
@@ -117,6 +118,15 @@ def q_hashing_embedder(spark, sf):
     return sparse_rows(hashing_embedder(doc_fragments(spark, sf), HASH_DIM), ["name", "pos"])
 
 
+@register
+def q_hashing_embedder_wide(spark, sf):
+    """The embedder at the width of the embedding models; vectors stay sparse, so the width costs nothing."""
+    vectors = doc_fragments(spark, sf).select("name", "pos", sparse_unit(terms(F.col("text")), DEFAULT_DIMENSIONS).alias("v"))
+    entries = F.arrays_zip(F.col("v.index").alias("b"), F.col("v.value").alias("v"))
+    return exploded(vectors, entries, "_i", "e", "name", "pos").select(
+        "name", "pos", "e.b", F.round(F.col("e.v").cast("double"), 6).alias("v"))
+
+
 # ---------------------------------------------------------------- pipelines
 
 
@@ -140,13 +150,10 @@ def labelled_names(spark, sf) -> DataFrame:
     return B.table(spark, sf, "labels").select(F.col("doc_id").alias("name"))
 
 
-def labelled_index_fragments(spark, sf) -> DataFrame:
-    return doc_fragments(spark, sf).join(labelled_names(spark, sf), "name", "left_semi")
-
-
 def doc_ids(spark, sf) -> DataFrame:
+    """Fingerprint and language of every document, stored: texts are read and hashed once, whatever follows."""
     docs = B.documents(spark, sf)
-    return docs.select("doc_id", "lang", content_id_of_text(F.col("text")).alias("content_id"))
+    return materialize(docs.select("doc_id", "lang", content_id_of_text(F.col("text")).alias("content_id")), "doc-ids")
 
 
 def sif_fragments(spark, sf) -> DataFrame:
@@ -272,8 +279,7 @@ def q_label_paragraphs(spark, sf):
 
 @register
 def q_numbered_list(spark, sf):
-    labelled = label_paragraphs(doc_fragments(spark, sf))
-    return numbered_list(labelled, "name", "pos", "label")
+    return numbered_document(fragment_arrays(B.documents(spark, sf)))
 
 
 @register
@@ -401,15 +407,18 @@ def q_check_dimension(spark, sf):
 # ---------------------------------------------------------------- retrieval
 
 
-def question_hits(spark, sf) -> DataFrame:
+def question_hits(spark, sf) -> tuple[DataFrame, DataFrame, int]:
+    """Hits of every question, the stored fragments of the documents asked about, and a row bound on questions."""
     req, frags, bound = requested_fragments(spark, sf)
     queries = hashing_embedder(req, HASH_DIM, text_col="query").select("request_id", "name", "embedding")
-    return top_k_inner_product(queries, hashing_embedder(frags, HASH_DIM), query_rows=bound, dim=HASH_DIM)
+    hits = top_k_inner_product(queries, hashing_embedder(frags, HASH_DIM), query_rows=bound, dim=HASH_DIM)
+    return hits, frags, bound
 
 
 @register
 def q_top_k_inner_product(spark, sf):
-    return question_hits(spark, sf).select("request_id", "rank", "pos", F.round("score", 6).alias("score"))
+    hits, _, _ = question_hits(spark, sf)
+    return hits.select("request_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 
 @register
@@ -424,8 +433,9 @@ def q_top_k_cosine(spark, sf):
 
 @register
 def q_fetch_fragments(spark, sf):
-    hits = question_hits(spark, sf).select("request_id", "name", "rank", "pos")
-    return fetch_fragments(hits, doc_fragments(spark, sf)).select("request_id", "rank", "pos", "text")
+    hits, frags, bound = question_hits(spark, sf)
+    found = fetch_fragments(hits.select("request_id", "name", "rank", "pos"), frags, bound * RETRIEVAL_LIMIT)
+    return found.select("request_id", "rank", "pos", "text")
 
 
 @register
@@ -446,8 +456,9 @@ def q_new_documents(spark, sf):
 
 @register
 def q_unknown_documents(spark, sf):
-    return unknown_documents(B.requests(spark, sf), labelled_index_fragments(spark, sf)).select(
-        "request_id", "name")
+    docs = B.documents(spark, sf).join(labelled_names(spark, sf), "name", "left_semi")
+    held = docs.filter(strip_ws(F.col("text")) != "").select("name")  # a document is indexed if it has a fragment
+    return unknown_documents(B.requests(spark, sf), held).select("request_id", "name")
 
 
 @register

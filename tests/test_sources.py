@@ -134,3 +134,56 @@ def test_suffix_of_files_and_addresses(spark):
 def test_all_articles_are_read(spark):
     df = spark.createDataFrame([("<article>a</article><p>x</p><ARTICLE id=1>b</ARTICLE>",), ("<p>none</p>",)], "h string")
     assert [r.a for r in df.select(article_html(F.col("h")).alias("a")).collect()] == ["a\nb", ""]
+
+
+def chat_stub(folder, dies_at=None):
+    """A model function that notes every request it is asked, and dies at one."""
+    def fn(batch):
+        import os
+        import uuid
+        for messages in batch:
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as fh:
+                fh.write(messages[-1]["content"])
+        if dies_at is not None and any(m[-1]["content"] == dies_at for m in batch):
+            raise RuntimeError("the service is gone")
+        return [(f" re: {m[-1]['content']} ", 3, 2) for m in batch]
+    return fn
+
+
+def test_replies_are_kept_over_a_failure(spark, tmp_path):
+    from docweave.operators.prompts import complete_stored
+    asked = [f"question number {i % 40}" for i in range(60)]  # twenty are asked twice
+    prompts = spark.createDataFrame([(i, [{"role": "user", "content": q}]) for i, q in enumerate(asked)],
+                                    "request_id long, messages array<struct<role:string,content:string>>")
+    calls, path = tmp_path / "calls", str(tmp_path / "replies")
+    calls.mkdir()
+    settings = dict(batch_tokens=40, batch_prompts=5, wave_batches=1)
+    with pytest.raises(Exception, match="the service is gone"):
+        complete_stored(prompts, "request_id", chat_stub(str(calls), "question number 7"), "m", path, **settings)
+    done = {r.reply for r in spark.read.parquet(path + "/replies").collect()}
+    before = [f.read_text() for f in calls.iterdir()]
+    assert 0 < len(done) < 40
+    got = complete_stored(prompts, "request_id", chat_stub(str(calls)), "m", path, **settings).collect()
+    assert sorted((r.request_id, r.reply) for r in got) == [(i, f"re: {q}") for i, q in enumerate(asked)]
+    counts = {}
+    for f in calls.iterdir():
+        counts[f.read_text()] = counts.get(f.read_text(), 0) + 1
+    assert set(counts) == set(asked)
+    twice = {q for q, n in counts.items() if n > 1}
+    assert "question number 7" in twice and len(twice) <= 5  # the open batch
+    assert {q for q in before if q not in twice} == {r.removeprefix("re: ") for r in done}
+    total = len(list(calls.iterdir()))
+    complete_stored(prompts, "request_id", chat_stub(str(calls)), "m", path, **settings).collect()
+    assert len(list(calls.iterdir())) == total
+    other = complete_stored(prompts.limit(3), "request_id", chat_stub(str(calls)), "other model", path, **settings)
+    assert other.count() == 3 and len(list(calls.iterdir())) == total + 3
+
+
+def test_pairs_of_turns_with_gaps(spark):
+    from docweave.operators.prompts import chat_pairs
+    turns = [(1, 0, "user", "a"), (1, 5, "assistant", "b"), (1, 6, "user", "c"), (1, 9, "system", "d"),
+             (1, 12, "assistant", "e"), (2, 3, "assistant", "f"), (2, 4, "user", "g"), (2, 70, "user", "h"),
+             (2, 71, "assistant", None), (3, 1, "user", "i")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.question, r.answer) for r in chat_pairs(df).collect())
+    assert got == [(1, 0, "a", "b"), (2, 70, "h", None)]
