@@ -1,6 +1,6 @@
 """Language spans of mixed text: script ranges, then Viterbi over per-word scores.
 
-A word's script (by code point ranges) narrows the languages to those that
+Words are letter runs of one script.  The script (by code point ranges) narrows the languages to those that
 were seen with that script.  Each candidate scores the word by the log
 probabilities of its padded character trigrams; a Viterbi path with a penalty
 for each switch labels every word, and runs of one label are the spans.
@@ -42,14 +42,32 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 CHUNK_CHARS = 8_000_000    # texts labelled together hold about this many characters
+LONGEST_KEPT = 64          # longer words, as of scripts without blanks, are scored whole but not remembered
 
 
 def script_of(word: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
+def words_of_text(text: str) -> list[str]:
+    """Lower-cased runs of letters of one script, in order."""
+    words = []
+    for run in LETTERS.findall(text.lower()):
+        if run.isascii():
+            words.append(run)
+            continue
+        begin, script = 0, script_of(run)
+        for i, letter in enumerate(run):
+            other = SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
+            if other != script:
+                words.append(run[begin:i])
+                begin, script = i, other
+        words.append(run[begin:])
+    return words
+
+
 def trigrams(word: str) -> list[str]:
-    padded = f" {word[:64]} "  # no natural word is longer; a longer run scores by its first 64 letters
+    padded = f" {word} "
     return [padded[i:i + 3] for i in range(len(padded) - 2)]
 
 
@@ -80,7 +98,7 @@ def fit_languages(training: DataFrame, lang_col: str = "lang", text_col: str = "
     def count(batch: pa.RecordBatch) -> dict:
         found: dict = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for word in LETTERS.findall(text.lower()):
+            for word in words_of_text(text):
                 for gram in (*trigrams(word), "\n" + script_of(word)):
                     found[lang, gram] = found.get((lang, gram), 0) + 1
         return {"lang": [k[0] for k in found], "gram": [k[1] for k in found], "n": list(found.values())}
@@ -116,42 +134,53 @@ class Labeller:
         self.ids: dict[str, int] = {}
         self.scores = np.empty((0, len(model.languages)))
 
-    def _learn(self, words: list[str]) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if not fresh:
-            return
-        if len(self.ids) + len(fresh) > self.remember:
-            fresh = list(dict.fromkeys(words))
-            self.ids, self.scores = {}, self.scores[:0]
+    def _score(self, words: list[str]) -> np.ndarray:
+        """Log score of every language for each word, relative to the best."""
         row = self.model.grams.get
-        found = [[row(g, 0) for g in trigrams(w)] for w in fresh]
-        starts = np.cumsum([0, *map(len, found[:-1])])
-        flat = np.fromiter((g for f in found for g in f), np.int64)
-        scores = np.add.reduceat(self.model.weights[flat], starts, axis=0)
-        scores += np.stack([self.model.barred[script_of(w)] for w in fresh])
-        scores -= scores.max(axis=1, keepdims=True)
-        for w in fresh:
-            self.ids[w] = len(self.ids)
-        self.scores = np.concatenate([self.scores, scores])
-
-    def paths(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the language (its index) of every word."""
-        per_text = [LETTERS.findall(t.lower()) for t in texts]
+        sums = np.empty((len(words), len(self.model.languages)))
+        for begin in range(0, len(words), 20_000):
+            found = [[row(g, 0) for g in trigrams(w)] for w in words[begin:begin + 20_000]]
+            starts = np.cumsum([0, *map(len, found[:-1])])
+            flat = np.fromiter((g for f in found for g in f), np.int64)
+            sums[begin:begin + len(found)] = np.add.reduceat(self.model.weights[flat], starts, axis=0)
+        sums += np.stack([self.model.barred[script_of(w)] for w in words])
+        return sums - sums.max(axis=1, keepdims=True)
+
+    def _learn(self, words: list[str]) -> tuple[dict[str, int], np.ndarray]:
+        """Ids of the words and the scores by id; those of long words hold for this call only."""
+        distinct = dict.fromkeys(words)
+        short = [w for w in distinct if len(w) <= LONGEST_KEPT]
+        fresh = [w for w in short if w not in self.ids]
+        if fresh:
+            if len(self.ids) + len(fresh) > self.remember:
+                fresh, self.ids, self.scores = short, {}, self.scores[:0]
+            scores = self._score(fresh)
+            for w in fresh:
+                self.ids[w] = len(self.ids)
+            self.scores = np.concatenate([self.scores, scores])
+        long = [w for w in distinct if len(w) > LONGEST_KEPT]
+        if not long:
+            return self.ids, self.scores
+        ids = self.ids | {w: len(self.ids) + k for k, w in enumerate(long)}
+        return ids, np.concatenate([self.scores, self._score(long)])
+
+    def paths(self, per_text: list[list[str]]) -> list[np.ndarray]:
+        """For each text, a list of words, the language (its index) of every word."""
         words = [w for ws in per_text for w in ws]
         lengths = np.array([len(ws) for ws in per_text], np.int64)
         if not words or not self.model.languages:
-            return [np.empty(0, np.int8) for _ in texts]
-        self._learn(words)
-        flat = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        del words, per_text
+            return [np.empty(0, np.int16) for _ in per_text]
+        ids, scores = self._learn(words)
+        flat = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        del words, ids
         order = np.argsort(-lengths, kind="stable")
         starts = (np.cumsum(lengths) - lengths)[order]
         sizes = lengths[order]
         longest = int(sizes[0])
         active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than t
-        value = self.scores[flat[starts[:active[0]]]]
-        back, label = [], np.empty(len(flat), np.int8)
-        last = np.zeros(len(sizes), np.int8)
+        value = scores[flat[starts[:active[0]]]]
+        back, label = [], np.empty(len(flat), np.int16)
+        last = np.zeros(len(sizes), np.int16)
         for t in range(1, longest):
             n = active[t]
             if n < len(value):
@@ -160,8 +189,8 @@ class Labeller:
             best = value.argmax(axis=1)
             switched = (value[np.arange(n), best] - self.model.penalty)[:, None]
             stay = value >= switched
-            back.append((stay, best.astype(np.int8)))
-            value = np.where(stay, value, switched) + self.scores[flat[starts[:n] + t]]
+            back.append((stay, best.astype(np.int16)))
+            value = np.where(stay, value, switched) + scores[flat[starts[:n] + t]]
         last[:len(value)] = value.argmax(axis=1)
         for t in range(longest - 1, -1, -1):
             n = active[t]
@@ -183,9 +212,10 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
                     text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every row of ``docs``.
 
-    ``spans`` are runs of words (letter runs, counted from 0, end excluded)
-    with one language.  ``lang_pred`` is the language of most words, the
-    first by name in a tie; ``score`` is its share of the words.  A null text
+    ``spans`` are runs of words (letter runs of one script, counted from 0, end
+    excluded) with one language.  ``lang_pred`` is the language of most letters,
+    the first by name in a tie; ``score`` is its share of the letters: words
+    would not do for scripts without blanks.  A null text
     or one without a letter gets ``und``, score 0 and no spans, and so does every text
     under a model without languages.  Repeated rows give repeated rows; an
     empty table gives an empty result; other columns are not read.
@@ -197,25 +227,26 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         if not holder:
             holder.append(Labeller(shared.value))
         languages = shared.value.languages
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        found, chunk, size = [], [], 0
-        for t in texts:
-            chunk.append(t)
-            size += len(t)
+        found, letters, chunk, size = [], [], [], 0
+        for value in batch.column(1):
+            text = value.as_py() or ""
+            chunk.append(words_of_text(text))
+            letters.append(np.fromiter(map(len, chunk[-1]), np.int64, len(chunk[-1])))
+            size += len(text)
             if size >= CHUNK_CHARS:
                 found.extend(holder[0].paths(chunk))
                 chunk, size = [], 0
         found.extend(holder[0].paths(chunk))
         pred, score, spans = [], [], []
-        for path in found:
+        for path, sizes in zip(found, letters):
             if not len(path):
                 pred.append(UNKNOWN), score.append(0.0), spans.append([])
                 continue
-            counts = np.bincount(path, minlength=len(languages))
+            counts = np.bincount(path, weights=sizes, minlength=len(languages))
             k = int(counts.argmax())
             cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
             pred.append(languages[k])
-            score.append(float(counts[k] / len(path)))
+            score.append(float(counts[k] / sizes.sum()))
             spans.append([{"start": a, "end": b, "lang": languages[path[a]]} for a, b in zip(cuts, cuts[1:])])
         return {"doc_id": batch.column(0), "lang_pred": pred, "score": score, "spans": spans}
 
