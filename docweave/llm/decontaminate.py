@@ -1,7 +1,7 @@
 """Benchmark passages in training text: BM25 index of test items, block-max WAND, overlap check.
 
-Test items are indexed in blocks of a bounded number; each block's inverted
-index is broadcast and every passage (overlapping word windows of every whole
+Test items are indexed in blocks of bounded number and size, weighted by counts
+over the whole benchmark; each block's inverted index is broadcast and every passage (overlapping word windows of every whole
 text) queries it.  An item's BM25 weights are divided by its score against
 itself, so a passage's score is the share of the item's weight that it holds
 and one threshold serves all items.  All items at or above the threshold are
@@ -14,6 +14,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import map_batches, sized, staged
+from docweave.llm.common import map_batches, packed, sized, staged
 
 K1, B = 1.2, 0.75
 BLOCK = 64                 # postings that share one maximum
@@ -52,25 +53,38 @@ class Postings:
         return bisect_left(self.block_ends, item)
 
 
+@dataclass(frozen=True)
+class Benchmark:
+    """Counts over all test items with a term, which the weights of every block follow."""
+    items: int
+    terms: int                 # of all items together
+    longest: int               # terms of the longest item
+    holders: dict[bytes, int]  # items that hold a term; of a block's terms at least
+
+
 class ItemIndex:
     """Inverted index of test items (id, text) with self-normalised BM25 weights.
 
+    ``whole`` are counts over the whole benchmark of which ``items`` are a block;
+    without it they are the whole.
     An item's rare terms are those in the fewest items, longer ones first; which
     terms they are decides the work, never what is found.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Benchmark | None = None):
         self.items = []
         for item_id, text in items:
             terms = terms_of((text or "").encode())
             if terms:
                 self.items.append((item_id, text, terms))
-        n = len(self.items)
         counts = [Counter(terms) for _, _, terms in self.items]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(len(t) for _, _, t in self.items) / max(1, n)
-        self.term_ids = {t: k for k, t in enumerate(df)}
-        entries: list[list] = [[] for _ in df]
+        own = Counter(t for c in counts for t in c)
+        if whole is None:
+            whole = Benchmark(len(self.items), sum(len(t) for _, _, t in self.items),
+                              max([0, *(len(t) for _, _, t in self.items)]), own)
+        n, df, mean = whole.items, whole.holders, whole.terms / max(1, whole.items)
+        self.term_ids = {t: k for k, t in enumerate(own)}
+        entries: list[list] = [[] for _ in own]
         self.rare: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.missing: list[float] = []   # weight of each item outside its rare terms
         for i, c in enumerate(counts):
@@ -86,7 +100,7 @@ class ItemIndex:
                     held += w
             self.missing.append(1 - held)
         self.postings = [Postings(e) for e in entries]
-        self.window = max([64, *(2 * len(t) for _, _, t in self.items)])
+        self.window = max(64, 2 * whole.longest)
 
     def retrieve(self, query: set[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items that reach the threshold, by block-max WAND."""
@@ -174,23 +188,50 @@ _LEAKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ite
                        T.StructField("answer_overlap", T.DoubleType()), T.StructField("text_key", T.LongType())])
 
 
-def item_blocks(benchmark: DataFrame, block_items: int, item_col: str, text_col: str):
-    """Lists of at most ``block_items`` items (id, text), block after block."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna().distinct()
-    count = items.count()
-    if count <= block_items:
-        yield [(r["i"], r["t"]) for r in items.collect()]
+_ITEM_TERMS = T.StructType([T.StructField("i", T.LongType()), T.StructField("term", T.BinaryType()),
+                            T.StructField("n", T.LongType())])
+
+
+def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int, item_col: str, text_col: str):
+    """(items, counts of the whole benchmark) for each block of at most ``block_items`` items and ``block_bytes`` text.
+
+    Terms are counted over all items on Spark; a block gets the counts of its own terms.
+    """
+    items = staged(benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna()
+                   .distinct(), "test-items")
+    size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    if size[0] <= block_items and size[1] <= block_bytes:
+        yield [(r["i"], r["t"]) for r in items.collect()], None
         return
     # Blocks by hash at half the size: none exceeds the bound but by extreme chance, and then it is only larger.
-    blocks = -(-2 * count // block_items)
+    blocks = max(-(-2 * size[0] // block_items), -(-2 * size[1] // block_bytes))
+    dealt = staged(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "item-blocks")
+
+    def count(batch: pa.RecordBatch) -> dict:
+        out: dict = {"i": [], "term": [], "n": []}
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("t").to_pylist()):
+            terms = terms_of(text.encode())
+            for t in {*terms, *([b""] if terms else [])}:  # the empty term stands for the item itself
+                out["i"].append(block)
+                out["term"].append(t)
+                out["n"].append(len(terms) if t == b"" else 1)
+        return out
+
+    terms = staged(map_batches(dealt.select("block", "t"), count, _ITEM_TERMS, rows=1000), "item-terms")
+    own = terms.filter(F.length("term") == 0).agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    holders = staged(terms.filter(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("n")), "term-holders")
     for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        yield [(r["i"], r["t"]) for r in part.collect()]
+        part = [(r["i"], r["t"]) for r in dealt.filter(F.col("block") == b).collect()]
+        if part:
+            wanted = terms.filter(F.col("i") == b).select("term").distinct()
+            counts = {bytes(r["term"]): r["n"] for r in holders.join(wanted, "term").collect()}
+            yield part, Benchmark(own[0], own[1] or 0, own[2] or 0, counts)
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, ngram: int = 5,
-                    least_overlap: float = 0.6, block_items: int = 20_000, id_col: str = "doc_id",
-                    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                    least_overlap: float = 0.6, block_items: int = 20_000, block_bytes: int = 32 << 20,
+                    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                    item_text_col: str = "text") -> DataFrame:
     """One row for each document and test item that it holds, at the best passage.
 
     (doc_id, item_id, score, question_overlap, answer_overlap, text_key):
@@ -205,8 +246,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"),
                        docs[text_col].cast("binary").alias("text"))
     spark, found = docs.sparkSession, None
-    for block in item_blocks(benchmark, block_items, item_col, item_text_col):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
+    for block, whole in item_blocks(benchmark, block_items, block_bytes, item_col, item_text_col):
+        index = spark.sparkContext.broadcast(ItemIndex(block, whole))
 
         def search(batch: pa.RecordBatch, index=index) -> dict:
             ix: ItemIndex = index.value
@@ -239,7 +280,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose (id, text) holds a test item."""
-    marked = sized(staged(leaks.select(F.col("doc_id").alias("_id"), "text_key").distinct(), "leaks"), 32)
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("text_key"))
-    return docs.join(marked, on, "left_anti")
+    """``docs``, all columns, without the rows whose (id, text) holds a test item."""
+    marked = sized(staged(leaks.select("doc_id", "text_key").distinct(), "leaks"), 32)
+    rows = docs.select(packed(docs), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"))
+    on = rows["id"].eqNullSafe(marked["doc_id"]) & (rows["key"] == marked["text_key"])
+    return rows.join(marked, on, "left_anti").select("row.*")

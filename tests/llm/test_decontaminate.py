@@ -55,6 +55,13 @@ def test_every_contained_item_is_found(spark):
         assert any(folded[d][k:k + len(needle)] == needle for k in range(len(folded[d])))
 
 
+def test_blocks_of_the_given_items_do_not_change_scores(spark):
+    docs, items = (spark.read.parquet(f"{SMOKE}/{n}.parquet") for n in ("documents", "benchmark"))
+    key = lambda df: sorted((r.doc_id, r.item_id, round(r.score, 12)) for r in df.collect())
+    whole = key(benchmark_leaks(docs, items, threshold=0.5))
+    assert whole and key(benchmark_leaks(docs, items, threshold=0.5, block_items=20)) == whole
+
+
 def item(rnd):
     return " ".join(rnd.choices([f"q{k}" for k in range(500)], k=18)) + ". " + " ".join(
         rnd.choices([f"a{k}" for k in range(500)], k=8)) + "."
@@ -77,6 +84,12 @@ def test_edits_answers_and_odd_rows(spark, make_docs, odd_rows):
         (100, 0), (104, 2), (104, 2), (105, 3), (105, 4)]
     clean = {r.doc_id for r in without_leaks(docs, leaks).collect()}
     assert clean == {r[0] for r in rows} - {100, 104, 105}
+    key = lambda df: sorted(((r.doc_id, r.item_id, round(r.score, 12), r.question_overlap, r.answer_overlap)
+                             for r in df.collect()))
+    low = key(benchmark_leaks(docs, items, threshold=0.3, least_overlap=0.0))
+    assert len(low) > len(leaks.collect())
+    for sizes in (dict(block_items=1), dict(block_items=20), dict(block_items=4, block_bytes=300)):
+        assert key(benchmark_leaks(docs, items, threshold=0.3, least_overlap=0.0, **sizes)) == low
     in_blocks = benchmark_leaks(docs, items, block_items=4)
     assert sorted((r.doc_id, r.item_id) for r in in_blocks.collect()) == sorted(
         (r.doc_id, r.item_id) for r in leaks.collect())
