@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import map_batches, staged
+from docweave.llm.common import map_batches, packed, staged
 
 WINDOW_STEPS = (1, 2, 4, 8)                     # doubling sums: a window of 16 bytes
 MASK = np.uint16(0b1111_1000_0000_0000)        # bits that the whole window reaches; a cut every 32 bytes or so
@@ -171,7 +171,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     Every repeated chunk stays in the document that holds it first.  A null text stays null; texts without such spans are unchanged.
     """
     cuts = (spans.filter(~F.col("is_first")).groupBy("doc_id", "text_key")
-            .agg(F.sort_array(F.collect_set(F.struct("span_start", "span_end", "first_parts"))).alias("_cuts")))
+            .agg(F.sort_array(F.collect_set(F.struct("span_start", "span_end", "first_parts"))).alias("cuts")))
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -188,7 +188,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
         import pandas as pd
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col))).alias("d")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("c.doc_id")) & (F.col("d._text_key") == F.col("c.text_key"))
-    joined = keyed.join(cuts.alias("c"), on, "left").select("d.*", "c._cuts")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_cuts"))).drop("_cuts", "_text_key")
+    rows = docs.select(packed(docs), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"))
+    on = rows["id"].eqNullSafe(cuts["doc_id"]) & (rows["key"] == cuts["text_key"])
+    joined = rows.join(cuts, on, "left").select("row", cut(F.col("row").getField(text_col), F.col("cuts")).alias("cut"))
+    return joined.select(*[(F.col("cut") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

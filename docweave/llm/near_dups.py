@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import map_batches, sized, staged
+from docweave.llm.common import map_batches, packed, sized, staged
 
 POSITIONS = 64
 LEAST_WEIGHT = 1000
@@ -338,10 +338,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFram
     found = staged(near_duplicates(docs, id_col=id_col, **settings).select("doc_id", "kept"), "near-verdicts")
     ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"),
                                                                    F.count(F.lit(1)).alias("n"))
-    dropped = staged(ids.filter("NOT kept").select(F.col("doc_id").alias("_id")), "near-dropped")
-    repeated = staged(ids.filter("n > 1").select(F.col("doc_id").alias("_id")), "near-repeated")
-    key = F.col(id_col).cast("long") == F.col("_id")
-    stay = docs.join(sized(dropped, 16), key, "left_anti")
-    repeated = sized(repeated, 16)
-    return stay.join(repeated, key, "left_anti").unionByName(
-        stay.join(repeated, key, "left_semi").dropDuplicates([id_col]))
+    dropped = sized(staged(ids.filter("NOT kept").select("doc_id"), "near-dropped"), 16)
+    repeated = sized(staged(ids.filter("n > 1").select("doc_id"), "near-repeated"), 16)
+    rows = docs.select(packed(docs), docs[id_col].cast("long").alias("doc_id"))
+    stay = rows.join(dropped, "doc_id", "left_anti")
+    return stay.join(repeated, "doc_id", "left_anti").unionByName(
+        stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select("row.*")

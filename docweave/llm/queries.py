@@ -24,7 +24,8 @@ from docweave.llm.token_count import token_counts
 BYTE_BPE = "byte_bpe_50k.json"
 
 
-SITE_RATIO, SITE_PAGES, SITE_HITS = 0.1, 20, 5
+# Lines on more than a tenth of the pages of a host, or half of those of a small one, and on three at least.
+SITE_RATIO, SITE_PAGES, SITE_HITS, SMALL_RATIO = 0.1, 20, 3, 0.5
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the lines that stand on a large share of their host's pages."""
     pages = table(spark, sf_dir, "pages").select(
         "page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
-    return drop_boilerplate(pages, "host", "text", SITE_RATIO, SITE_PAGES, SITE_HITS)
+    return drop_boilerplate(pages, "host", "text", SITE_RATIO, SITE_PAGES, SITE_HITS, small_ratio=SMALL_RATIO)
 
 
 def op4_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +163,7 @@ t AS (SELECT rid, host, i, raw, trim(raw, {_BLANKS}) AS line FROM l),
 bad AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS n FROM t WHERE line <> '' GROUP BY ALL)
   JOIN (SELECT host, count(*) AS n_pages FROM p WHERE host IS NOT NULL GROUP BY host) USING (host)
-  WHERE n_pages >= {SITE_PAGES} AND n >= {SITE_HITS} AND n >= {SITE_RATIO} * n_pages),
+  WHERE n >= {SITE_HITS} AND n > CASE WHEN n_pages >= {SITE_PAGES} THEN {SITE_RATIO} ELSE {SMALL_RATIO} END * n_pages),
 k AS (SELECT t.*, bad.line IS NULL AS keep FROM t LEFT JOIN bad ON t.host = bad.host AND t.line = bad.line),
 a AS (
   SELECT rid, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (keep), '') AS text,
