@@ -17,6 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docweave.plans.registry import QUERIES  # noqa: E402
+from docweave.plans.sizing import remove_staged  # noqa: E402
 from docweave.session import build_session  # noqa: E402
 
 WARM_DIR = "/root/testdata/sf0.001"
@@ -25,6 +26,7 @@ HEADLINE = [
     "extract_keywords", "hashing_embedder", "split_fragments", "pack_batches", "batch_totals",
     "html_fragments", "reflow_lines", "new_documents", "document_frequency", "sif_mean_vector",
     "central_fragments", "detect_language", "chat_cost", "chat_pairs",
+    "cut_to_budget", "detected_documents", "embed_fragments", "hashing_embedder_wide", "html_fallback",
 ]
 
 
@@ -40,6 +42,7 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - t0, 3)
+        remove_staged(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings, "sf": sf, "cpus": cpus}))

@@ -1,9 +1,9 @@
 """SQL fragments shared by the DuckDB oracle queries.
 
-The oracle is an independent formulation: where the Spark side works on
-dense arrays row by row, the SQL side mostly unnests and aggregates
-relationally (sparse vectors, joins), so agreement checks the semantics, not
-a transcription.
+Where the Spark side works on arrays row by row, the SQL side mostly unnests
+and aggregates relationally (sparse vectors, joins).  Both share the regular
+expressions of ``functions.text`` and the fixed values, so agreement checks
+the relational part and not those.
 """
 
 from __future__ import annotations

@@ -424,9 +424,9 @@ def q_top_k_inner_product(spark, sf):
 @register
 def q_top_k_cosine(spark, sf):
     vec = B.vectors(spark, sf)
-    cents = mean_vector(vec).select(F.col("name").alias("request_id"), "name",
-                                    F.col("centroid").alias("embedding"))
-    labels = B.row_bound(spark, sf, "embeddings")
+    cents = materialize(mean_vector(vec).select(F.col("name").alias("request_id"), "name",
+                                                F.col("centroid").alias("embedding")), "centroids")
+    labels = cents.count()
     hits = top_k_cosine(cents, vec, query_rows=labels, dim=HASH_DIM)
     return hits.select("request_id", "rank", "pos", F.round("distance", 6).alias("distance"))
 

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.constants import BROADCAST_LIMIT_BYTES
 from docweave.session import checkpoint_dir, is_local
 
+# Paths of the tables that this process has stored under the checkpoint folder.
+STAGED: list[str] = []
+
 # Bytes of a row that holds a 32-character fingerprint and a few keys.
 NAME_BYTES = 96
 
@@ -60,5 +63,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    STAGED.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Removes the tables that this process has stored so far; their number.
+
+    For a caller that has written or shown a result: DataFrames that were made
+    before and still read such a table cannot be used afterwards.
+    """
+    removed = 0
+    while STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed

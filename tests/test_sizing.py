@@ -42,6 +42,17 @@ def test_spread_only_when_too_few_splits(spark):
     assert spread_one.agg(F.sum("id")).collect()[0][0] == sum(range(1000))
 
 
+def test_stored_tables_are_removed_on_request(spark):
+    import os
+    from docweave.plans import sizing
+    sizing.remove_staged(spark)
+    paths = [sizing.materialize(spark.range(5), "unit").inputFiles()[0] for _ in range(3)]
+    folders = [os.path.dirname(p).removeprefix("file:").replace("//", "/") for p in paths]
+    assert all(os.path.isdir(f) for f in folders)
+    assert sizing.remove_staged(spark) == 3 and sizing.remove_staged(spark) == 0
+    assert not any(os.path.isdir(f) for f in folders)
+
+
 def test_materialize_uses_session_checkpoint_dir(spark):
     from docweave.plans.sizing import materialize
     from docweave.session import checkpoint_dir
