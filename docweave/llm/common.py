@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docweave.plans.sizing import STAGED
 from docweave.session import checkpoint_dir
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -47,6 +48,7 @@ def kept_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``staged``, and the path, which ``discard`` takes once nothing reads the table any more."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    STAGED.append(path)  # goes with ``docweave.plans.sizing.remove_staged``
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
