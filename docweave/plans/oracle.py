@@ -427,3 +427,16 @@ SELECT conv_id, turn, text AS question, next_text AS answer FROM (
   SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 WHERE role = 'user' AND next_role = 'assistant'"""
+
+_URIS = f"""{detected_ctes('documents', ['doc_id'])},
+uris AS (SELECT doc_id, {_CID} || '/' || det.lang AS uri FROM documents JOIN det USING (doc_id))"""
+
+ORACLE["answer_by_uri"] = f"""WITH {_URIS}, answered AS ({ORACLE["answer_context"]})
+SELECT a.request_id, u.uri, CASE WHEN u.uri IS NULL THEN NULL ELSE a.keywords END AS keywords,
+  CASE WHEN u.uri IS NULL THEN 'not found' ELSE a.status END AS status, a.n_fragments, a.context
+FROM answered a LEFT JOIN uris u ON u.doc_id = a.name"""
+
+ORACLE["summary_by_uri"] = f"""WITH {_URIS}, summed AS ({ORACLE["summary_context"]})
+SELECT u.doc_id AS request_id, u.uri, CASE WHEN s.context IS NULL THEN 'not found' ELSE 'summarised' END AS status,
+  s.method, coalesce(s.n_fragments, 0) AS n_fragments, s.context
+FROM uris u LEFT JOIN summed s ON s.name = u.doc_id"""

@@ -36,7 +36,7 @@ from docweave.operators.fragments import (
 from docweave.operators.identity import content_id_of_text, make_uri, parse_uri
 from docweave.operators.language import detect_language, language_profiles, with_language
 from docweave.operators.retrieval import (
-    already_indexed, extract_keywords, fetch_fragments, new_documents, top_k_cosine,
+    already_indexed, dedupe_documents, extract_keywords, fetch_fragments, new_documents, top_k_cosine,
     top_k_inner_product, unknown_documents,
 )
 from docweave.operators.summary import (
@@ -47,6 +47,7 @@ from docweave.operators.tokens import (
 )
 from docweave.plans import bindings as B
 from docweave.plans.answer import answer_context, answer_hits, context_budget
+from docweave.plans.by_uri import answer_by_uri, by_uri, summary_by_uri
 from docweave.plans.scan import dense_positions
 from docweave.plans.sizing import materialize, maybe_broadcast
 from docweave.session import checkpoint_dir
@@ -532,6 +533,39 @@ def q_summary_context(spark, sf):
     return document_summaries(spark, sf)
 
 
+def indexed_contents(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(uris, docs): the URI of every document by its text, and one document for each content, named by it."""
+    prof = language_profiles(B.table(spark, sf, "documents"))
+    docs = B.documents(spark, sf).withColumn("content_id", content_id_of_text(F.col("text")))
+    found = detect_language(docs.select("doc_id", "text"), prof, ["doc_id"], profile_rows=prof.count())
+    uris = materialize(docs.select("doc_id", "content_id").join(found.select("doc_id", "lang"), "doc_id").withColumn(
+        "uri", make_uri(F.col("content_id"), F.col("lang"))), "uris")
+    first = dedupe_documents(uris.select("content_id", "doc_id")).select("doc_id")
+    kept = docs.join(maybe_broadcast(first, B.row_bound(spark, sf, "documents"), 16), "doc_id", "left_semi")
+    return uris, kept.select(F.col("content_id").alias("name"), "text")
+
+
+@register
+def q_answer_by_uri(spark, sf):
+    """Every question, asked of the URI of its document; one about a document that is not there has none."""
+    uris, docs = indexed_contents(spark, sf)
+    bound = B.row_bound(spark, sf, "conversations")
+    asked = materialize(B.requests(spark, sf).join(uris.select(F.col("doc_id").alias("name"), "uri"), "name", "left")
+                        .select("request_id", "uri", "query"), "uri-requests")
+    names = maybe_broadcast(by_uri(asked).select("name").distinct(), bound, 48)
+    frags = materialize(split_fragments(docs.join(names, "name", "left_semi")), "fragments")
+    return answer_by_uri(asked, frags, HASH_DIM, request_rows=bound)
+
+
+@register
+def q_summary_by_uri(spark, sf):
+    """A summary for the URI of every document, made once for each content."""
+    uris, docs = indexed_contents(spark, sf)
+    rows = materialize(document_rows(docs, HASH_DIM, keep=()), "document-rows")
+    return summary_by_uri(uris.select(F.col("doc_id").alias("request_id"), "uri"), rows.withColumn("lang", F.lit(None)),
+                          request_rows=B.row_bound(spark, sf, "documents"))
+
+
 @register
 def q_vocabulary(spark, sf):
     return vocabulary(doc_fragments(spark, sf))
