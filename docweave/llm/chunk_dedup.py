@@ -2,13 +2,17 @@
 
 A chunk ends where the rolling hash of the last 16 bytes has its five mask
 bits zero, so an insertion changes the chunks around it and no others.
-Chunks are compared by digest; a passage shared by two documents shows as a
-run of shared chunks in both.  A shared passage may reach into the chunks at
-either end of its run, so a run is reported if it holds ``min_words`` words
-together with those two; no passage that long and seen as a run is left out.
+Chunks are compared by digest; a passage shared by two texts shows as a run of
+shared chunks in both, and reaches into the chunks around it.  Runs are
+candidates: a run with its surroundings of at least ``min_words`` words is
+confirmed exactly.  In a short one every window of ``min_words`` words is compared
+with those of other texts; in a long one sequences of whole chunks that hold so
+many words are, and its windows with those of the short ones.  Spans are unions
+of what is confirmed, so every word of a span stands in a passage of
+``min_words`` words that another document holds too.
 
-Only digests are shuffled, never text; the copies of a digest are combined
-before the shuffle, and a frequent digest is joined, not grouped in one task.
+Equal texts are compared once.  Hashes are shuffled, never text; copies of a hash
+are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import map_batches, packed, staged
+from docweave.llm.common import join_small, map_batches, packed, sized, staged
 
 WINDOW_STEPS = (1, 2, 4, 8)                     # doubling sums: a window of 16 bytes
 MASK = np.uint16(0b1111_1000_0000_0000)        # bits that the whole window reaches; a cut every 32 bytes or so
@@ -82,12 +86,19 @@ _CHUNKS = T.StructType([T.StructField("at", T.LongType()), T.StructField("doc_id
                         T.StructField("text_key", T.LongType()), T.StructField("ends", T.ArrayType(T.IntegerType())),
                         T.StructField("words", T.ArrayType(T.IntegerType())),
                         T.StructField("digests", T.ArrayType(T.LongType()))])
+_RANGE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()),
                        T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType()),
-                       T.StructField("n_chunks", T.LongType()), T.StructField("first_doc_id", T.LongType()),
-                       T.StructField("is_first", T.BooleanType()),
-                       T.StructField("first_parts", T.ArrayType(T.StructType([
-                           T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+                       T.StructField("first_doc_id", T.LongType()), T.StructField("is_first", T.BooleanType()),
+                       T.StructField("first_parts", T.ArrayType(_RANGE))])
+_HOLDER = [T.StructField("text_key", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]
+# A hash with the bytes of the text that it stands for, and the least and greatest id that hold the text.
+_MARKS = T.StructType([T.StructField("hash", T.LongType()), *_HOLDER, *_RANGE.fields])
+_CANDIDATES = T.StructType([*_HOLDER, T.StructField("short", T.ArrayType(_RANGE)), T.StructField("long", T.ArrayType(_RANGE)),
+                            T.StructField("sequences", T.ArrayType(_MARKS))])
+BEFORE, AFTER = 192, 2                         # bytes before a run and chunks after it that its passage may reach into
+_BASE, _SEQUENCES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,65 +121,195 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(rows, cut, _CHUNKS)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 50, min_bytes: int = 96, id_col: str = "doc_id",
+def _regions(ends: list[int], words: list[int], hits: list[int], least: int, long_words: int) -> tuple[list, list]:
+    """(short, long): runs of shared chunks with their surroundings as (first chunk, last chunk, run or None).
+
+    A run and what a passage can reach into holds ``least`` words at least, in a
+    long one ``long_words``.  Short ones that touch are one.
+    """
+    runs: list[list[int]] = []
+    for i in hits:
+        if runs and i == runs[-1][1] + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    short, long = [], []
+    for a, b in runs:
+        # After a passage's start cuts agree at the second or third one in the middle; before its end at the last.
+        low, high = a, min(len(words) - 1, b + AFTER)
+        while low and ends[a - 1] - ends[low - 1] < BEFORE:
+            low -= 1
+        held = words[high] - (words[low - 1] if low else 0)
+        if held >= long_words:
+            long.append((low, high, (a, b)))
+        elif held >= least:
+            if short and low <= short[-1][1] + 1:
+                short[-1] = short[-1][0], high, None
+            else:
+                short.append((low, high, None))
+    return short, long
+
+
+def _sequences(ends: list[int], words: list[int], digests: np.ndarray, run: tuple[int, int],
+               least: int) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of the shortest sequences of a run's chunks, from each of them, with ``least`` whole words."""
+    out = []
+    j, b = run
+    for i in range(run[0], b + 1):
+        before = words[i - 1] if i else 0
+        j = max(j, i)
+        while j <= b and words[j] - before - 1 < least:  # the last word may reach beyond the chunk
+            j += 1
+        if j > b:
+            break
+        h = xxhash.xxh3_64_intdigest(digests[i:j + 1].tobytes(), seed=int(_SEQUENCES))
+        out.append((h, ends[i - 1] if i else 0, ends[j]))
+    return out
+
+
+def window_marks(text: bytes, start: int, end: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of all windows of ``least`` whole words in ``text[start:end]``; offsets in the text."""
+    data = np.frombuffer(text, np.uint8)[start:end]
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+    begins, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    whole = slice(int(start > 0 and len(begins) and begins[0] == 0 and text[start - 1] not in b" \t\n\v\f\r"),
+                  len(begins) - int(end < len(text) and len(stops) and stops[-1] == len(data)
+                                    and text[end] not in b" \t\n\v\f\r"))
+    begins, stops = begins[whole] + start, stops[whole] + start
+    n = len(begins)
+    if n < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begins.tolist(), stops.tolist())), np.uint64, n)
+    ones = np.ones(n, np.uint64)
+    ones[1:] = _BASE
+    power = np.cumprod(ones)
+    ones[1:] = _INVERSE
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
+    rolled = (sums[least:] - sums[:-least]) * np.cumprod(ones)[:n - least + 1]
+    rolled = (rolled ^ (rolled >> np.uint64(31))) * _BASE
+    return (rolled ^ (rolled >> np.uint64(29))).view(np.int64), begins[:n - least + 1], stops[least - 1:]
+
+
+def _windows(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """``_MARKS`` of all windows in the ranges of ``column`` of rows (text_key, lo, hi, text, ranges)."""
+    def emit(batch: pa.RecordBatch) -> dict:
+        parts: dict = {f.name: [] for f in _MARKS}
+        about = zip(*(batch.column(c).to_pylist() for c in ("text_key", "lo", "hi", column)))
+        for (key, lo, hi, ranges), text in zip(about, batch.column("text")):
+            value = text.as_py() or b""
+            for r in ranges:
+                hashes, begins, stops = window_marks(value, r["start"], r["end"], least)
+                same = [np.full(len(hashes), x, np.int64) if x is not None else None for x in (key, lo, hi)]
+                for name, x in zip(parts, (hashes, *same, begins, stops)):
+                    parts[name].append(pa.array(x, pa.int64()) if x is not None else pa.nulls(len(hashes), pa.int64()))
+        return {name: pa.concat_arrays(x) if x else pa.array([], pa.int64()) for name, x in parts.items()}
+
+    return map_batches(rows.select("text_key", "lo", "hi", column, "text"), emit, _MARKS, rows=64)
+
+
+def _candidates(chunks: DataFrame, min_words: int, long_words: int) -> DataFrame:
+    """``_CANDIDATES`` of every distinct text with a run of shared chunks that can hold ``min_words`` words."""
+    classes = staged(chunks.groupBy("text_key").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("at").alias("at")), "text-classes")
+    reps = chunks.drop("doc_id").join(sized(classes.select("at", "lo", "hi"), 40), "at").drop("at")
+    holders = reps.select("lo", "hi", F.explode("digests").alias("digest"))
+    repeated = (holders.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                .filter("lo < hi").select("digest"))
+    placed = reps.select("text_key", F.posexplode("digests").alias("i", "digest"))
+    hits = (placed.join(repeated, "digest").groupBy("text_key")
+            .agg(F.sort_array(F.collect_list("i")).alias("hits")))
+
+    def regions(batch: pa.RecordBatch) -> dict:
+        out: dict = {f.name: [] for f in _CANDIDATES}
+        columns = (batch.column(c).to_pylist() for c in ("text_key", "lo", "hi", "ends", "words", "digests", "hits"))
+        for key, lo, hi, ends, words, digests, hit in zip(*columns):
+            both, digests = _regions(ends, words, hit, min_words, long_words), np.array(digests, np.int64)
+            short, long = ([{"start": ends[a - 1] if a else 0, "end": ends[b]} for a, b, _ in part] for part in both)
+            sequences = [{"hash": int(np.uint64(h).view(np.int64)), "text_key": key, "lo": lo, "hi": hi, "start": s, "end": e}
+                         for _, _, run in both[1] for h, s, e in _sequences(ends, words, digests, run, min_words)]
+            if short or long:
+                for name, value in zip(out, (key, lo, hi, short, long, sequences)):
+                    out[name].append(value)
+        return out
+
+    return map_batches(reps.join(hits, "text_key"), regions, _CANDIDATES)
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 50, long_words: int = 150, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Spans of texts that other documents hold too, as byte offsets, one row for each.
 
-    (doc_id, text_key, span_start, span_end, n_chunks, first_doc_id, is_first, first_parts):
-    ``first_doc_id`` is the smallest id that holds one of the span's chunks and
-    ``is_first`` says that this document is the first holder of all of them, so
-    its span is the copy to keep.  ``first_parts`` are the parts (start, end) of
-    the span whose first holder this document is: the copies to keep of a span
-    in which passages with other first holders stand next to each other.  Spans are runs of repeated chunks of at least
-    ``min_bytes`` bytes and, with the chunks next to them, ``min_words`` words.
-    A chunk counts as repeated if documents of two ids hold it; a repeat inside
-    one document, or in rows of the same id, does not.  A null id is never a first holder.  Null and empty texts have no
-    spans; an empty table gives an empty result; ``text_key`` (a hash of the
-    text) tells rows of one id apart; other columns are not read.
+    (doc_id, text_key, span_start, span_end, first_doc_id, is_first, first_parts):
+    every word of a span stands in a passage of ``min_words`` words that documents of
+    two ids hold, word by word.  ``first_doc_id`` is the smallest id that holds one
+    of the span's passages and ``is_first`` says that this document is the first
+    holder of all of them, so its span is the copy to keep.  ``first_parts`` are
+    the parts (start, end) of the span whose passages it holds first.  In regions
+    of ``long_words`` words or more spans may end up to a chunk before the passage does.
+
+    A passage is found if a chunk lies in it whole; one that in all its documents
+    stands right beside other repeated text, so that the run is long, needs whole
+    chunks of ``min_words`` words.  A repeat inside one
+    document, or in rows of the same id, does not count.  A null id is never a
+    first holder.  Null and empty texts have no spans; an empty table gives an
+    empty result; ``text_key`` (a hash of the text) tells rows of one id apart;
+    other columns are not read.
     """
     chunks = staged(chunked(docs, id_col, text_col), "chunks")
-    holders = chunks.select("doc_id", F.explode("digests").alias("digest"))
-    repeated = (holders.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                .filter("lo < hi").select("digest", F.col("lo").alias("first")))
-    placed = chunks.select("at", F.posexplode("digests").alias("i", "digest"))
-    hits = (placed.join(repeated, "digest").groupBy("at")
-            .agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("hits")))
-    joined = chunks.select("at", "doc_id", "text_key", "ends", "words").join(hits, "at").drop("at")
-
-    def runs(batch: pa.RecordBatch) -> dict:
+    found = staged(_candidates(chunks, min_words, long_words), "candidates")
+    of_text = sized(found.drop("sequences"), 160)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"),
+                       docs[text_col].cast("binary").alias("text"))
+    # Of equal texts the row with the smallest id is read; rows that repeat it give the same marks again.
+    texts = rows.join(of_text, (rows["key"] == of_text["text_key"]) & rows["id"].eqNullSafe(of_text["lo"]))
+    short = staged(_windows(texts.filter(F.size("short") > 0), "short", min_words), "short-windows")
+    known = staged(short.select("hash").distinct(), "short-hashes")
+    long = _windows(texts.filter(F.size("long") > 0), "long", min_words).join(sized(known, 16), "hash", "left_semi")
+    sequences = found.select(F.explode("sequences").alias("m")).select("m.*")
+    marks = staged(short.unionByName(long).unionByName(sequences), "marks")
+    shared = staged(marks.groupBy("hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+                    .select("hash", F.col("lo").alias("first")), "shared-marks")
+    met = join_small(marks.select("hash", "text_key", "start", "end"), shared, ["hash"], 24, F.col("text_key"), how="inner")
+    of_texts = staged(met.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first")))
+                                                  .alias("ranges")), "text-ranges")
+    most = of_texts.agg(F.max(F.size("ranges"))).first()[0] or 0
+    joined = join_small(chunks.select("doc_id", "text_key"), of_texts, ["text_key"], 64 + 24 * most, F.col("doc_id"),
+                        how="inner")
+
+    def spans(batch: pa.RecordBatch) -> dict:
         out: dict = {f.name: [] for f in _SPANS}
-        columns = ("doc_id", "text_key", "ends", "words", "hits")
-        for doc, key, ends, words, hits in zip(*(batch.column(c).to_pylist() for c in columns)):
-            begin = 0
-            for k in range(1, len(hits) + 1):
-                if k < len(hits) and hits[k]["i"] == hits[k - 1]["i"] + 1:
-                    continue
-                a, b = hits[begin]["i"], hits[k - 1]["i"]
-                start, end = (ends[a - 1] if a else 0), ends[b]
-                firsts = {h["first"] for h in hits[begin:k]}
-                around = words[min(b + 1, len(words) - 1)] - (words[a - 2] if a > 1 else 0)
-                if end - start >= min_bytes and around >= min_words:
-                    own: list[dict] = []
-                    for h in hits[begin:k]:
-                        if h["first"] == doc:
-                            left = ends[h["i"] - 1] if h["i"] else 0
-                            if own and own[-1]["end"] == left:
-                                own[-1]["end"] = ends[h["i"]]
-                            else:
-                                own.append({"start": left, "end": ends[h["i"]]})
-                    values = (doc, key, start, end, b - a + 1, min(firsts), firsts == {doc}, own)
-                    for name, value in zip(out, values):
-                        out[name].append(value)
-                begin = k
+
+        def merged(ranges: list[dict]) -> list[dict]:
+            parts: list[dict] = []
+            for r in ranges:
+                if parts and r["start"] <= parts[-1]["end"]:
+                    parts[-1]["end"] = max(parts[-1]["end"], r["end"])
+                else:
+                    parts.append({"start": r["start"], "end": r["end"]})
+            return parts
+
+        for doc, key, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "ranges"))):
+            at = 0
+            for span in merged(ranges):
+                inside = []
+                while at < len(ranges) and ranges[at]["start"] < span["end"]:
+                    inside.append(ranges[at])
+                    at += 1
+                firsts = {r["first"] for r in inside}
+                own = merged([r for r in inside if r["first"] == doc])
+                values = (doc, key, span["start"], span["end"], min(firsts), firsts == {doc}, own)
+                for name, value in zip(out, values):
+                    out[name].append(value)
         return out
 
-    return map_batches(joined, runs, _SPANS)
+    return map_batches(joined, spans, _SPANS)
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all parts of spans that are not first copies cut out of their texts.
 
-    Every repeated chunk stays in the document that holds it first.  A null text stays null; texts without such spans are unchanged.
+    Every repeated passage stays in the document that holds it first.  A null text stays null; texts without such spans are unchanged.
     """
     cuts = (spans.filter(~F.col("is_first")).groupBy("doc_id", "text_key")
             .agg(F.sort_array(F.collect_set(F.struct("span_start", "span_end", "first_parts"))).alias("cuts")))
