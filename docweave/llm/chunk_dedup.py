@@ -17,6 +17,8 @@ are combined before the shuffle.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import join_small, map_batches, packed, sized, staged
+from docweave.llm.common import discard, join_small, kept_at, map_batches, packed, sized, staged
 
 WINDOW_STEPS = (1, 2, 4, 8)                     # doubling sums: a window of 16 bytes
 MASK = np.uint16(0b1111_1000_0000_0000)        # bits that the whole window reaches; a cut every 32 bytes or so
@@ -96,6 +98,7 @@ _HOLDER = [T.StructField("text_key", T.LongType()), T.StructField("lo", T.LongTy
 _MARKS = T.StructType([T.StructField("hash", T.LongType()), *_HOLDER, *_RANGE.fields])
 _CANDIDATES = T.StructType([*_HOLDER, T.StructField("short", T.ArrayType(_RANGE)), T.StructField("long", T.ArrayType(_RANGE)),
                             T.StructField("sequences", T.ArrayType(_MARKS))])
+HOT = 4096                                     # more than this part of all shared marks makes a hash hot
 BEFORE, AFTER = 192, 2                         # bytes before a run and chunks after it that its passage may reach into
 _BASE, _SEQUENCES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -236,6 +239,32 @@ def _candidates(chunks: DataFrame, min_words: int, long_words: int) -> DataFrame
     return map_batches(reps.join(hits, "text_key"), regions, _CANDIDATES)
 
 
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges with those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in ranges:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+_PARTS = T.StructType([T.StructField("text_key", T.LongType()), T.StructField("parts", T.ArrayType(T.StructType(
+    [*_RANGE.fields, T.StructField("first", T.LongType())])))])
+
+
+def _parts(batch: pa.RecordBatch) -> dict:
+    """The ranges of a text, by their first holder, merged: (start, end, first) in order."""
+    out = []
+    for ranges in batch.column("ranges").to_pylist():
+        found = []
+        for first, mine in groupby(ranges, key=lambda r: r["first"]):
+            found.extend((a, b, first) for a, b in _merged([(r["start"], r["end"]) for r in mine]))
+        out.append([{"start": a, "end": b, "first": f} for a, b, f in sorted(found)])
+    return {"text_key": batch.column("text_key"), "parts": out}
+
+
 def repeated_spans(docs: DataFrame, min_words: int = 50, long_words: int = 150, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Spans of texts that other documents hold too, as byte offsets, one row for each.
@@ -263,42 +292,39 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, long_words: int = 150,
                        docs[text_col].cast("binary").alias("text"))
     # Of equal texts the row with the smallest id is read; rows that repeat it give the same marks again.
     texts = rows.join(of_text, (rows["key"] == of_text["text_key"]) & rows["id"].eqNullSafe(of_text["lo"]))
-    short = staged(_windows(texts.filter(F.size("short") > 0), "short", min_words), "short-windows")
+    short, short_path = kept_at(_windows(texts.filter(F.size("short") > 0), "short", min_words), "short-windows")
     known = staged(short.select("hash").distinct(), "short-hashes")
-    long = _windows(texts.filter(F.size("long") > 0), "long", min_words).join(sized(known, 16), "hash", "left_semi")
-    sequences = found.select(F.explode("sequences").alias("m")).select("m.*")
-    marks = staged(short.unionByName(long).unionByName(sequences), "marks")
-    shared = staged(marks.groupBy("hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
-                    .select("hash", F.col("lo").alias("first")), "shared-marks")
-    met = join_small(marks.select("hash", "text_key", "start", "end"), shared, ["hash"], 24, F.col("text_key"), how="inner")
-    of_texts = staged(met.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first")))
-                                                  .alias("ranges")), "text-ranges")
-    most = of_texts.agg(F.max(F.size("ranges"))).first()[0] or 0
-    joined = join_small(chunks.select("doc_id", "text_key"), of_texts, ["text_key"], 64 + 24 * most, F.col("doc_id"),
-                        how="inner")
+    long = staged(_windows(texts.filter(F.size("long") > 0), "long", min_words).join(sized(known, 16), "hash", "left_semi"),
+                  "long-windows")
+    marks = short.unionByName(long).unionByName(found.select(F.explode("sequences").alias("m")).select("m.*"))
+    shared = staged(marks.groupBy("hash").agg(F.min("lo").alias("first"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+                    .filter("first < hi").select("hash", "first", "n"), "shared-marks")
+    # Hashes that many texts hold, at most HOT of them, go to their marks; the others are joined by shuffle.
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("n") * HOT > total).select("hash", "first"))
+    held = marks.select("hash", "text_key", "start", "end")
+    met = held.join(hot, "hash").unionByName(held.join(hot, "hash", "left_anti").join(
+        shared.filter(F.col("n") * HOT <= total).select("hash", "first"), "hash"))
+    ranges = met.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("first", "start", "end"))).alias("ranges"))
+    of_texts = staged(map_batches(ranges, _parts, _PARTS), "text-parts")
+    discard(docs.sparkSession, short_path)
+    many, entries = of_texts.agg(F.count(F.lit(1)), F.sum(F.size("parts"))).first()
+    joined = join_small(chunks.select("doc_id", "text_key"), of_texts, ["text_key"],
+                        64 + 24 * (entries or 0) // max(1, many), F.col("doc_id"), how="inner")
 
     def spans(batch: pa.RecordBatch) -> dict:
         out: dict = {f.name: [] for f in _SPANS}
 
-        def merged(ranges: list[dict]) -> list[dict]:
-            parts: list[dict] = []
-            for r in ranges:
-                if parts and r["start"] <= parts[-1]["end"]:
-                    parts[-1]["end"] = max(parts[-1]["end"], r["end"])
-                else:
-                    parts.append({"start": r["start"], "end": r["end"]})
-            return parts
-
-        for doc, key, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "ranges"))):
+        for doc, key, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "parts"))):
             at = 0
-            for span in merged(ranges):
+            for start, end in _merged([(p["start"], p["end"]) for p in parts]):
                 inside = []
-                while at < len(ranges) and ranges[at]["start"] < span["end"]:
-                    inside.append(ranges[at])
+                while at < len(parts) and parts[at]["start"] < end:
+                    inside.append(parts[at])
                     at += 1
-                firsts = {r["first"] for r in inside}
-                own = merged([r for r in inside if r["first"] == doc])
-                values = (doc, key, span["start"], span["end"], min(firsts), firsts == {doc}, own)
+                firsts = {p["first"] for p in inside}
+                own = [{"start": p["start"], "end": p["end"]} for p in inside if p["first"] == doc]
+                values = (doc, key, start, end, min(firsts), firsts == {doc}, own)
                 for name, value in zip(out, values):
                     out[name].append(value)
         return out
