@@ -95,3 +95,16 @@ def test_sentences_across_chunk_borders_are_stitched(spark, monkeypatch):
     got = fragments.reflow_lines(df).orderBy("name", "pos").collect()
     assert [r.text for r in got] == [*want, "next page", "other"]
     assert [r.pos for r in got] == [*range(len(want) + 1), 0]
+
+
+def test_terms_are_counted_without_a_table_before_the_shuffle(spark):
+    """The terms one task counts follow the number of fragments, not the size of the files it reads."""
+    from docweave.operators.summary import COUNTED_FRAGMENTS, document_frequency
+
+    rows = [("a", 0, "one two one"), ("a", 1, "two three"), ("b", 0, "two"), (None, 0, "one"), ("a", 1, "two three")]
+    frags = spark.createDataFrame(rows, "name string, pos long, text string")
+    plain = document_frequency(frags)
+    dealt = document_frequency(frags, 20 * COUNTED_FRAGMENTS)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    physical = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in physical and physical.index("partial_count") < physical.index("Exchange")
