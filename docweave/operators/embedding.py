@@ -9,10 +9,12 @@ are matched to fragments by ``pos``, never by row order.
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,11 @@ def hashing_embedder(df: DataFrame, dim: int, text_col: str = "text",
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
+# Batches whose vectors go back to Spark together: a frame for each would cost more than its vectors.
+FRAME_BATCHES = 64
+# Terms whose bucket the caller-side embedder remembers.
+KNOWN_TERMS = 1 << 17
+
 
 def checked(vectors: list, rows: int, dim: int) -> list:
     """The vectors, if there is one of length ``dim`` for each row; else an error that fails the task."""
@@ -77,17 +84,23 @@ def embed_batches(batches: DataFrame, dim: int, embedder: Embedder, keep: tuple[
     schema = T.StructType([*[batches.schema[c] for c in ("name", *keep)], T.StructField("pos", T.LongType()),
                            T.StructField("text", T.StringType()), T.StructField("batch", T.LongType()),
                            T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    columns = ["batch", "first", "texts", "name", *keep]
-
-    def run(frames):
-        for pdf in frames:
-            for batch, first, texts, *own in pdf[columns].itertuples(index=False):
-                vectors = checked(embedder(list(texts)), len(texts), dim)
-                yield pd.DataFrame({**dict(zip(("name", *keep), own)), "pos": range(first, first + len(texts)),
-                                    "text": list(texts), "batch": batch,
-                                    "embedding": [np.asarray(v, dtype=np.float32) for v in vectors]})
-
-    found = batches.mapInPandas(run, schema)
+    def run(incoming):
+        for whole in incoming:
+            for start in range(0, whole.num_rows, FRAME_BATCHES):
+                part = whole.slice(start, FRAME_BATCHES)
+                texts = part.column("texts").to_pylist()
+                vectors = [v for own in texts for v in checked(embedder(own), len(own), dim)]
+                sizes = np.array([len(own) for own in texts])
+                rows = pa.array(np.repeat(np.arange(len(texts)), sizes))
+                first = np.repeat(part.column("first").to_numpy(zero_copy_only=False) - (np.cumsum(sizes) - sizes), sizes)
+                flat = np.asarray(vectors, dtype=np.float32).reshape(-1)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(rows) for c in ("name", *keep)], pa.array(first + np.arange(len(vectors))),
+                     part.column("texts").flatten(), part.column("batch").take(rows),
+                     pa.ListArray.from_arrays(np.arange(len(vectors) + 1, dtype=np.int32) * dim, pa.array(flat))],
+                    names=schema.names)
+
+    found = batches.select("name", *keep, "batch", "first", "texts").mapInArrow(run, schema)
     return found.withColumn("n_tokens", token_count(F.col("text"))) if with_tokens else found
 
 
@@ -120,16 +133,22 @@ def python_hashing_embedder(dim: int) -> Embedder:
     import regex
 
     term_re = regex.compile(r"[\p{L}\p{N}_]{2,}")
+    class Buckets(dict):
+        def __missing__(self, term: str) -> int:
+            if len(self) >= KNOWN_TERMS:
+                self.clear()
+            found = self[term] = int(hashlib.md5(term.encode("utf-8")).hexdigest()[:8], 16) % dim
+            return found
+
+    bucket = Buckets().__getitem__
 
     def embed(texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            vec = np.zeros(dim, dtype=np.float64)
-            for term in term_re.findall(text.lower()):
-                vec[int(hashlib.md5(term.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
-            n = float(np.sqrt((vec * vec).sum()))
-            out.append((vec / n if n > 0 else vec).astype(np.float32).tolist())
-        return out
+        buckets = [list(map(bucket, term_re.findall(text.lower()))) for text in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(b) for b in buckets])
+        at = rows * dim + np.fromiter(chain.from_iterable(buckets), np.int64, len(rows))
+        counts = np.bincount(at, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+        n = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return (counts / np.where(n > 0, n, 1.0)).astype(np.float32).tolist()
 
     return embed
 

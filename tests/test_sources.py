@@ -187,3 +187,32 @@ def test_pairs_of_turns_with_gaps(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = sorted((r.conv_id, r.turn, r.question, r.answer) for r in chat_pairs(df).collect())
     assert got == [(1, 0, "a", "b"), (2, 70, "h", None)]
+
+
+def test_batches_go_back_to_spark_in_few_frames(spark, monkeypatch):
+    """E1 on batch rows: one call for each batch, null names and all, and one frame for many batches."""
+    import pyarrow as pa
+    from docweave.operators import embedding as E
+
+    rows = [(None if i == 3 else i // 2, "k", i % 2, 5 * (i % 2), [f"line {i} {j}" for j in range(1 + i % 3)]) for i in range(200)]
+    batches = spark.createDataFrame(rows, "name long, lang string, batch long, first long, texts array<string>")
+    got = E.embed_batches(batches.coalesce(1), 8, python_hashing_embedder(8), keep=("lang",)).collect()
+    embed = python_hashing_embedder(8)
+    want = [(name, lang, first + j, text, batch, embed([text])[0])
+            for name, lang, batch, first, texts in rows for j, text in enumerate(texts)]
+    assert sorted(map(str, ((r.name, r.lang, r.pos, r.text, r.batch, r.embedding) for r in got))) == sorted(map(str, want))
+
+    class Batches:  # the function as Spark calls it, on one record batch
+        schema = batches.schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            columns = list(zip(*rows))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            return list(run([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                                        names=batches.columns)]))
+
+    frames = E.embed_batches(Batches(), 8, embed, keep=("lang",))
+    assert sum(f.num_rows for f in frames) == len(want) and len(frames) == -(-len(rows) // E.FRAME_BATCHES)
