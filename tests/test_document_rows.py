@@ -150,3 +150,25 @@ def test_hashed_vectors_of_any_width(spark, dim):
     for r in pairs:
         assert abs(r.d - r.s) < 1e-9
         assert r.r["index"] == sorted(set(r.r["index"])) and len(r.r["index"]) == len(r.r["value"])
+
+
+@pytest.mark.parametrize("size", [1000, 4])
+def test_weights_made_with_the_rows(spark, docs, table, size):
+    """One pass makes vectors and weights; slices of a document get theirs from all of it."""
+    from docweave.constants import SIF_ALPHA
+
+    twice = docs.unionByName(docs.filter("name = 3"))
+    stored = materialize(document_rows(twice, DIM, slice_rows=size, alpha=SIF_ALPHA), "test-rows")
+    whole = stored.filter(F.size("texts") == F.col("n_fragments"))
+    assert whole.filter("terms IS NOT NULL").count() == 0 and whole.filter("size(weights) != size(texts)").count() == 0
+    if size == 1000:
+        want = {(r.name, r.pos): round(r.weight, 9) for r in table_weights(table).collect()}
+        assert by_position(sif_weights(stored), size, "weights") == want
+        single = vectors(sif_centroids(sif_weights(stored)))
+        assert single == vectors(S.sif_mean_vector(table_weights(table)))
+        plan = sif_weights(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" not in plan and "Exchange" not in plan
+    else:
+        plain = materialize(document_rows(docs, DIM, slice_rows=size), "test-rows")
+        mine = materialize(document_rows(docs, DIM, slice_rows=size, alpha=SIF_ALPHA), "test-rows")
+        assert by_position(sif_weights(mine), size, "weights") == by_position(sif_weights(plain), size, "weights")
