@@ -108,3 +108,29 @@ def test_terms_are_counted_without_a_table_before_the_shuffle(spark):
     assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
     physical = dealt._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in physical and physical.index("partial_count") < physical.index("Exchange")
+
+
+def test_documents_asked_about_are_dealt_over_tasks(spark, tmp_path):
+    """They may lie together in one file of the table: their stored fragments do not."""
+    import random
+
+    from docweave.plans.registry import requested_fragments
+
+    rnd = random.Random(5)
+    docs = [(i, "\n".join(f"{rnd.getrandbits(400):x}" for _ in range(20)), "en", "s") for i in range(8000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartitionByRange(
+        8, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, "user", f"line {i}") for i in range(900)],
+                          "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    _, frags, _ = requested_fragments(spark, str(tmp_path))
+    per_file = [r["count"] for r in frags.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 900 * 20 and frags.select("name").distinct().count() == 900
+    assert len(per_file) > 1 and max(per_file) < 0.8 * sum(per_file)
+
+
+def test_the_stored_index_holds_no_terms(spark):
+    from conftest import SMOKE
+    from docweave.plans.registry import sif_fragments
+
+    assert sif_fragments(spark, SMOKE).columns == ["name", "lang", "pos", "text", "embedding"]
