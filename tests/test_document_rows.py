@@ -172,3 +172,24 @@ def test_weights_made_with_the_rows(spark, docs, table, size):
         plain = materialize(document_rows(docs, DIM, slice_rows=size), "test-rows")
         mine = materialize(document_rows(docs, DIM, slice_rows=size, alpha=SIF_ALPHA), "test-rows")
         assert by_position(sif_weights(mine), size, "weights") == by_position(sif_weights(plain), size, "weights")
+
+
+def test_whole_documents_are_summed_and_ranked_by_numpy(spark, docs):
+    """Vectors are not folded component by component, and short labels are not cut into tokens."""
+    from docweave.constants import SIF_ALPHA
+    from docweave.operators.document_rows import central_by_method
+
+    odd = spark.createDataFrame([(60, "a 𝒳 𝒳𝒳 _ _x 7 77\nÀB àb\x85same line\nsame line\n İi ß", "en"),
+                                 (60, "same\nsame\n...", "zh"), (None, "a b c\nab ab", "en")], docs.schema)
+    every = docs.unionByName(odd).unionByName(docs.filter("name = 3"))
+    stored = materialize(document_rows(every, DIM, alpha=SIF_ALPHA), "test-rows")
+    plain = materialize(document_rows(every, DIM), "test-rows")
+    both = [sorted((str(r.name), r.slice, r.embeddings) for r in df.collect()) for df in (stored, plain)]
+    assert both[0] == both[1]
+    routed = sif_weights(stored.withColumn("method", S.summary_method(F.col("lang"))))
+    for k in (1, 2, 100):
+        got, want = (sorted((str(r.name), [tuple(b) for b in r.best]) for r in df.collect())
+                     for df in (central_by_method(routed, k), central(document_centroids(routed), k)))
+        assert got == want
+    plan = summary_rows(stored, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
