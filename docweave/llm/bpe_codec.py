@@ -1,9 +1,10 @@
 """BPE encoding and decoding with a segment tree over the ranks of adjacent pairs.
 
 Leaf i holds (rank of the pair that starts at symbol i, i), or a value above all
-others; each inner node holds the smaller of its children, so the root is the
+others; each inner node holds the smallest of its children, so the root is the
 leftmost pair of the lowest rank.  A merge changes at most three leaves, each in
-logarithmic time, until the root says that no mergeable pair is left.
+logarithmic time, until the root says that no mergeable pair is left.  A node has
+up to 16 children: most pieces then need a root and no other inner node.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from docweave.llm.common import TwoGenerations, map_batches
 
 _POSITION = (1 << POSITION_BITS) - 1
 _NONE = 1 << 62
+_CHILDREN = 16
 
 
 def merge_piece(symbols: list[int], vocab: Vocabulary) -> list[int]:
@@ -28,49 +30,49 @@ def merge_piece(symbols: list[int], vocab: Vocabulary) -> list[int]:
     if n < 2:
         return symbols
     rank_of, merged = vocab.pairs.get, vocab.merged
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * width)
+    leaves = [_NONE] * (n - 1)
     for i in range(n - 1):
         r = rank_of(symbols[i] << 20 | symbols[i + 1])
         if r is not None:
-            tree[width + i] = r | i
-    for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(leaf: int, value: int) -> None:
-        k = width + leaf
-        if tree[k] == value:
-            return
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            if other < value:
-                value = other
-            k >>= 1
-            if tree[k] == value:
-                return
-            tree[k] = value
+            leaves[i] = r | i
+    uppers, top = [], leaves
+    while len(top) > _CHILDREN:
+        top = [min(top[k:k + _CHILDREN]) for k in range(0, len(top), _CHILDREN)]
+        uppers.append(top)
 
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while tree[1] < _NONE:
-        at = tree[1] & _POSITION
+    while True:
+        first = min(top)
+        if first == _NONE:
+            break
+        at = first & _POSITION
         right = after[at]
-        symbol = symbols[at] = merged[tree[1] >> POSITION_BITS]
+        symbol = symbols[at] = merged[first >> POSITION_BITS]
         symbols[right] = -1
         follower = after[at] = after[right]
-        if right < n - 1:
-            put(right, _NONE)
+        leaves[at] = _NONE
         if follower < n:
+            leaves[right] = _NONE
             before[follower] = at
             r = rank_of(symbol << 20 | symbols[follower])
-            put(at, _NONE if r is None else r | at)
-        else:
-            put(at, _NONE)
+            if r is not None:
+                leaves[at] = r | at
         leader = before[at]
         if leader >= 0:
             r = rank_of(symbols[leader] << 20 | symbol)
-            put(leader, _NONE if r is None else r | leader)
+            leaves[leader] = _NONE if r is None else r | leader
+        if uppers:
+            for node in (leader, at, right):
+                if not 0 <= node < n - 1:
+                    continue
+                lower = leaves
+                for upper in uppers:
+                    node //= _CHILDREN
+                    least = min(lower[node * _CHILDREN:(node + 1) * _CHILDREN])
+                    if upper[node] == least:
+                        break
+                    upper[node] = least
+                    lower = upper
     return [s for s in symbols if s >= 0]
 
 

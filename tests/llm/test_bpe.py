@@ -72,3 +72,34 @@ def test_memo_is_bounded_and_right():
     for k in ["a", "bb", "ccc", "dddd", "a", "eeeee", "bb", "x" * 100, "a"]:
         assert memo[k] == len(k)
         assert len(memo) <= 3 and len(memo.older) <= 3
+
+
+@pytest.mark.parametrize("size", [1, 2, 16, 17, 18, 40, 257, 300, 4200])
+def test_pieces_of_every_tree_height(size):
+    """Against merging the first pair of the lowest rank again and again; no call of Python's for each merge."""
+    import random
+    import sys
+
+    from docweave.llm.bpe_codec import merge_piece
+
+    with open(PATH, "rb") as f:
+        vocab = Vocabulary(f.read())
+    rnd = random.Random(size)
+    for letters in ("etaoinshrdlu", "ab", "-="):
+        piece = [vocab.byte_ids[ord(rnd.choice(letters))] for _ in range(size)]
+        want = list(piece)
+        while True:
+            ranked = [(vocab.pairs[a << 20 | b], i) for i, (a, b) in enumerate(zip(want, want[1:]))
+                      if a << 20 | b in vocab.pairs]
+            if not ranked:
+                break
+            rank, i = min(ranked)
+            want[i:i + 2] = [vocab.merged[rank >> 40]]
+        calls = []
+        sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+        try:
+            got = merge_piece(list(piece), vocab)
+        finally:
+            sys.setprofile(None)
+        assert got == want
+        assert [c for c in calls if c != "<listcomp>"] == (["merge_piece"])
