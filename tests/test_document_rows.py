@@ -192,4 +192,4 @@ def test_whole_documents_are_summed_and_ranked_by_numpy(spark, docs):
                      for df in (central_by_method(routed, k), central(document_centroids(routed), k)))
         assert got == want
     plan = summary_rows(stored, 100)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "zip_with" not in plan
+    assert "InArrow" not in plan and "zip_with" not in plan
