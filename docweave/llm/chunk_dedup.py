@@ -11,22 +11,24 @@ many words are, and its windows with those of the short ones.  Spans are unions
 of what is confirmed, so every word of a span stands in a passage of
 ``min_words`` words that another document holds too.
 
-Equal texts are compared once.  Hashes are shuffled, never text; copies of a hash
-are combined before the shuffle.
+Equal texts are compared once.  Hashes are shuffled, never text, and once with the
+place they stand at: all places of a hash meet in one task, which keeps those of
+shared hashes.  Hashes of very many texts are combined before the shuffle instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import discard, join_small, kept_at, map_batches, packed, sized, staged
+from docweave.llm.common import join_small, map_batches, packed, sized, staged
 
 WINDOW_STEPS = (1, 2, 4, 8)                     # doubling sums: a window of 16 bytes
 MASK = np.uint16(0b1111_1000_0000_0000)        # bits that the whole window reaches; a cut every 32 bytes or so
@@ -98,7 +100,7 @@ _HOLDER = [T.StructField("text_key", T.LongType()), T.StructField("lo", T.LongTy
 _MARKS = T.StructType([T.StructField("hash", T.LongType()), *_HOLDER, *_RANGE.fields])
 _CANDIDATES = T.StructType([*_HOLDER, T.StructField("short", T.ArrayType(_RANGE)), T.StructField("long", T.ArrayType(_RANGE)),
                             T.StructField("sequences", T.ArrayType(_MARKS))])
-HOT = 4096                                     # more than this part of all shared marks makes a hash hot
+TEXT_PART, HOT = 64, 32                        # a hash that so many texts of such a part of all texts hold is hot
 BEFORE, AFTER = 192, 2                         # bytes before a run and chunks after it that its passage may reach into
 _BASE, _SEQUENCES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -211,16 +213,47 @@ def _windows(rows: DataFrame, column: str, least: int) -> DataFrame:
     return map_batches(rows.select("text_key", "lo", "hi", column, "text"), emit, _MARKS, rows=64)
 
 
+def _part(df: DataFrame) -> DataFrame:
+    """The rows of one in ``TEXT_PART`` texts."""
+    return df.filter(F.pmod("text_key", F.lit(TEXT_PART)) == 0)
+
+
+def _shared(rows: DataFrame, marks: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """``marks(rows)`` whose ``key`` documents of two ids hold, with ``first``, the smallest of these ids.
+
+    ``marks`` takes any part of the rows and gives (text_key, lo, hi, joins, ``key``, ...);
+    a key that only marks with ``joins`` false hold is not shared.  One shuffle by
+    key.  The few keys that very many texts hold, which a part of the texts shows, are
+    combined in every task first and sent to their marks, which are then dealt by text.
+    """
+    hot = staged(marks(_part(rows)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
+                 .select(key, F.lit(True).alias("_hot")), "hot-keys")
+    count, found = hot.count(), marks(rows)
+    held = {"first": F.min("lo"), "_hi": F.max("hi"), "_joins": F.max("joins")}
+    if not count:
+        met = found.withColumns({c: f.over(Window.partitionBy(key)) for c, f in held.items()})
+        return met.filter("first < _hi and _joins").drop("_hi", "_joins")
+    # Marks of other keys share one group, which every task makes one row of.
+    totals = staged(found.join(sized(hot, 16, count), key, "left").groupBy(F.when(F.col("_hot"), F.col(key)).alias(key))
+                    .agg(F.struct(*[f.alias(c) for c, f in held.items()]).alias("_all")).filter(F.col(key).isNotNull()),
+                    "hot-totals")
+    known = found.join(sized(totals, 40, count), key, "left")
+    apart = Window.partitionBy(key, F.when(F.col("_all").isNotNull(), F.col("text_key")))
+    met = known.withColumns({c: F.when(F.col("_all").isNotNull(), F.col("_all")[c]).otherwise(f.over(apart))
+                             for c, f in held.items()})
+    return met.filter("first < _hi and _joins").drop("_hi", "_joins", "_all")
+
+
 def _candidates(chunks: DataFrame, min_words: int, long_words: int) -> DataFrame:
     """``_CANDIDATES`` of every distinct text with a run of shared chunks that can hold ``min_words`` words."""
     classes = staged(chunks.groupBy("text_key").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("at").alias("at")), "text-classes")
     reps = chunks.drop("doc_id").join(sized(classes.select("at", "lo", "hi"), 40), "at").drop("at")
-    holders = reps.select("lo", "hi", F.explode("digests").alias("digest"))
-    repeated = (holders.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                .filter("lo < hi").select("digest"))
-    placed = reps.select("text_key", F.posexplode("digests").alias("i", "digest"))
-    hits = (placed.join(repeated, "digest").groupBy("text_key")
+
+    def placed(texts: DataFrame) -> DataFrame:
+        return texts.select("text_key", "lo", "hi", F.lit(True).alias("joins"), F.posexplode("digests").alias("i", "digest"))
+
+    hits = (_shared(reps, placed, "digest").groupBy("text_key")
             .agg(F.sort_array(F.collect_list("i")).alias("hits")))
 
     def regions(batch: pa.RecordBatch) -> dict:
@@ -292,22 +325,20 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, long_words: int = 150,
                        docs[text_col].cast("binary").alias("text"))
     # Of equal texts the row with the smallest id is read; rows that repeat it give the same marks again.
     texts = rows.join(of_text, (rows["key"] == of_text["text_key"]) & rows["id"].eqNullSafe(of_text["lo"]))
-    short, short_path = kept_at(_windows(texts.filter(F.size("short") > 0), "short", min_words), "short-windows")
-    known = staged(short.select("hash").distinct(), "short-hashes")
-    long = staged(_windows(texts.filter(F.size("long") > 0), "long", min_words).join(sized(known, 16), "hash", "left_semi"),
-                  "long-windows")
-    marks = short.unionByName(long).unionByName(found.select(F.explode("sequences").alias("m")).select("m.*"))
-    shared = staged(marks.groupBy("hash").agg(F.min("lo").alias("first"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-                    .filter("first < hi").select("hash", "first", "n"), "shared-marks")
-    # Hashes that many texts hold, at most HOT of them, go to their marks; the others are joined by shuffle.
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(shared.filter(F.col("n") * HOT > total).select("hash", "first"))
-    held = marks.select("hash", "text_key", "start", "end")
-    met = held.join(hot, "hash").unionByName(held.join(hot, "hash", "left_anti").join(
-        shared.filter(F.col("n") * HOT <= total).select("hash", "first"), "hash"))
+
+    def windows(texts: DataFrame) -> DataFrame:
+        """Windows of short and long regions; those of long ones are compared with those of short ones."""
+        of = [_windows(texts.filter(F.size(c) > 0), c, min_words).withColumn("joins", F.lit(c == "short"))
+              for c in ("short", "long")]
+        return of[0].unionByName(of[1])
+
+    def sequences(candidates: DataFrame) -> DataFrame:
+        return candidates.select(F.explode("sequences").alias("m")).select("m.*", F.lit(True).alias("joins"))
+
+    held = ["text_key", "first", "start", "end"]
+    met = _shared(texts, windows, "hash").select(*held).unionByName(_shared(found, sequences, "hash").select(*held))
     ranges = met.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("first", "start", "end"))).alias("ranges"))
     of_texts = staged(map_batches(ranges, _parts, _PARTS), "text-parts")
-    discard(docs.sparkSession, short_path)
     many, entries = of_texts.agg(F.count(F.lit(1)), F.sum(F.size("parts"))).first()
     joined = join_small(chunks.select("doc_id", "text_key"), of_texts, ["text_key"],
                         64 + 24 * (entries or 0) // max(1, many), F.col("doc_id"), how="inner")

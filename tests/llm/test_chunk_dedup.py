@@ -8,7 +8,7 @@ from conftest import SMOKE
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docweave.llm import queries
+from docweave.llm import chunk_dedup, queries
 from docweave.llm.chunk_dedup import (
     GEAR, LARGEST, MASK, SMALLEST, chunk_ends, repeated_spans, window_marks, without_repeats,
 )
@@ -199,3 +199,44 @@ def test_every_repeated_passage_keeps_a_copy(make_docs):
     assert len(mixed) >= 15
     for r in mixed:  # the passage held first is kept, the other cut
         assert r.doc_id % 3 == 1 and len(texts[r.doc_id]) < len(before[r.doc_id])
+
+
+@pytest.mark.parametrize("texts", [50, 10**9])
+def test_marks_meet_in_one_shuffle_whatever_their_number(spark, monkeypatch, texts):
+    """Marks of keys that two ids hold, each with the least id; only keys of very many texts are combined apart.
+
+    Neither the number of marks nor that of keys changes the plan: there was a join of all marks with their keys, by
+    broadcast on small tables and two shuffles more on large ones.
+    """
+    monkeypatch.setattr(chunk_dedup, "TEXT_PART", 1)
+    monkeypatch.setattr(chunk_dedup, "HOT", texts)
+    rnd = random.Random(4)
+    rows = [(k, k % 300, k % 300 + k % 2, k % 3 > 0, rnd.choice([0, 1, 2, *range(3, 400)]) if k % 4 else k % 5)
+            for k in range(1200)] + [(5000, 7, 7, True, 900), (5001, 7, 7, True, 900), (5002, None, None, True, 901),
+                                     (5003, 1, 2, False, 902), (5004, 3, 3, False, 902)]
+    marks = spark.createDataFrame(rows, "text_key long, lo long, hi long, joins boolean, hash long")
+    got = chunk_dedup._shared(marks, lambda part: part, "hash")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    of = defaultdict(list)
+    for row in rows:
+        of[row[4]].append(row)
+    want = []
+    for held in of.values():
+        los, his = [r[1] for r in held if r[1] is not None], [r[2] for r in held if r[2] is not None]
+        if los and min(los) < max(his) and any(r[3] for r in held):
+            want += [(r[0], min(los)) for r in held]
+    assert len(of[0]) > 50 and sorted((r.text_key, r.first) for r in got.collect()) == sorted(want)
+    assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan
+
+
+def test_a_very_common_passage(make_docs, monkeypatch):
+    rnd = random.Random(5)
+    prose = prose_of(rnd, 3, 9)
+    common, rare = prose(70), prose(70)
+    rows = [(k, f"{prose(40)} {common} {prose(40)}") for k in range(80)]
+    rows += [(100 + k, f"{prose(40)} {rare} {prose(40)}") for k in range(2)]
+    before = repeated_spans(make_docs(rows)).collect()
+    monkeypatch.setattr(chunk_dedup, "TEXT_PART", 1)
+    found = repeated_spans(make_docs(rows)).collect()
+    assert {r.doc_id for r in found} == {r[0] for r in rows} and sorted(found) == sorted(before)
+    check_spans(rows, found, 0.85)
