@@ -138,13 +138,19 @@ def unknown_documents(requests: DataFrame, index: DataFrame) -> DataFrame:
     return requests.join(indexed_names(index), "name", "left_anti")
 
 
-def query_terms(requests: DataFrame) -> DataFrame:
-    """Terms of each question with their frequency: (request_id, name, term, tf); term NULL if there is none."""
-    return (requests.select("request_id", "name", F.explode_outer(terms(F.col("query"))).alias("term"))
-            .groupBy("request_id", "name", "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf")))
+def query_terms(requests: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Terms of each question with their frequency: (request_id, name, term, tf); term NULL if there is none.
+
+    With ``tasks`` they are dealt by (name, term) to so many, counted there and left there for a join.
+    """
+    found = requests.select("request_id", "name", F.explode_outer(terms(F.col("query"))).alias("term"))
+    if tasks is not None:
+        found = found.repartition(tasks, "name", "term")
+    return found.groupBy("request_id", "name", "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
 
 
-def extract_keywords(requests: DataFrame, idf_table: DataFrame, k: int | None = None) -> DataFrame:
+def extract_keywords(requests: DataFrame, idf_table: DataFrame, k: int | None = None,
+                     tasks: int | None = None) -> DataFrame:
     """R8. Keywords of every question, comma-separated: (request_id, name, keywords, matched).
 
     A keyword is a question term found in the target document's vocabulary,
@@ -152,9 +158,10 @@ def extract_keywords(requests: DataFrame, idf_table: DataFrame, k: int | None =
     A question with no such term (or of an unknown document) has
     ``matched`` false and its own terms as keywords, by tf, then term.  ``k`` keeps
     the first k keywords; by default all are kept.  A group is as large as its question.
+    ``tasks``: those that ``idf_table`` is dealt to by (name, term), if it is.
     """
     known = idf_table.select("name", "term", "idf")
-    scored = query_terms(requests).join(known, ["name", "term"], "left").withColumn(
+    scored = query_terms(requests, tasks).join(known, ["name", "term"], "left").withColumn(
         "found", F.col("idf").isNotNull())
     weight = F.col("tf") * F.coalesce("idf", F.lit(1.0))
     ranked = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct(

@@ -134,3 +134,29 @@ def test_the_stored_index_holds_no_terms(spark):
     from docweave.plans.registry import sif_fragments
 
     assert sif_fragments(spark, SMOKE).columns == ["name", "lang", "pos", "text", "embedding"]
+
+
+def test_terms_are_dealt_once_for_the_keywords(spark, monkeypatch):
+    """Counts too many to broadcast meet the fragments, not the table of terms: its tasks follow the fragments to the end."""
+    from docweave.operators import summary
+    from docweave.operators.retrieval import extract_keywords
+    from docweave.plans.answer import dealt_keywords
+
+    rows = [("a", 0, "one two one"), ("a", 1, "two three"), ("b", 0, "two"), (None, 0, "one"), ("a", 1, "two three"),
+            ("a", 700, "four")]
+    frags = spark.createDataFrame(rows, "name string, pos long, text string")
+    asked = [("q", "a", "three two two five"), ("q", "a", "one"), ("r", "b", "one"), ("s", None, "one"), ("t", "a", "?"),
+             ("u", "c", "six six five")]
+    req = spark.createDataFrame(asked, "request_id string, name string, query string")
+    plain = extract_keywords(req, summary.idf(summary.document_frequency(frags), frags))
+    monkeypatch.setattr(summary, "maybe_broadcast", lambda df, *_: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = dealt_keywords(req, frags, 20 * summary.COUNTED_FRAGMENTS)
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+        assert summary.dealt_idf(frags, 20 * summary.COUNTED_FRAGMENTS).rdd.getNumPartitions() == 20
+        physical = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        # questions' terms, fragments' terms, pieces of documents
+        assert physical.count(", 20), REPARTITION_BY_NUM") == 3 and ", 20), ENSURE_REQUIREMENTS" not in physical
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
